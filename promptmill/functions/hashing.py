@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptmill.schemas import CACHE_KEY_PREFIX
 
@@ -43,7 +44,7 @@ def _fnv_batch(texts: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a64_hex(texts: pd.Series) -> pd.Series:
     """16 hex digits of the hash of the UTF-8 bytes; NULL stays NULL."""
     present = texts.notna()

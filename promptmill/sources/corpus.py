@@ -12,6 +12,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptmill.functions.text import WS, WS_NO_NEWLINE, header_value, rewrite_prompt, strip_ws
 
@@ -106,7 +107,7 @@ def _nest(keys: list[str], values: list[str]) -> str:
     return json.dumps(root, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nest_entries(keys: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([_nest(list(k), list(v)) for k, v in zip(keys, values)], dtype=object)
 
