@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,84 +18,93 @@ from pyspark.sql import functions as F
 _TAG = re.compile(r"\{\{\s*(?P<var>[\w.]+)\s*\}\}|\{%\s*(?P<word>\w+)\s*(?P<rest>[^%]*?)\s*%\}")
 _FOR = re.compile(r"^(\w+)\s+in\s+([\w.]+)$")
 
-Lookup = Callable[[str], Column]
 
+class Value(NamedTuple):
+    """What a name stands for: its text, its truth, and for JSON values the variant itself."""
 
-def item_context(
-    production: Column, index: Column, body: Column, meta_json: Column, header: Column,
-) -> Lookup:
+    text: Column
+    truth: Column
+    variant: Column | None = None
+
+
+Lookup = Callable[[str], Value]
+
+
+def plain_value(c: Column) -> Value:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return Value(text, text != "")
+
+
+def json_value(v: Column) -> Value:
+    """Empty strings, zero, false, null and empty collections are false."""
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+    empty = F.when(F.schema_of_variant(v) == "STRING", text == "").otherwise(text.isin("", "false", "0", "[]", "{}"))
+    return Value(text, ~empty, v)
+
+
+def item_context(production: Column, index: Column, body: Column, meta_json: Column, header: Column) -> Lookup:
     """Names a request template can use: production.name, index, text, meta.*, header_toml, item.*"""
     meta = F.try_parse_json(meta_json)
     plain = {
-        "production.name": production, "index": index.cast("string"), "text": body, "header_toml": header,
-        "item.index": index.cast("string"), "item.content": body, "item.header_toml": header,
-        "meta": meta_json, "item.meta": meta_json}
+        "production.name": production, "index": index, "text": body, "header_toml": header,
+        "item.index": index, "item.content": body, "item.header_toml": header}
 
-    def look(path: str) -> Column:
+    def look(path: str) -> Value:
         if path in plain:
-            return plain[path]
-        for prefix in ("meta.", "item.meta."):
-            if path.startswith(prefix):
-                return F.try_variant_get(meta, "$." + path[len(prefix):], "string")
-        return F.lit(None).cast("string")
+            return plain_value(plain[path])
+        names = path.removeprefix("item.").split(".")
+        if names[0] != "meta":
+            return plain_value(F.lit(""))
+        return json_value(F.try_variant_get(meta, ".".join(["$", *names[1:]]), "variant"))
 
     return look
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))
-
-
-def _truthy(c: Column) -> Column:
-    return ~F.coalesce(c.cast("string"), F.lit("")).isin("", "false", "0", "[]", "{}")
-
-
 def to_column(template: str, look: Lookup) -> Column:
-    parts, rest, end = _block(template, 0, look, ())
+    """One string Column for the whole template."""
+    column, _, end = _block(template, 0, look, ())
     if end:
         raise ValueError(f"'{end}' without an opening tag")
-    return parts
+    return column
 
 
 def _block(template: str, pos: int, look: Lookup, stops: tuple[str, ...]) -> tuple[Column, int, str]:
-    out: list[Column] = []
-    for tag in iter(lambda: _TAG.search(template, pos), None):
-        if tag.start() > pos:
-            out.append(F.lit(template[pos:tag.start()]))
-        pos, word, rest = tag.end(), tag["word"], (tag["rest"] or "")
+    """Column for the text up to one of the ``stops``, where it ends, and the stop found."""
+    parts: list[Column] = [F.lit("")]
+    while tag := _TAG.search(template, pos):
+        parts.append(F.lit(template[pos:tag.start()]))
+        pos, word, rest = tag.end(), tag["word"], tag["rest"]
         if tag["var"]:
-            out.append(_text(look(tag["var"])))
+            parts.append(look(tag["var"]).text)
         elif word in stops:
-            return _join(out), pos, word
+            return F.concat(*parts), pos, word
         elif word == "if":
             yes, pos, word = _block(template, pos, look, ("else", "endif"))
             no: Column = F.lit("")
             if word == "else":
                 no, pos, word = _block(template, pos, look, ("endif",))
-            out.append(F.when(_truthy(look(rest)), yes).otherwise(no))
+            parts.append(F.when(look(rest).truth, yes).otherwise(no))
         elif word == "for":
-            loop = _FOR.match(rest)
-            if not loop:
-                raise ValueError(f"unreadable loop: {rest!r}")
-            var, path = loop.groups()
-            body_at, found = pos, {}
-
-            def one(member: Column) -> Column:
-                inner = lambda p: F.try_variant_get(member, "$", "string") if p == var else look(p)
-                column, found["pos"], _ = _block(template, body_at, inner, ("endfor",))
-                return column
-
-            members = F.try_variant_get(F.try_parse_json(look(path)), "$", "array<variant>")
-            out.append(_text(F.array_join(F.transform(members, one), "")))
-            pos = found["pos"]
+            column, pos = _loop(template, pos, look, rest)
+            parts.append(column)
         else:
             raise ValueError(f"unknown block tag: {word}")
     if stops:
         raise ValueError(f"missing tag, one of {stops}")
-    if pos < len(template):
-        out.append(F.lit(template[pos:]))
-    return _join(out), len(template), ""
+    return F.concat(*parts, F.lit(template[pos:])), len(template), ""
+
+
+def _loop(template: str, pos: int, look: Lookup, rest: str) -> tuple[Column, int]:
+    head = _FOR.match(rest)
+    over = look(head[2]).variant if head else None
+    if over is None:
+        raise ValueError(f"unreadable loop: {rest!r}")
+    end = pos
 
+    def member_text(member: Column) -> Column:
+        nonlocal end
+        column, end, _ = _block(template, pos, lambda path: json_value(member) if path == head[1] else look(path), ("endfor",))
+        return column
 
-def _join(parts: list[Column]) -> Column:
-    return F.concat(*parts) if parts else F.lit("")
+    members = F.transform(F.try_variant_get(over, "$", "array<variant>"), member_text)
+    return F.coalesce(F.array_join(members, ""), F.lit("")), end

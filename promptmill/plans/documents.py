@@ -145,7 +145,7 @@ TEMPLATE = (
 
 
 @query(f"""with {_ITEMS} select doc_id, item_index, 'Production p' || cast(doc_id as varchar) || ' item ' || cast(item_index as varchar) || ' ['
-      || case when item_index = 1 then source || '] id ' || cast(doc_id as varchar) || '<1><x><true>' else lang || '] no id' end || ': ' || body as request_text from items""")
+      || case when item_index = 1 then source || case doc_id when 0 then '] no id' else '] id ' || cast(doc_id as varchar) end || '<1><x><true>' else lang || '] no id' end || ': ' || body as request_text from items""")
 def render_template(t: Inputs) -> DataFrame:
     items = corpus.with_item_meta(corpus.source_items(t.corpora.select("doc_id", "corpus")).items)
     look = template.item_context(
@@ -413,7 +413,7 @@ def read_object(t: Inputs) -> DataFrame:
     return objects.read_objects(t.stored, t.labels, "doc_id").select("doc_id", "name", "text")
 
 
-@query(f"select doc_id, case when content64 not like '*%' or true then octet_length(encode(text)) end as size, sha256(text) as digest from encoded join stored using (doc_id)", "encoded", "stored")
+@query(f"select doc_id, octet_length(encode(text)) as size, sha256(text) as digest from encoded join stored using (doc_id)", "encoded", "stored")
 def decode_b64_assets(t: Inputs) -> DataFrame:
     return objects.decode_base64(t.encoded, "content64").select("doc_id", "size", F.sha2("content", 256).alias("digest"))
 

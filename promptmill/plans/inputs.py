@@ -7,8 +7,12 @@ to spread rows over the cases of a column.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from promptmill.streaming.runs import read_stream
+
 AS_OF = "2001-08-02 00:00:00"
 
 _V = "varchar(40)"
@@ -170,6 +174,16 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "math_texts": ((), """
         select doc_id, '$^' || source || '$ ' || replace(replace(text, '. ', '$ and $' || chr(92) || 'd{2}$ '), ', ', ' $a+b$ $' || chr(92) || '(x$ ') as text
         from documents"""),
+    # ---- streams --------------------------------------------------------------------
+    "result_stream": (("result_files",), "select batch_fk, doc_id as line_no, line from result_files"),
+    "result_links": ((), f"select {_CID} as request_fk, source as batch_fk from documents where lang <> 'de'"),
+    "ready_batches": (("provider_reports",), "select batch_fk, occurred_at from provider_reports where status = 'completed'"),
+    "lease_grants": ((), f"""
+        select event_id, cast(user_id as {_V}) as request_id, 'w' || cast(event_id as {_V}) as claim_token, ts as claimed_at
+        from events where event_type = 'view'"""),
+    "late_updates": ((), f"""
+        select event_id, cast(user_id as {_V}) as request_id, 'w' || cast(event_id as {_V}) as claim_token
+        from events where event_type in ('view', 'click')"""),
     # ---- objects --------------------------------------------------------------------
     "stored": ((), """
         select doc_id, lang || '/' || source as name, text from documents"""),
@@ -222,13 +236,22 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _derive(self, name: str, streamed: str | None, files_per_trigger: int | None = None) -> DataFrame:
+        head = with_clause((name,), SPARK_ONLY)
+        for t in TABLES:
+            if re.search(rf"\b(?:from|join) {t}\b", head):
+                path = f"{self.sf_dir}/{t}.parquet"
+                df = read_stream(self.spark, path, files_per_trigger=files_per_trigger) if t == streamed else self.table(t)
+                df.createOrReplaceTempView(t)
+        return self.spark.sql(f"{head}\nselect * from {name}")
+
+    def stream(self, name: str, source: str, files_per_trigger: int | None = None) -> DataFrame:
+        """A derived input over ``source`` read as a stream."""
+        return self._derive(name, source, files_per_trigger)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name not in INPUTS:
             raise AttributeError(name)
-        head = with_clause((name,), SPARK_ONLY)
-        for t in TABLES:
-            if f" {t}" in head:
-                self.table(t).createOrReplaceTempView(t)
-        return self.spark.sql(f"{head}\nselect * from {name}")
+        return self._derive(name, None)
