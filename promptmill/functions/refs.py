@@ -49,18 +49,27 @@ def fold_hyphens(c: Column) -> Column:
     return F.translate(c, HYPHENS, "-" * len(HYPHENS))
 
 
+# First letters of all kinds, looked at before the alternatives are tried.
+_SCAN_PATTERN = f"(?=[{''.join(sorted({k[0] for k in REF_KINDS}))}])" + REF_PATTERN
+
+
 def references(c: Column) -> Column:
-    """All references of a text, left to right: ``array<struct<raw, kind, main, range_end, alt>>``.
+    """All references of a text, left to right, as they stand there: ``array<string>``.
 
     One regex walks the text once. No word boundaries are needed on either side.
     """
-    pattern = F.lit(REF_PATTERN)
-    group = lambda i: F.regexp_extract_all(c, pattern, F.lit(i))
-    return F.transform(
-        F.arrays_zip(*[group(i).alias(f"g{i}") for i in range(5)]),
-        lambda r: F.struct(
-            r["g0"].alias("raw"), fold_hyphens(r["g1"]).alias("kind"), r["g2"].alias("main"),
-            F.nullif(r["g3"], F.lit("")).alias("range_end"), F.nullif(r["g4"], F.lit("")).alias("alt")))
+    return F.regexp_extract_all(c, F.lit(_SCAN_PATTERN), F.lit(0))
+
+
+def reference_kind(raw: Column) -> Column:
+    return F.regexp_extract(fold_hyphens(raw), r"^(.*?)-[0-9]", 1)
+
+
+def reference_parts(raw: Column) -> Column:
+    """``struct<kind, main, range_end, alt>`` of one reference (short text, so a few regexes cost little)."""
+    part = lambda i: F.nullif(F.regexp_extract(raw, REF_PATTERN, i), F.lit(""))
+    return F.struct(
+        reference_kind(raw).alias("kind"), part(2).alias("main"), part(3).alias("range_end"), part(4).alias("alt"))
 
 
 def class_tokens(c: Column) -> Column:
@@ -107,4 +116,5 @@ def looks_regex_like(c: Column) -> Column:
 
 
 def character_count(c: Column, char: str) -> Column:
+    """Occurrences of one character, by plain byte search."""
     return (F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))).cast("bigint")

@@ -19,6 +19,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column | str) -> Column:
+    """``c`` as the output of a one-element explode.
+
+    The optimizer copies a plain projected expression into every later use of it (filters, fields,
+    inferred size checks of explodes). Behind a generator it is computed once per row. For
+    expressions that are costly: regexes over whole texts, JSON decoding.
+    """
+    return F.explode(F.array(col(c)))
+
+
 def strip_ws(c: Column | str) -> Column:
     """Strip Unicode white space from both ends (plain ``trim`` removes U+0020 only)."""
     return F.trim(col(c), F.lit(WS_CHARS))

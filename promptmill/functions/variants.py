@@ -55,13 +55,12 @@ def response_body(root: Column) -> Column:
     return F.when(wrapped, object_at(root, "$.response.body")).otherwise(object_at(root))
 
 
-def main_text(root: Column) -> Column:
-    """All texts of a result line, stripped, blank ones dropped, joined by an empty line; NULL if none.
+def body_text(body: Column) -> Column:
+    """All texts of a response body, stripped, blank ones dropped, joined by an empty line; NULL if none.
 
     ``output_text`` (a string, or the strings of an array) comes first, then the message contents;
     a text present in both places appears twice.
     """
-    body = response_body(root)
     direct = F.when(string_at(body, "$.output_text").isNotNull(), F.array(string_at(body, "$.output_text"))).otherwise(
         _strings(list_at(body, "$.output_text")))
     nested = F.flatten(F.transform(message_items(body), content_texts))
@@ -69,9 +68,8 @@ def main_text(root: Column) -> Column:
     return F.when(body.isNotNull(), F.nullif(strip_ws(F.array_join(texts, PARTS_SEPARATOR)), F.lit("")))
 
 
-def usage(root: Column) -> Column:
-    """Token counts of a result line; absent ones are NULL."""
-    body = response_body(root)
+def usage(body: Column) -> Column:
+    """Token counts of a response body; absent ones are NULL."""
     return F.struct(
         field(body, "$.usage.input_tokens", "bigint").alias("input_tokens"),
         field(body, "$.usage.input_tokens_details.cached_tokens", "bigint").alias("cached_tokens"),

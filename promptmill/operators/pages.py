@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmill.functions import refs
+from promptmill.functions.text import once
 
 # Elements without content, and elements holding raw text.
 VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -131,15 +132,16 @@ def annotated_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 def tag_inventory(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Open tags with a standing class list: per page, tag and old class the merged class and a count."""
     rules = F.create_map(*[x for t, c in refs.TAG_CLASSES.items() for x in (F.lit(t), F.lit(c))])
-    tags = pages.select(key, F.inline(refs.open_tags(F.col(html)))).where(F.col("tag").isin(*refs.TAG_CLASSES))
+    tags = pages.select(key, once(refs.open_tags(F.col(html))).alias("_t")).select(key, F.inline("_t")).where(F.col("tag").isin(*refs.TAG_CLASSES))
     counted = tags.groupBy(key, "tag", "class").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("merged_class", refs.merge_class(F.col("class"), F.element_at(rules, F.col("tag"))))
 
 
 def deliverable_refs(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """References in order of occurrence: (key, pos, kind, main, range_end, alt, raw)."""
-    return texts.select(key, F.posexplode(refs.references(F.col(text))).alias("pos", "_r")).select(
-        key, (F.col("pos") + 1).cast("bigint").alias("pos"), "_r.kind", "_r.main", "_r.range_end", "_r.alt", "_r.raw")
+    found = texts.select(key, once(refs.references(F.col(text))).alias("_r")).select(key, F.posexplode("_r").alias("pos", "raw"))
+    return found.select(key, (F.col("pos") + 1).cast("bigint").alias("pos"), refs.reference_parts(F.col("raw")).alias("_p"), "raw").select(
+        key, "pos", "_p.kind", "_p.main", "_p.range_end", "_p.alt", "raw")
 
 
 def ref_summary(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -148,8 +150,8 @@ def ref_summary(texts: DataFrame, text: str = "text") -> DataFrame:
     Kinds are counted inside the row, so the shuffle carries at most one partial row per kind and
     task, and no distinct count over documents is needed.
     """
-    kinds = F.transform(refs.references(F.col(text)), lambda r: r["kind"])
-    per_doc = texts.select(kinds.alias("_k")).select("_k", F.explode(F.array_distinct("_k")).alias("kind"))
+    kinds = F.transform(refs.references(F.col(text)), refs.reference_kind)
+    per_doc = texts.select(once(kinds).alias("_k")).select("_k", F.explode(F.array_distinct("_k")).alias("kind"))
     n = F.size(F.filter(F.col("_k"), lambda k: k == F.col("kind")))
     return per_doc.groupBy("kind").agg(F.sum(n).cast("bigint").alias("n_refs"), F.count(F.lit(1)).alias("n_docs"))
 
@@ -159,10 +161,11 @@ def uncovered_characters(texts: DataFrame, key: str, text: str = "text") -> Data
     counts = F.array(*[
         F.struct(F.lit(f"U+{cp:04X}").alias("code_point"), refs.character_count(F.col(text), chr(cp)).alias("n"))
         for cp in refs.UNCOVERED_CODE_POINTS])
-    return texts.select(key, F.inline(F.filter(counts, lambda c: c["n"] > 0)))
+    return texts.select(key, F.inline(counts)).where(F.col("n") > 0)
 
 
 def math_spans(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Math spans ``$..$`` and whether each is really a regular expression."""
-    return texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\$([^$\n]+)\$"), F.lit(1))).alias("pos", "span")).select(
+    spans = F.regexp_extract_all(F.col(text), F.lit(r"\$([^$\n]+)\$"), F.lit(1))
+    return texts.select(key, once(spans).alias("_s")).select(key, F.posexplode("_s").alias("pos", "span")).select(
         key, (F.col("pos") + 1).cast("bigint").alias("pos"), "span", refs.looks_regex_like(F.col("span")).alias("is_regex"))

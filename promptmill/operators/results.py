@@ -60,6 +60,7 @@ def answer_class() -> Column:
 
 
 def split_good_bad(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good lines and rejects. Both read ``extracted``; write it first when both are wanted whole."""
     marked = extracted.withColumn("answer_class", answer_class())
     return marked.where(F.col("answer_class") == "good"), marked.where(F.col("answer_class") != "good")
 

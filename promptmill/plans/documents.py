@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from promptmill import schemas
 from promptmill.functions import hashing, refs, requests, template, variants
-from promptmill.functions.text import WS_CHARS, is_uuid, stable_uuid
+from promptmill.functions.text import WS_CHARS, is_uuid, once, stable_uuid
 from promptmill.operators import numbering, pages, results
 from promptmill.plans import production
 from promptmill.plans.inputs import AS_OF, Inputs
 from promptmill.plans.registry import query
-from promptmill.session import shared_dir
+from promptmill.session import cut_lineage, shared_dir
 from promptmill.sources import corpus, jsonl, objects
 
 _WS = f"'{WS_CHARS}'"
@@ -56,14 +56,18 @@ def submission_plan(t: Inputs) -> DataFrame:
         F.sum(F.length(F.get_json_object("line", "$.body.input[1].content[0].text"))).cast("bigint").alias("prompt_chars"))
 
 
-_LINE_FIELDS = {
-    "custom_id": "$.custom_id", "method": "$.method", "url": "$.url", "model": "$.body.model", "cache_key": "$.body.prompt_cache_key",
-    "max_tokens": "$.body.max_output_tokens", "system_text": "$.body.input[0].content[0].text", "user_text": "$.body.input[1].content[0].text",
-    "user_role": "$.body.input[1].role", "effort": "$.body.reasoning.effort"}
+_LINE = (
+    "custom_id string, method string, url string, body struct<model:string,prompt_cache_key:string,max_output_tokens:string,"
+    "input:array<struct<role:string,content:array<struct<type:string,text:string>>>>,reasoning:struct<effort:string>>")
 
 
-def _fields(line: Column) -> list[Column]:
-    return [F.get_json_object(line, p).alias(n) for n, p in _LINE_FIELDS.items()]
+def _read_back(lines: DataFrame, *keys: str) -> DataFrame:
+    """The fields of request lines, each line parsed once."""
+    part = lambda i, p: F.get(F.col("j.body.input"), F.lit(i))[p]
+    return lines.select(*keys, once(F.from_json("line", _LINE)).alias("j")).select(
+        *keys, "j.custom_id", "j.method", "j.url", "j.body.model", F.col("j.body.prompt_cache_key").alias("cache_key"),
+        F.col("j.body.max_output_tokens").alias("max_tokens"), F.get(part(0, "content"), F.lit(0))["text"].alias("system_text"),
+        F.get(part(1, "content"), F.lit(0))["text"].alias("user_text"), part(1, "role").alias("user_role"), F.col("j.body.reasoning.effort").alias("effort"))
 
 
 @query("""select request_id, request_id as custom_id, 'POST' as method, '/v1/responses' as url, 'gpt-5' as model, 'key-' || production_id as cache_key,
@@ -73,7 +77,7 @@ def request_line(t: Inputs) -> DataFrame:
     line = requests.request_line(
         F.col("request_id"), F.lit("system"), F.col("request_text"), F.concat(F.lit("key-"), "production_id"), F.lit("gpt-5"),
         F.when(F.col("state") == "entered", "high"))
-    return t.requests.select("request_id", line.alias("line")).select("request_id", *_fields(F.col("line")))
+    return _read_back(t.requests.select("request_id", line.alias("line")), "request_id")
 
 
 @query(f"""select c.doc_id, c.turn, 'q_010802_000000_' || case when c.turn < 1000 then lpad(cast(c.turn + 1 as varchar), 4, '0') else cast(c.turn + 1 as varchar) end as custom_id,
@@ -88,8 +92,8 @@ def request_line_doc(t: Inputs) -> DataFrame:
     line = requests.request_line(
         requests.numbered_id(moment, F.col("turn") + 1), requests.document_system_text(F.col("text"), "pre\n", "post"),
         F.col("prompt"), F.lit("configured"), F.lit("gpt-5"), F.lit("high"))
-    return turns.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "turn", line.alias("line")).select(
-        "doc_id", "turn", *_fields(F.col("line")))
+    lines = turns.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "turn", line.alias("line"))
+    return _read_back(lines, "doc_id", "turn")
 
 
 # ---- corpora ----------------------------------------------------------------------------
@@ -218,7 +222,7 @@ _ANSWER_CLASS = f"""case when not line_ok then 'invalid_json' when custom_id is
 
 @query(f"with {_DECODED} select batch_fk, {_ANSWER_CLASS} as answer_class, count(*) as n from decoded group by all", "result_files")
 def split_good_bad(t: Inputs) -> DataFrame:
-    good, bad = results.split_good_bad(_extracted(t).select("batch_fk", "line_ok", "custom_id", "content"))
+    good, bad = results.split_good_bad(cut_lineage(_extracted(t).select("batch_fk", "line_ok", "custom_id", "content"), "extracted"))
     return good.unionByName(bad).groupBy("batch_fk", "answer_class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -264,7 +268,8 @@ _MEMBER = """case when json_type(p, '$.results') = 'ARRAY' then 'results' when j
       case when shape = 'results' then coalesce(m ->> '$.metadata.k', '-') else m ->> '$.custom_id' end as meta_key
     from m where length(m ->> '$.custom_id') = 36""", "payloads")
 def extract_answers(t: Inputs) -> DataFrame:
-    rows = t.payloads.select("doc_id", F.inline(variants.answers(F.try_parse_json("payload"))))
+    parsed = t.payloads.select("doc_id", once(F.try_parse_json("payload")).alias("p")).select("doc_id", once(variants.answers(F.col("p"))).alias("a"))
+    rows = parsed.select("doc_id", F.inline("a"))
     meta = lambda p: F.get_json_object("metadata", p)
     return rows.select("doc_id", "request_id", "content", F.coalesce(meta("$.k"), meta("$.custom_id"), F.lit("-")).alias("meta_key"))
 
@@ -274,7 +279,7 @@ def extract_answers(t: Inputs) -> DataFrame:
       case when status not in ('expired', 'finalizing') then cast(event_id as varchar) end as total
     from status_payloads join provider_reports using (event_id)""", "status_payloads", "provider_reports")
 def parse_batch_status(t: Inputs) -> DataFrame:
-    s = t.status_payloads.select("event_id", variants.batch_status("payload").alias("s"))
+    s = t.status_payloads.select("event_id", once(variants.batch_status("payload")).alias("s"))
     return s.select(
         "event_id", F.col("s").isNotNull().alias("ok"), "s.id", "s.status", "s.error_file_id", F.get_json_object("s.request_counts", "$.total").alias("total"))
 
@@ -283,7 +288,7 @@ def parse_batch_status(t: Inputs) -> DataFrame:
       payload ->> '$.request_counts.failed' as failed, payload ->> '$.usage.input_tokens_details.cached_tokens' as cached_tokens, payload ->> '$.usage.total_tokens' as total_tokens
     from submit_payloads where payload ->> '$.status' is not null""", "submit_payloads")
 def parse_submit_response(t: Inputs) -> DataFrame:
-    s = t.submit_payloads.select("uid", variants.submit_response("payload").alias("s")).where(F.col("s").isNotNull())
+    s = t.submit_payloads.select("uid", once(variants.submit_response("payload")).alias("s")).where(F.col("s").isNotNull())
     text = lambda p, n: F.col(p).cast("string").alias(n)
     return s.select(
         "uid", "s.id", "s.status", text("s.completed_at", "completed_at"), text("s.request_counts.total", "total"), text("s.request_counts.failed", "failed"),
@@ -293,14 +298,15 @@ def parse_submit_response(t: Inputs) -> DataFrame:
 @query("""select doc_id, payload ->> '$.id' as id, cast(payload ->> '$.bytes' as bigint) as bytes, payload ->> '$.filename' as filename
     from upload_payloads where payload ->> '$.purpose' is not null""", "upload_payloads")
 def parse_upload_response(t: Inputs) -> DataFrame:
-    s = t.upload_payloads.select("doc_id", variants.upload_response("payload").alias("s")).where(F.col("s").isNotNull())
+    s = t.upload_payloads.select("doc_id", once(variants.upload_response("payload")).alias("s")).where(F.col("s").isNotNull())
     return s.select("doc_id", "s.id", "s.bytes", "s.filename")
 
 
 @query(f"""with {_DECODED} select doc_id, body ->> '$.usage.input_tokens' as input_tokens, body ->> '$.usage.output_tokens' as output_tokens,
     body ->> '$.usage.total_tokens' as total_tokens from decoded where line_ok""", "result_files")
 def usage_columns(t: Inputs) -> DataFrame:
-    u = jsonl.result_lines(t.result_files).where("line_ok").select("doc_id", variants.usage(F.col("root")).alias("u"))
+    body = once(variants.response_body(F.col("root"))).alias("body")
+    u = jsonl.result_lines(t.result_files).where("line_ok").select("doc_id", body).select("doc_id", variants.usage(F.col("body")).alias("u"))
     return u.select("doc_id", *[F.col(f"u.{c}").cast("string").alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
 
 
@@ -451,17 +457,17 @@ def materialise_new_results(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(path).select("custom_id", "line")
 
 
-@query(f"""select {uuid_sql("cast(doc_id as varchar)")} as custom_id, text as user_text, cast((rn - 1) // 10 as bigint) as batch_no
+@query(f"""select {uuid_sql("cast(doc_id as varchar)")} as custom_id, text as user_text, cast((rn - 1) // 200 as bigint) as block
     from (select doc_id, text, row_number() over (order by doc_id) as rn from documents) x""")
 def request_jsonl(t: Inputs) -> DataFrame:
     rows = t.documents.select(stable_uuid("doc_id").alias("request_id"), F.col("text").alias("request_text"), "doc_id")
     lines = production.submission_lines(rows, ["doc_id"], system_text="s", model="gpt-5")
     path = shared_dir(t.spark, "request-jsonl")
-    jsonl.write_request_jsonl(lines, path, batch="batch_no")
+    jsonl.write_request_jsonl(lines, path, batches_per_folder=20)
     back = t.spark.read.text(path)
     return back.select(
         F.get_json_object("value", "$.custom_id").alias("custom_id"), F.get_json_object("value", "$.body.input[1].content[0].text").alias("user_text"),
-        F.col("batch_no").cast("bigint").alias("batch_no"))
+        F.col("block").cast("bigint").alias("block"))
 
 
 @query(f"""select 'doc-fnv1a64-' || {_FNV.format('text')} as prompt_cache_key, {_FNV.format('text')} as document_hash_fnv64, 'file-' || cast(doc_id as varchar) as batch_input_file_id,

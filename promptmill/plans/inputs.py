@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from promptmill.sources.tables import load_table, spread
 from promptmill.streaming.runs import read_stream
 
 AS_OF = "2001-08-02 00:00:00"
@@ -203,6 +204,8 @@ DUCKDB_ONLY = {"encoded_base": "select doc_id, to_base64(encode(text)) as b from
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
+TEXT_TABLES = ("documents", "pages")
+
 
 def _closure(names: tuple[str, ...], seen: dict[str, None]) -> dict[str, None]:
     for n in names:
@@ -234,7 +237,9 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table; the tables of texts are dealt over all cores when they come in few splits."""
+        df = load_table(self.spark, self.sf_dir, name)
+        return spread(df) if name in TEXT_TABLES else df
 
     def _derive(self, name: str, streamed: str | None, files_per_trigger: int | None = None) -> DataFrame:
         head = with_clause((name,), SPARK_ONLY)

@@ -377,9 +377,9 @@ def invocation_status(t: Inputs) -> DataFrame:
 @query(_KINDS + """ select request_eid, request_eid as response_eid, outcome as kind, case when outcome in ('text_block', 'asset') then content end as content,
       case when outcome = 'aborted' then 'ABORT' else 'OK' end as status from outcomes""", *_RESPONSE_INPUTS)
 def response_json(t: Inputs) -> DataFrame:
-    j = _outcomes(t).select("request_eid", responses.response_json().alias("j"))
-    at = lambda p, n: F.get_json_object("j", p).alias(n)
-    return j.select("request_eid", at("$.responseEId", "response_eid"), at("$.result.kind", "kind"), at("$.result.content", "content"), at("$.status", "status"))
+    shape = "responseEId string, result struct<kind:string,content:string>, status string"
+    j = _outcomes(t).select("request_eid", F.from_json(responses.response_json(), shape).alias("j"))
+    return j.select("request_eid", F.col("j.responseEId").alias("response_eid"), "j.result.kind", "j.result.content", "j.status")
 
 
 @query("""select c.uid, count(x.reason) = 0 as is_valid from cconnection c left join ccancel x on x.connection_fk = c.uid group by c.uid""",

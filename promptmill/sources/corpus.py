@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptmill.functions.text import WS, WS_NO_NEWLINE, header_value, rewrite_prompt, strip_ws
+from promptmill.functions.text import WS, WS_NO_NEWLINE, header_value, once, rewrite_prompt, strip_ws
 
 # Fixed value: an item header opens and closes with this line.
 DELIMITER = "-*-*-*-*-*-*-*-*-*-"
@@ -53,28 +53,27 @@ def _bad_header(header: Column) -> Column:
     return F.exists(_lines(header), lambda ln: _counts(ln) & ~ln.contains("="))
 
 
-def split_items(corpus: Column) -> Column:
-    """``struct(reject, items)``; items are numbered from 1. Text before the first delimiter is dropped."""
-    segments = F.split(corpus, DELIMITER_LINE)
-    pairs = F.floor((F.size(segments) - 1) / 2).cast("int")
-    items = F.when(pairs >= 1, F.transform(F.sequence(F.lit(1), pairs), lambda i: F.struct(
-        i.alias("item_index"),
-        _ended(F.get(segments, 2 * i - 1)).alias("header_toml"),
-        _ended(F.get(segments, 2 * i)).alias("body"))))
-    return F.struct(
-        F.when(F.exists(items, lambda it: _bad_header(it["header_toml"])), BAD_HEADER)
-        .when(F.size(segments) % 2 == 0, UNCLOSED).alias("reject"),
-        items.alias("items"))
+def _pairs(segments: Column, build) -> Column:
+    """One array element per (header, body) pair: segments 1 and 2, 3 and 4, ..."""
+    n = F.floor((F.size(segments) - 1) / 2).cast("int")
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), build))
 
 
 def source_items(df: DataFrame, corpus: str = "corpus") -> Corpus:
-    """Items of every corpus row; a row with an error yields no items and one reject."""
+    """Items of every corpus row, numbered from 1; a row with an error yields no items and one reject.
+
+    Text before the first delimiter is dropped. The split is computed once per row.
+    """
     rest = [c for c in df.columns if c != corpus]
-    split = df.withColumn("_s", split_items(F.col(corpus)))
-    good = split.where(F.col("_s.reject").isNull() & F.col("_s.items").isNotNull())
+    seg = F.col("_seg")
+    split = df.select(*rest, once(F.split(F.col(corpus), DELIMITER_LINE)).alias("_seg"))
+    bad = F.coalesce(F.exists(_pairs(seg, lambda i: F.get(seg, 2 * i - 1)), _bad_header), F.lit(False))
+    reason = F.when(bad, BAD_HEADER).when(F.size(seg) % 2 == 0, UNCLOSED)
+    items = _pairs(seg, lambda i: F.struct(
+        i.alias("item_index"), _ended(F.get(seg, 2 * i - 1)).alias("header_toml"), _ended(F.get(seg, 2 * i)).alias("body")))
     return Corpus(
-        good.select(*rest, F.inline("_s.items")),
-        split.where(F.col("_s.reject").isNotNull()).select(*rest, F.col("_s.reject").alias("reason")))
+        split.where(reason.isNull()).select(*rest, F.inline(items)),
+        split.where(reason.isNotNull()).select(*rest, reason.alias("reason")))
 
 
 def _entry(line: Column) -> Column:
@@ -123,7 +122,7 @@ def prompt_blocks(df: DataFrame, prompts: str = "prompts") -> DataFrame:
     """Blocks ``N: title`` separated by blank lines; anything else is dropped without an error."""
     rest = [c for c in df.columns if c != prompts]
     blocks = F.split(F.replace(F.col(prompts), F.lit("\r\n"), F.lit("\n")), BLANK_LINES)
-    rows = df.select(*rest, F.posexplode(blocks).alias("block_no", "_b")).withColumn("_b", strip_ws("_b"))
+    rows = df.select(*rest, once(blocks).alias("_bs")).select(*rest, F.posexplode("_bs").alias("block_no", "_b")).withColumn("_b", strip_ws("_b"))
     return (
         rows.where(F.col("_b").rlike(PROMPT_BLOCK))
         .select(

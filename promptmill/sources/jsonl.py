@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptmill.functions import variants
+from promptmill.functions.text import once
 from promptmill.schemas import MANIFEST_FIELDS, RUN_MANIFEST
 
 
@@ -16,27 +17,40 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def result_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Decode each non-empty line on its own: ``root`` is NULL on a bad one."""
-    return df.where(F.col(line) != "").withColumn("root", F.try_parse_json(line)).withColumn("line_ok", F.col("root").isNotNull())
+    decoded = df.where(F.col(line) != "").select(*df.columns, once(F.try_parse_json(line)).alias("root"))
+    return decoded.withColumn("line_ok", F.col("root").isNotNull())
 
 
 def with_main_text(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``custom_id`` and ``content`` (NULL on bad lines and blank answers)."""
-    decoded = result_lines(df, line)
-    return decoded.select(
-        *df.columns, "line_ok", variants.string_at(F.col("root"), "$.custom_id").alias("custom_id"),
-        variants.main_text(F.col("root")).alias("content"))
+    """Add ``custom_id`` and ``content`` (NULL on bad lines and blank answers).
 
+    Decoding and picking the body run once per line.
+    """
+    decoded = df.where(F.col(line) != "").select(*df.columns, once(F.try_parse_json(line)).alias("root"))
+    bodies = decoded.select(
+        *df.columns, F.col("root").isNotNull().alias("line_ok"), variants.string_at(F.col("root"), "$.custom_id").alias("custom_id"),
+        once(variants.response_body(F.col("root"))).alias("_body"))
+    return bodies.select(*df.columns, "line_ok", "custom_id", variants.body_text(F.col("_body")).alias("content"))
 
-def write_request_jsonl(lines: DataFrame, path: str, batch: str = "batch_uid", order: str = "pos", line: str = "line") -> None:
-    """One folder per batch, its lines in order. Rows of a batch are bounded by the batch size."""
-    (lines.repartition(batch).sortWithinPartitions(batch, order)
-     .select(batch, F.col(line).alias("value")).write.partitionBy(batch).text(path))
+
+def write_request_jsonl(lines: DataFrame, path: str, batch: str = "batch_no", order: str = "pos", line: str = "line", batches_per_folder: int = 1000) -> None:
+    """Request lines as JSONL, ordered by batch and position, one folder per block of batches.
+
+    A folder per batch would mean one tiny file per ten requests; a block keeps files large while
+    the lines of a batch stay together and in order.
+    """
+    block = F.floor(F.col(batch) / batches_per_folder).cast("bigint")
+    (lines.withColumn("block", block).repartition("block").sortWithinPartitions("block", batch, order)
+     .select("block", F.col(line).alias("value")).write.partitionBy("block").text(path))
 
 
 def materialise_results(new_results: DataFrame, path: str, buckets: int = 64) -> None:
-    """Append new results, grouped by a hash of the id: no file per row."""
-    (new_results.withColumn("bucket", F.pmod(F.xxhash64("custom_id"), F.lit(buckets)).cast("int"))
-     .write.mode("append").partitionBy("bucket").parquet(path))
+    """Append new results, grouped by a hash of the id: no file per row.
+
+    The rebalance hint gathers each bucket in a few well-sized tasks, however many rows it has.
+    """
+    bucketed = new_results.withColumn("bucket", F.pmod(F.xxhash64("custom_id"), F.lit(buckets)).cast("int"))
+    (bucketed.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(path))
 
 
 def write_manifest(row: DataFrame, path: str) -> None:

@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SPLITS_PER_SPLIT = 8
+
+
 def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan's rows over more tasks when it has fewer splits than the cluster has cores.
+
+    For work that is heavy per row over files of a few large row groups. A scan of many splits, the
+    normal case for a big table, is returned as it is and costs no shuffle.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= cores else df.repartition(min(cores, splits * SPLITS_PER_SPLIT))
+
+
 def load_tables(spark: SparkSession, base: str, *names: str) -> dict[str, DataFrame]:
     return {n: load_table(spark, base, n) for n in names}
 

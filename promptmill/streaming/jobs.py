@@ -9,6 +9,7 @@ from promptmill import schemas
 from promptmill.functions import details, variants
 from promptmill.functions.text import as_time, lease_free, stable_uuid
 from promptmill.operators import claims, events, results
+from promptmill.operators.joins import join_hot
 from promptmill.plans.production import submission_lines
 from promptmill.sources import jsonl
 from promptmill.streaming.runs import read_epochs, run_available, write_epoch
@@ -54,18 +55,18 @@ def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFra
 
     def step(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        ended = read_epochs(spark, f"{out}/terminal", _struct(spark, terminal_schema), before=epoch).select("batch_fk")
+        ended = read_epochs(spark, f"{out}/terminal", _struct(spark, terminal_schema), before=epoch).select("batch_fk").distinct()
         status = variants.provider_status("status", "error_file_id")
-        seen = df.select("event_id", "batch_fk", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), status.alias("s")).select(
-            "event_id", "batch_fk", "occurred_at", "s.status", "s.reason", "s.is_error").join(ended, "batch_fk", "left_anti")
+        mapped = df.select("event_id", "batch_fk", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), status.alias("s")).select(
+            "event_id", "batch_fk", "occurred_at", "s.status", "s.reason", "s.is_error")
+        seen = join_hot(mapped, ended, ["batch_fk"], "left_anti")
         first = seen.where(claims.is_terminal_event("status")).groupBy("batch_fk").agg(
             F.min(F.struct("occurred_at", "event_id", "status", "reason")).alias("t")).select("batch_fk", "t.*")
         terminal = write_epoch(first, f"{out}/terminal", epoch)
 
-        end = F.struct(F.col("t.occurred_at"), F.col("t.event_id"))
-        kept = seen.alias("s").join(terminal.alias("t"), "batch_fk", "left").where(
-            F.col("t.event_id").isNull() | (F.struct("s.occurred_at", "s.event_id") <= end)).select(
-            "batch_fk", "s.event_id", "s.occurred_at", "s.status", "s.reason", "s.is_error")
+        ends = terminal.select("batch_fk", F.struct("occurred_at", "event_id").alias("_end"))
+        kept = join_hot(seen, ends, ["batch_fk"], "left").where(
+            F.col("_end").isNull() | (F.struct("occurred_at", "event_id") <= F.col("_end")))
         polled = kept.select(
             "event_id", "batch_fk", F.when(F.col("is_error"), "poll_error").otherwise("polled").alias("event_type"),
             F.when(F.col("is_error"), details.poll_error(F.lit("PROVIDER"), F.lit("unknown batch status"))).otherwise(
@@ -77,7 +78,7 @@ def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFra
 
         stopped = terminal.where(F.col("status").isin("cancelled", "failed")).select("batch_fk", "status", "reason")
         submitted = requests.where(F.col("state") == "submitted").select(F.col("request_id").alias("request_fk"))
-        hit = batch_requests.select("request_fk", "batch_fk").join(stopped, "batch_fk").join(submitted, "request_fk", "left_semi")
+        hit = join_hot(batch_requests.select("request_fk", "batch_fk"), stopped, ["batch_fk"]).join(submitted, "request_fk", "left_semi")
         write_epoch(hit.select(
             F.col("request_fk").alias("request_id"), F.lit("cancelled").alias("state"),
             details.batch_terminal(F.col("batch_fk"), F.col("status"), F.col("reason")).alias("details")), f"{out}/request_events", epoch)
@@ -107,13 +108,12 @@ def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoi
         write_epoch(answers.select("request_fk", "batch_fk").distinct().select(
             F.col("request_fk").alias("request_id"), F.lit("completed").alias("state"),
             details.answer_materialized(F.col("batch_fk"), F.lit("null")).alias("details")), f"{out}/request_events", epoch)
-        batches = df.select("batch_fk").distinct()
-        members = batch_requests.join(batches, "batch_fk", "left_semi")
+        batches = write_epoch(fixed.select("batch_fk").distinct(), f"{out}/outbox_done", epoch)
+        members = join_hot(batch_requests.select("batch_fk", "request_fk"), batches, ["batch_fk"], "left_semi")
         counts = results.answers_materialized(answers, members)
         write_epoch(counts.select(
             "batch_fk", F.lit("answers_materialized").alias("event_type"),
             details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details")), f"{out}/batch_events", epoch)
-        write_epoch(batches, f"{out}/outbox_done", epoch)
 
     run_available(lines, step, checkpoint)
 
