@@ -9,7 +9,7 @@ from promptmill import schemas
 from promptmill.functions import hashing, refs, requests, template, variants
 from promptmill.functions.text import WS_CHARS, is_uuid, once, stable_uuid
 from promptmill.operators import numbering, pages, results
-from promptmill.plans import production
+from promptmill.plans import commands, production
 from promptmill.plans.inputs import AS_OF, Inputs
 from promptmill.plans.registry import query
 from promptmill.session import cut_lineage, shared_dir
@@ -180,6 +180,19 @@ def prompt_blocks(t: Inputs) -> DataFrame:
     return corpus.prompt_blocks(t.prompt_files.select("doc_id", "prompts")).select("doc_id", "number", "title")
 
 
+@query(f"""with p as (select doc_id, 1 as idx, 'Generate a first version for item ' || cast(doc_id as varchar) || ', "' ||
+        trim(substr(prompts, strpos(prompts, ':') + 1, strpos(prompts, {_NL} || {_NL} || 'no number') - strpos(prompts, ':') - 1), {_WS}) || '"' as prompt from prompt_files
+      union all select doc_id, 2, 'Generate a first version for item 7, "' || lang || '"' from documents),
+    h as materialized (select doc_id, text, {_FNV.format('text')} as fnv from documents)
+    select doc_id, idx as index, 'q_010802_000000_' || lpad(cast(idx as varchar), 4, '0') as custom_id, prompt, 'doc-fnv1a64-' || fnv as cache_key,
+      'pre' || text || {_NL} || {_NL} || {_NL} || 'Use these project details as the authoritative context for your responses.' || {_NL} || 'post' as system_text
+    from p join h using (doc_id)""", "prompt_files")
+def load_requests(t: Inputs) -> DataFrame:
+    runs = t.prompt_files.join(t.documents.select("doc_id", F.col("text").alias("document")), "doc_id")
+    loaded = commands.load_requests(runs, "doc_id", AS_OF, "gpt-5", prefix="pre", postfix="post")
+    return _read_back(loaded.lines, "doc_id", "index", "prompt").select("doc_id", "index", "custom_id", "prompt", "cache_key", "system_text")
+
+
 # ---- result lines -----------------------------------------------------------------------
 
 _DECODED = f"""d0 as (select doc_id, batch_fk, line, json_valid(line) as line_ok, case when json_valid(line) then line::json end as j from result_files where line <> ''),
@@ -470,8 +483,9 @@ def request_jsonl(t: Inputs) -> DataFrame:
         F.col("block").cast("bigint").alias("block"))
 
 
-@query(f"""select 'doc-fnv1a64-' || {_FNV.format('text')} as prompt_cache_key, {_FNV.format('text')} as document_hash_fnv64, 'file-' || cast(doc_id as varchar) as batch_input_file_id,
-    'batch-' || cast(doc_id as varchar) as batch_id, '/v1/responses' as endpoint, '24h' as completion_window, 'gpt-5' as model_used from documents""")
+@query(f"""with h as materialized (select doc_id, {_FNV.format('text')} as fnv from documents)
+    select 'doc-fnv1a64-' || fnv as prompt_cache_key, fnv as document_hash_fnv64, 'file-' || cast(doc_id as varchar) as batch_input_file_id,
+    'batch-' || cast(doc_id as varchar) as batch_id, '/v1/responses' as endpoint, '24h' as completion_window, 'gpt-5' as model_used from h""")
 def run_manifest(t: Inputs) -> DataFrame:
     rows = production.manifests(
         t.documents.withColumn("k", F.col("doc_id").cast("string")), "text", F.concat(F.lit("file-"), "k"), F.concat(F.lit("batch-"), "k"), "gpt-5")

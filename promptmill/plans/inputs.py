@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from promptmill.session import ship_package
 from promptmill.sources.tables import load_table, spread
 from promptmill.streaming.runs import read_stream
 
@@ -235,6 +236,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         """A test table; the tables of texts are dealt over all cores when they come in few splits."""

@@ -71,6 +71,13 @@ def new_productions(corpora: DataFrame, template_name: str, template_text: str,
         rejects=split.rejects)
 
 
+def save_production(new: Production, path: str) -> None:
+    """Write all tables into a new folder. The productions come last: where they are, the rest is whole."""
+    tables = new._asdict()
+    for name in (*(n for n in tables if n != "productions"), "productions"):
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def stable_locator(content: str) -> Column:
     """The locator ``objects.index_rows`` gives a text."""
     digest = F.sha2(F.col(content), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,23 @@ def local_session(app: str = "promptmill", cores: str | int = "*", shuffle_parti
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), for the few jobs with Python workers.
+
+    Not needed where the package is installed on every node or passed with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="promptmill-")  # on the driver; Spark copies the archive from there
+    sc.addPyFile(shutil.make_archive(f"{stage}/promptmill", "zip", os.path.dirname(package), os.path.basename(package)))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder every executor can reach (``spark.checkpoint.dir``).
 
@@ -36,7 +55,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="promptmill-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else sc.setCheckpointDir(base)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/promptmill/{label}-{uuid.uuid4().hex}"
 
 

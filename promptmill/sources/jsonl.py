@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,16 @@ def materialise_results(new_results: DataFrame, path: str, buckets: int = 64) ->
     (bucketed.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("bucket").parquet(path))
 
 
+def stored_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Ids in a results store; none when it does not exist yet."""
+    try:
+        return spark.read.schema("custom_id string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "custom_id string")
+
+
 def write_manifest(row: DataFrame, path: str) -> None:
     """Run manifests as JSON, one row per run."""
     row.select(*MANIFEST_FIELDS).write.json(path)

@@ -75,3 +75,12 @@ def test_read_corpus_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(f"{D}\nk = 1\n{D}\nbody")
     got = corpus.source_items(corpus.read_corpus(spark, str(tmp_path))).items.collect()
     assert len(got) == 1 and got[0].source_name.endswith("a.txt")
+
+
+def test_saved_production(spark, tmp_path):
+    df = spark.createDataFrame([("p1", "s1", f"{D}\nn = 1\n{D}\nbody")], "production_name string, source_name string, corpus string")
+    new = production.new_productions(df, "tpl", "{{ text }}", "2026-01-01 00:00:00")
+    for _ in range(2):  # a repeated run writes the same rows
+        production.save_production(new, f"{tmp_path}/p")
+        saved = {n: spark.read.parquet(f"{tmp_path}/p/{n}") for n in new._fields}
+        assert {n: d.count() for n, d in saved.items()} == {n: {"s3_objects": 2, "rejects": 0}.get(n, 1) for n in new._fields}
