@@ -16,6 +16,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(F.col("value").alias("line")).where(F.col("line") != "")
 
 
+def file_lines(files: DataFrame) -> DataFrame:
+    """Result files (path, value) to numbered lines: batch_fk (the file's base name), line_no, line.
+
+    A result file holds the answers of one batch, so it is small and is read whole; that keeps its line order.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    lines = files.select(name.alias("batch_fk"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line") != "").select("batch_fk", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
+    return file_lines(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def stream_result_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Result files as they arrive in a folder."""
+    reader = spark.readStream.option("wholetext", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return file_lines(reader.text(folder).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def result_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """Decode each non-empty line on its own: ``root`` is NULL on a bad one."""
     decoded = df.where(F.col(line) != "").select(*df.columns, once(F.try_parse_json(line)).alias("root"))

@@ -92,6 +92,8 @@ ANSWERS = "batch_fk string, request_fk string, metadata string, content string,
 def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoint: str) -> None:
     """Result lines (batch_fk, line_no, line) become answers, rejects, events and outbox removals.
 
+    The lines themselves are kept too and entered in the object index, one object per batch.
+
     Answers are appended; ``current_results`` picks the last one per request, so repeated
     deliveries overwrite without rewriting a snapshot per micro-batch.
     """
@@ -111,9 +113,16 @@ def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoi
         batches = write_epoch(fixed.select("batch_fk").distinct(), f"{out}/outbox_done", epoch)
         members = join_hot(batch_requests.select("batch_fk", "request_fk"), batches, ["batch_fk"], "left_semi")
         counts = results.answers_materialized(answers, members)
-        write_epoch(counts.select(
+        materialized = counts.select(
             "batch_fk", F.lit("answers_materialized").alias("event_type"),
-            details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details")), f"{out}/batch_events", epoch)
+            details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details"))
+        size = F.sum(F.octet_length(F.encode("line", "UTF-8")) + 1).cast("bigint")
+        raw = write_epoch(fixed.groupBy("batch_fk").agg(size.alias("bytes")).select(
+            "batch_fk", stable_uuid(F.lit("raw"), F.lit(epoch), "batch_fk").alias("locator"), F.lit("raw_result").alias("kind"), "bytes",
+            F.lit("application/json").alias("content_type")), f"{out}/s3_objects", epoch)
+        fetched = raw.select(
+            "batch_fk", F.lit("raw_fetched").alias("event_type"), details.raw_fetched(F.col("batch_fk"), F.col("locator"), F.col("bytes")).alias("details"))
+        write_epoch(fetched.unionByName(materialized), f"{out}/batch_events", epoch)
 
     run_available(lines, step, checkpoint)
 

@@ -1,10 +1,13 @@
 """Streaming jobs: several micro-batches equal one, restarts add nothing."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from promptmill.operators import claims, events
 from promptmill.plans.inputs import AS_OF, Inputs
+from promptmill.sources import jsonl
 from promptmill.streaming import jobs
 from promptmill.streaming.runs import read_epochs, read_stream
 
@@ -93,3 +96,35 @@ def test_outbox_once(spark, tables, tmp_path):
 def test_missing_table_reads_empty(spark, tmp_path):
     schema = spark.createDataFrame([], "a int").schema
     assert read_epochs(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_fetch_from_files(spark, tmp_path):
+    uid = "00000000-0000-4000-8000-00000000000"
+    links = spark.createDataFrame([(uid + "1", "b1"), (uid + "2", "b1"), (uid + "3", "b2")], "request_fk string, batch_fk string")
+    folder, out, cp = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/cp"
+    folder.mkdir()
+    answer = lambda i, t: '{"custom_id":"%s%d","output_text":"%s"}' % (uid, i, t)
+    (folder / "b1.jsonl").write_text(answer(1, "old") + "\n\n" + answer(1, "new") + "\nbad\n")
+    jobs.fetch_stream(jsonl.stream_result_files(spark, str(folder)), links, out, cp)
+    (folder / "b2.jsonl").write_text(answer(3, "three") + "\n" + answer(2, "foreign") + "\n")
+    jobs.fetch_stream(jsonl.stream_result_files(spark, str(folder)), links, out, cp)
+    got = {(r.batch_fk, r.request_fk[-1]): r.content for r in jobs.current_results(spark, out).collect()}
+    assert got == {("b1", "1"): "new", ("b2", "3"): "three"}
+    log = {(r.batch_fk, r.event_type): json.loads(r.details) for r in spark.read.parquet(f"{out}/batch_events").collect()}
+    assert log["b1", "answers_materialized"] == {"event": "answers_materialized", "ok_count": 1, "missing_count": 1, "batch_request_count": 2}
+    raw = {r.batch_fk: (r.locator, r.bytes) for r in spark.read.parquet(f"{out}/s3_objects").collect()}
+    assert raw["b2"][1] == len((folder / "b2.jsonl").read_bytes()) and log["b2", "raw_fetched"]["raw_result_locator"] == raw["b2"][0]
+    assert {(r.batch_fk, r.reason) for r in spark.read.parquet(f"{out}/rejects").collect()} == {("b1", "invalid_json"), ("b2", "foreign_request")}
+    assert jsonl.read_result_files(spark, str(folder)).count() == 5
+
+
+def test_run_time_skew_handling_in_micro_batches(spark, tables, tmp_path):
+    """Joins in micro-batches do not rely on adaptive execution; both settings give the same rows."""
+    t, stream = tables
+    seen = []
+    for flag in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", flag)
+        jobs.poll_stream(stream("provider_reports"), t.batch_requests, t.requests, f"{tmp_path}/{flag}", f"{tmp_path}/cp{flag}")
+        seen.append(rows(spark.read.parquet(f"{tmp_path}/{flag}/fetch_outbox").select("batch_fk")))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(seen[0]) > 0 and seen[0] == seen[1]
