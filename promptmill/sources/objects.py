@@ -69,7 +69,7 @@ def read_existing_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode_base64(df: DataFrame, encoded: str) -> DataFrame:
     """Lenient decode: characters outside the alphabet are ignored; undecodable rows have NULL content."""
-    clean = F.regexp_replace(F.col(encoded), f"[^{BASE64_ALPHABET}]", "")
+    clean = F.regexp_replace(F.col(encoded), f"[^{BASE64_ALPHABET}]+", "")
     return df.withColumn("content", F.try_to_binary(clean, F.lit("base64"))).withColumn("size", F.octet_length("content").cast("bigint")).drop(encoded)
 
 
