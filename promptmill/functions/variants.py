@@ -102,10 +102,14 @@ def answers(payload: Column) -> Column:
 
 
 def _required(parsed: Column, *names: str) -> Column:
-    ok = F.lit(True)
-    for n in names:
-        ok = ok & parsed[n].isNotNull()
-    return F.when(ok, parsed)
+    """The record if all named fields are there. A lambda binds it, so that it is parsed once."""
+    def whole(record: Column) -> Column:
+        ok = F.lit(True)
+        for n in names:
+            ok = ok & record[n].isNotNull()
+        return F.when(ok, record)
+
+    return F.get(F.transform(F.array(parsed), whole), F.lit(0))
 
 
 def batch_status(payload: Column | str) -> Column:

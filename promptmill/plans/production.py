@@ -12,6 +12,7 @@ from promptmill import schemas
 from promptmill.functions import details, hashing, requests, template
 from promptmill.functions.text import as_time, stable_uuid
 from promptmill.operators import numbering, upserts
+from promptmill.session import cut_lineage
 from promptmill.sources import corpus, objects
 
 
@@ -38,37 +39,41 @@ def register_objects(target: DataFrame, rows: DataFrame) -> DataFrame:
 def new_productions(corpora: DataFrame, template_name: str, template_text: str, as_of, existing: DataFrame | None = None) -> Production:
     """Rows for one production per corpus (columns production_name, source_name, corpus).
 
-    Keys are derived from names and positions, so a repeated run yields the same rows. With
-    ``existing`` productions, a name that is already taken fails the whole call.
+    The corpora are read and split once, into a written table that all results derive from with
+    their own columns. Keys come from names and positions, so a repeated run yields the same
+    rows. With ``existing`` productions, a name that is already taken fails the whole call.
     """
     now = as_time(as_of)
     if existing is not None and corpora.join(existing.select("production_name"), "production_name", "left_semi").limit(1).count():
         raise RepeatedProduction("a production of that name exists")
-    spark = corpora.sparkSession
-    split = corpus.source_items(corpora)
-    items = corpus.with_item_meta(split.items)
+    sources = corpora.select(
+        "production_name", "source_name", "corpus", objects.content_locator("corpus").alias("locator"),
+        F.sha2("corpus", 256).alias("digest"), F.octet_length(F.encode("corpus", "UTF-8")).cast("bigint").alias("bytes"))
+    split = cut_lineage(corpus.split_corpora(sources), "productions")
+    good = split.where(F.col("reason").isNull())
+    items = good.select("production_name", "source_name", F.inline("items"))
+
     production_id = stable_uuid(F.lit("production"), "production_name")
-    tpl = objects.index_rows(spark.createDataFrame([(template_text,)], "body string"), "body", "template", None, as_of)
-    src = objects.index_rows(corpora.join(split.rejects, ["production_name", "source_name"], "left_anti"), "corpus", "source", None, as_of)
     template_id = stable_uuid(F.lit("template"), F.lit(template_name))
-    look = template.item_context(F.col("production_name"), F.col("item_index"), F.col("body"), F.col("item_meta"), F.col("header_toml"))
+    source_id = stable_uuid(F.lit("source"), "source_name", "locator")
+    tpl = objects.index_rows(corpora.sparkSession.createDataFrame([(template_text,)], "body string"), "body", "template", None, as_of)
+    src = good.select(
+        "locator", F.lit("source").alias("kind"), "bytes", F.unhex("digest").alias("sha256"), F.lit(None).cast("string").alias("content_type"), now.alias("created_at"))
     keyed = items.withColumn("production_id", production_id).withColumn("request_id", stable_uuid(F.lit("request"), "production_id", "item_index"))
-    good = corpora.join(split.rejects, ["production_name", "source_name"], "left_anti")
-    locator = stable_locator("corpus")
-    source_id = stable_uuid(F.lit("source"), "source_name", locator)
+    look = template.item_context(F.col("production_name"), F.col("item_index"), F.col("body"), F.col("item_meta"), F.col("header_toml"))
     return Production(
         s3_objects=tpl.unionByName(src).dropDuplicates(["locator"]),
         asset_templates=tpl.select(template_id.alias("template_id"), F.lit(template_name).alias("template_name"), F.col("locator").alias("s3_locator"), now.alias("created_at")),
-        asset_sources=good.select(source_id.alias("source_id"), "source_name", locator.alias("s3_locator"), now.alias("created_at")).dropDuplicates(["source_id"]),
+        asset_sources=good.select(source_id.alias("source_id"), "source_name", F.col("locator").alias("s3_locator"), now.alias("created_at")).dropDuplicates(["source_id"]),
         productions=good.select(
             production_id.alias("production_id"), "production_name", template_id.alias("template_id"), source_id.alias("source_id"), now.alias("created_at")),
-        requests=keyed.select(
+        requests=corpus.with_item_meta(keyed).select(
             "request_id", "production_id", "item_index", "item_meta", template.to_column(template_text, look).alias("request_text"),
             F.lit("entered").alias("state"), now.alias("created_at"), now.alias("updated_at")),
         request_events=keyed.select(
             F.xxhash64("request_id", F.lit("entered")).alias("event_id"), "request_id", F.lit("entered").alias("state"),
             details.entered(F.lit(template_name), F.col("source_name"), F.col("item_index"), F.col("header_toml")).alias("details"), now.alias("occurred_at")),
-        rejects=split.rejects)
+        rejects=split.where(F.col("reason").isNotNull()).select("production_name", "source_name", "reason"))
 
 
 def save_production(new: Production, path: str) -> None:
@@ -78,12 +83,6 @@ def save_production(new: Production, path: str) -> None:
         tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def stable_locator(content: str) -> Column:
-    """The locator ``objects.index_rows`` gives a text."""
-    digest = F.sha2(F.col(content), 256)
-    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-
-
 def cache_keys(grouped: DataFrame, batch: str, pos: str, text: str) -> DataFrame:
     """Cache key per batch over its texts in order, a newline before each. Batches are of bounded size."""
     joined = grouped.groupBy(batch).agg(numbering.join_bounded(pos, text, "\n").alias("_j"), F.count(F.lit(1)).alias("request_count"))

@@ -10,11 +10,13 @@ import json
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmill.functions.text import WS, WS_NO_NEWLINE, header_value, once, rewrite_prompt, strip_ws
+from promptmill.operators.joins import join_hot
+from promptmill.session import cut_lineage
 
 # Fixed value: an item header opens and closes with this line.
 DELIMITER = "-*-*-*-*-*-*-*-*-*-"
@@ -32,7 +34,7 @@ class Corpus(NamedTuple):
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file. A file is one task, so very large corpora should arrive as rows instead."""
+    """One row per file. A file is one task; for very large ones there is ``large_corpus_items``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_name"), F.col("value").alias("corpus"))
 
 
@@ -59,8 +61,8 @@ def _pairs(segments: Column, build) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), build))
 
 
-def source_items(df: DataFrame, corpus: str = "corpus") -> Corpus:
-    """Items of every corpus row, numbered from 1; a row with an error yields no items and one reject.
+def split_corpora(df: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """Each corpus row with ``items`` (numbered from 1) and ``reason``, why it is rejected (else NULL).
 
     Text before the first delimiter is dropped. The split is computed once per row.
     """
@@ -68,12 +70,53 @@ def source_items(df: DataFrame, corpus: str = "corpus") -> Corpus:
     seg = F.col("_seg")
     split = df.select(*rest, once(F.split(F.col(corpus), DELIMITER_LINE)).alias("_seg"))
     bad = F.coalesce(F.exists(_pairs(seg, lambda i: F.get(seg, 2 * i - 1)), _bad_header), F.lit(False))
-    reason = F.when(bad, BAD_HEADER).when(F.size(seg) % 2 == 0, UNCLOSED)
     items = _pairs(seg, lambda i: F.struct(
         i.alias("item_index"), _ended(F.get(seg, 2 * i - 1)).alias("header_toml"), _ended(F.get(seg, 2 * i)).alias("body")))
+    return split.select(*rest, F.when(bad, BAD_HEADER).when(F.size(seg) % 2 == 0, UNCLOSED).alias("reason"), items.alias("items"))
+
+
+def source_items(df: DataFrame, corpus: str = "corpus") -> Corpus:
+    """Items of every corpus row; a row with an error yields no items and one reject."""
+    rest = [c for c in df.columns if c != corpus]
+    split = split_corpora(df, corpus)
     return Corpus(
-        split.where(reason.isNull()).select(*rest, F.inline(items)),
-        split.where(reason.isNotNull()).select(*rest, reason.alias("reason")))
+        split.where(F.col("reason").isNull()).select(*rest, F.inline("items")),
+        split.where(F.col("reason").isNotNull()).select(*rest, "reason"))
+
+
+def large_corpus_items(spark: SparkSession, path: str) -> Corpus:
+    """Items of corpus files of any size, by ``source_name``: a file is read in splits, line by line.
+
+    A line's place is its split and its row in it, so numbering needs no sort of the file: the
+    delimiters before a line are those of earlier splits (one count per split) plus those earlier
+    in its own. The lines of an item are then brought together; only an item has to fit into memory.
+    """
+    delimiter = strip_ws("line") == DELIMITER
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("source_name"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("line"))
+    fixed = cut_lineage(lines.withColumn("_d", delimiter.cast("int")), "corpus-lines")
+    block = ["source_name", "_block"]
+    counts = fixed.groupBy(*block).agg(F.sum("_d").alias("_n"))
+    earlier = Window.partitionBy("source_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    so_far = Window.partitionBy(*block).orderBy("_seq")  # a split is of bounded size
+    placed = fixed.withColumn("_seen", F.sum("_d").over(so_far)).join(before, block)
+    segment = F.col("_before") + F.col("_seen")  # odd: header, even: body
+    content = placed.select(*block, "_seq", "line", "_d", segment.alias("_segment")).where(F.col("_segment") > 0)
+    in_header, is_text = F.col("_segment") % 2 == 1, F.col("_d") == 0
+
+    def text(wanted: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(wanted & is_text, F.struct("_block", "_seq", "line"))))
+        return F.array_join(F.transform(rows, lambda r: F.concat(r["line"], F.lit("\n"))), "")
+
+    whole = content.groupBy("source_name", F.floor((F.col("_segment") + 1) / 2).cast("int").alias("item_index")).agg(
+        text(in_header).alias("header_toml"), text(~in_header).alias("body"), F.max("_segment").alias("_last"))
+    checked = cut_lineage(whole.withColumn(
+        "_reason", F.when(_bad_header(F.col("header_toml")), BAD_HEADER).when(F.col("_last") % 2 == 1, UNCLOSED)), "corpus-items")
+    rejects = checked.where(F.col("_reason").isNotNull()).groupBy("source_name").agg(F.min_by("_reason", "item_index").alias("reason"))
+    items = join_hot(checked, rejects.select("source_name"), ["source_name"], "left_anti")
+    return Corpus(items.select("source_name", "item_index", "header_toml", "body"), rejects)
 
 
 def _entry(line: Column) -> Column:

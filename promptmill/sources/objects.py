@@ -10,6 +10,15 @@ from promptmill.functions.text import as_time
 BASE64_ALPHABET = "A-Za-z0-9+/="
 
 
+def _uuid_shaped(digest: Column) -> Column:
+    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def content_locator(content: str) -> Column:
+    """Locator of a stored text, derived from its content."""
+    return _uuid_shaped(F.sha2(F.col(content), 256))
+
+
 def index_rows(df: DataFrame, content: str, kind: Column | str, content_type: str | None, created_at, key: Column | str | None = None) -> DataFrame:
     """Index rows for stored texts: locator, kind, bytes, sha256, content_type, created_at.
 
@@ -17,8 +26,7 @@ def index_rows(df: DataFrame, content: str, kind: Column | str, content_type: st
     finds its own objects instead of storing them again.
     """
     digest = F.sha2(F.col(content), 256)
-    basis = digest if key is None else F.md5(F.col(key) if isinstance(key, str) else key)
-    locator = F.concat_ws("-", *[F.substring(basis, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    locator = content_locator(content) if key is None else _uuid_shaped(F.md5(F.col(key) if isinstance(key, str) else key))
     return df.select(
         locator.alias("locator"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
         F.octet_length(F.encode(F.col(content), "UTF-8")).cast("bigint").alias("bytes"), F.unhex(digest).alias("sha256"),

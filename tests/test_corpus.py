@@ -84,3 +84,23 @@ def test_saved_production(spark, tmp_path):
         production.save_production(new, f"{tmp_path}/p")
         saved = {n: spark.read.parquet(f"{tmp_path}/p/{n}") for n in new._fields}
         assert {n: d.count() for n, d in saved.items()} == {n: {"s3_objects": 2, "rejects": 0}.get(n, 1) for n in new._fields}
+
+
+def test_large_files_in_splits(spark, tmp_path):
+    """Read line by line in many splits, a file gives what it gives when it is split as a whole."""
+    many = "preamble\n" + "".join(f"  {D}\t\nn = {i}\nx = \"é\"\n{D}\nbody {i}\n\n -*-*- \nend" + "\r\n" * (i % 3) + "\n" for i in range(120))
+    files = {"many": many, "unclosed": f"{D}\na = 1\n", "bad": f"{D}\na = 1\n{D}\nb\n{D}\nno value\n{D}\n", "none": "nothing\n", "empty": f"{D}\n{D}\n{D}\n{D}", "open": f"{D}\na = 1\n{D}\nb\n{D}\nc = 1"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        large = corpus.large_corpus_items(spark, str(tmp_path))
+        got = sorted((r.source_name.rsplit("/", 1)[1], r.item_index, r.header_toml, r.body) for r in large.items.collect())
+        bad = {(r.source_name.rsplit("/", 1)[1], r.reason) for r in large.rejects.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = corpus.source_items(corpus.read_corpus(spark, str(tmp_path)))
+    assert got == sorted((r.source_name.rsplit("/", 1)[1], r.item_index, r.header_toml, r.body) for r in whole.items.collect())
+    assert bad == {(r.source_name.rsplit("/", 1)[1], r.reason) for r in whole.rejects.collect()} == {("unclosed", corpus.UNCLOSED), ("open", corpus.UNCLOSED), ("bad", corpus.BAD_HEADER)}
+    assert len(got) == 122
