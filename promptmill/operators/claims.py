@@ -100,13 +100,15 @@ def claim_one(df: DataFrame, wanted: DataFrame, key: str, prefix: str, worker: s
         df, wanted.select(key).distinct(), [key], lease_free(f"{prefix}_claimed_until", as_of), _lease(prefix, worker, F.lit(token), as_of, ttl))
 
 
-def transition(requests: DataFrame, changes: DataFrame, to_state: str, as_of, from_state: str | None = None, token: str | None = "submit_claim_token") -> DataFrame:
+def transition(requests: DataFrame, changes: DataFrame, to_state: str, as_of, from_state: str | None = None, token: str | None = "submit_claim_token",
+               also: dict[str, Column] | None = None) -> DataFrame:
     """Guarded state change: id (and token, if named) must match and the state must be the expected one.
 
     Submitting clears the submit lease. A stale token matches nothing, so a late worker changes nothing.
+    ``also`` sets further columns of the changed rows, such as the provider's ids.
     """
     keys = ["request_id"] + ([token] if token else [])
-    sets = {"state": F.lit(to_state), **_touched(requests, as_of)}
+    sets = {"state": F.lit(to_state), **_touched(requests, as_of), **(also or {})}
     if to_state == "submitted":
         sets.update(_no_lease("submit"))
     guard = F.lit(True) if from_state is None else F.col("state") == from_state

@@ -20,7 +20,10 @@ def join_hot(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "in
     the run-time skew handling of batch queries may be off. ``how``: inner, left, left_semi, left_anti.
     """
     keys = list(on)
-    if small.count() <= broadcast_rows:
+    n = small.count()
+    if n == 0 and how in ("inner", "left_semi"):
+        big = big.where(F.lit(False))  # nothing can match, so the big side is not even read
+    if n <= broadcast_rows:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))

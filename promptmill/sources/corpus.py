@@ -100,7 +100,7 @@ def large_corpus_items(spark: SparkSession, path: str) -> Corpus:
     counts = fixed.groupBy(*block).agg(F.sum("_d").alias("_n"))
     earlier = Window.partitionBy("source_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    so_far = Window.partitionBy(*block).orderBy("_seq")  # a split is of bounded size
+    so_far = Window.partitionBy(*block).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)  # a split is of bounded size
     placed = fixed.withColumn("_seen", F.sum("_d").over(so_far)).join(before, block)
     segment = F.col("_before") + F.col("_seen")  # odd: header, even: body
     content = placed.select(*block, "_seq", "line", "_d", segment.alias("_segment")).where(F.col("_segment") > 0)
