@@ -31,6 +31,7 @@ def number_rows(
         ordered.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "numbered")
     keys = [*partition_by, "_part"]
     runs = fixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    # at most one row per partition and group meets in this window, one per partition overall
     earlier = Window.partitionBy(*(partition_by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(*keys, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
     if not partition_by:

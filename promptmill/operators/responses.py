@@ -17,24 +17,25 @@ def response_resolution(responses: DataFrame, invocations: DataFrame, links: Dat
     return (
         r.join(inv, "crequest_fk")
         .join(asset.select(F.col("response_fk").alias("uid"), "asset_eid", "asset_size"), "uid", "left")
-        .select("request_eid", F.col("uid").alias("response_uid"), "kind", "content", "asset_eid", "asset_size"))
+        .select(F.col("crequest_fk").alias("request_uid"), "request_eid", F.col("uid").alias("response_uid"), "kind", "content", "asset_eid", "asset_size"))
 
 
 def failed_executions(invocations: DataFrame, executions: DataFrame) -> DataFrame:
     failed = executions.where(F.col("kind") != EXECUTION_OK)
     return failed.join(invocations.select(F.col("uid").alias("crequest_fk"), F.col("eid").alias("request_eid")), "crequest_fk").select(
-        "request_eid", "created_at", "kind", "notes")
+        F.col("crequest_fk").alias("request_uid"), "request_eid", "created_at", "kind", "notes")
 
 
 def response_kind(invocations: DataFrame, resolved: DataFrame, failed: DataFrame) -> DataFrame:
     """Outcome per invocation: text_block, asset, no_response_yet or aborted.
 
-    Failed executions are counted per invocation before the join.
+    Failed executions are counted per invocation before the join. All joins are on the internal
+    key, which the inputs are already shuffled by.
     """
-    fails = failed.groupBy("request_eid").agg(F.count(F.lit(1)).alias("n_failed"), F.min_by("notes", F.struct("created_at", "notes")).alias("first_note"))
+    fails = failed.groupBy("request_uid").agg(F.count(F.lit(1)).alias("n_failed"), F.min_by("notes", F.struct("created_at", "notes")).alias("first_note"))
     rows = (
-        invocations.select(F.col("eid").alias("request_eid"))
-        .join(resolved.withColumn("_has", F.lit(True)), "request_eid", "left").join(fails, "request_eid", "left"))
+        invocations.select(F.col("uid").alias("request_uid"), F.col("eid").alias("request_eid"))
+        .join(resolved.drop("request_eid").withColumn("_has", F.lit(True)), "request_uid", "left").join(fails, "request_uid", "left"))
     is_text = F.col("kind").isin(*TEXT_RESPONSE_KINDS)
     outcome = (
         F.when(F.col("_has") & is_text & F.col("content").isNotNull(), "text_block")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptmill import schemas
@@ -184,7 +184,7 @@ def prompt_blocks(t: Inputs) -> DataFrame:
         trim(substr(prompts, strpos(prompts, ':') + 1, strpos(prompts, {_NL} || {_NL} || 'no number') - strpos(prompts, ':') - 1), {_WS}) || '"' as prompt from prompt_files
       union all select doc_id, 2, 'Generate a first version for item 7, "' || lang || '"' from documents),
     h as materialized (select doc_id, text, {_FNV.format('text')} as fnv from documents)
-    select doc_id, idx as index, 'q_010802_000000_' || lpad(cast(idx as varchar), 4, '0') as custom_id, prompt, 'doc-fnv1a64-' || fnv as cache_key,
+    select doc_id, cast(idx as bigint) as index, 'q_010802_000000_' || lpad(cast(idx as varchar), 4, '0') as custom_id, prompt, 'doc-fnv1a64-' || fnv as cache_key,
       'pre' || text || {_NL} || {_NL} || {_NL} || 'Use these project details as the authoritative context for your responses.' || {_NL} || 'post' as system_text
     from p join h using (doc_id)""", "prompt_files")
 def load_requests(t: Inputs) -> DataFrame:

@@ -337,13 +337,14 @@ def event_details(t: Inputs) -> DataFrame:
     from cresponse a join crequest d on a.crequest_fk = d.uid left join assetresponselink b on a.uid = b.response_fk
     left join asset c on b.asset_fk = c.uid""", "cresponse", "crequest", "assetresponselink", "asset")
 def response_resolution(t: Inputs) -> DataFrame:
-    return responses.response_resolution(t.cresponse, t.crequest, t.assetresponselink, t.asset).withColumn("asset_size", F.col("asset_size").cast("string"))
+    return responses.response_resolution(t.cresponse, t.crequest, t.assetresponselink, t.asset).withColumn(
+        "asset_size", F.col("asset_size").cast("string")).drop("request_uid")
 
 
 @query("""select d.eid as request_eid, e.created_at, cast(e.kind as int) as kind, e.notes from crequest d join reqexec e on e.crequest_fk = d.uid
     where e.kind <> 1""", "crequest", "reqexec")
 def failed_executions(t: Inputs) -> DataFrame:
-    return responses.failed_executions(t.crequest, t.reqexec)
+    return responses.failed_executions(t.crequest, t.reqexec).drop("request_uid")
 
 
 _KINDS = """with res as (select d.eid as request_eid, a.kind, a.content, c.eid as asset_eid, c.size as asset_size from cresponse a

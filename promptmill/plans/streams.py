@@ -11,7 +11,6 @@ from promptmill.plans.lifecycle import _CLAIMABLE
 from promptmill.plans.registry import query
 from promptmill.session import shared_dir
 from promptmill.streaming import jobs
-from promptmill.streaming.runs import read_epochs
 
 LEASE_TIME = "2024-01-29 00:00:00"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from promptmill import schemas
 from promptmill.functions import details, variants
@@ -12,12 +13,13 @@ from promptmill.operators import claims, events, results
 from promptmill.operators.joins import join_hot
 from promptmill.plans.production import submission_lines
 from promptmill.sources import jsonl
-from promptmill.streaming.runs import read_epochs, run_available, write_epoch
+from promptmill.streaming.runs import read_epochs, run, write_epoch
 
 SUBMITTED_LINES = "batch_uid string, batch_no bigint, pos bigint, request_id string, cache_key string, line string"
 
 
-def submit_stream(requests: DataFrame, out: str, checkpoint: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None) -> None:
+def submit_stream(requests: DataFrame, out: str, checkpoint: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None,
+                  every: str | None = None) -> StreamingQuery:
     """Entered, lease-free requests become batches of request lines with their links and events.
 
     A request id seen before (a second delivery) is dropped by the stream's own state. Batches
@@ -42,10 +44,10 @@ def submit_stream(requests: DataFrame, out: str, checkpoint: str, as_of, system_
             "request_id", F.lit("submitted").alias("state"), details.request_submitted(F.col("batch_uid"), provider_id).alias("details"),
             now.alias("occurred_at")), f"{out}/request_events", epoch)
 
-    run_available(ready, step, checkpoint)
+    return run(ready, step, checkpoint, every=every)
 
 
-def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFrame, out: str, checkpoint: str) -> None:
+def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Provider reports (event_id, batch_fk, status, error_file_id, occurred_at) become batch events.
 
     The first terminal report of a batch ends it: a completed batch enters the outbox, a failed or
@@ -83,13 +85,13 @@ def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFra
             F.col("request_fk").alias("request_id"), F.lit("cancelled").alias("state"),
             details.batch_terminal(F.col("batch_fk"), F.col("status"), F.col("reason")).alias("details")), f"{out}/request_events", epoch)
 
-    run_available(reports, step, checkpoint)
+    return run(reports, step, checkpoint, every=every)
 
 
 ANSWERS = "batch_fk string, request_fk string, metadata string, content string, line_no bigint"
 
 
-def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoint: str) -> None:
+def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Result lines (batch_fk, line_no, line) become answers, rejects, events and outbox removals.
 
     The lines themselves are kept too and entered in the object index, one object per batch.
@@ -124,7 +126,7 @@ def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoi
             "batch_fk", F.lit("raw_fetched").alias("event_type"), details.raw_fetched(F.col("batch_fk"), F.col("locator"), F.col("bytes")).alias("details"))
         write_epoch(fetched.unionByName(materialized), f"{out}/batch_events", epoch)
 
-    run_available(lines, step, checkpoint)
+    return run(lines, step, checkpoint, every=every)
 
 
 def current_results(spark: SparkSession, out: str) -> DataFrame:
@@ -144,14 +146,14 @@ def outbox_dedupe_stream(ready: DataFrame, out: str, checkpoint: str, delay: str
 STATES = "request_id string, state string"
 
 
-def request_state_stream(request_events: DataFrame, out: str, checkpoint: str) -> None:
+def request_state_stream(request_events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Current state per request, folded from its events; each micro-batch writes what changed.
 
     The state store holds two small values per request and rows are combined before the shuffle.
     """
     terminal, latest = events.folded_state()
     folded = request_events.groupBy("request_id").agg(terminal.alias("_t"), latest.alias("_l")).select("request_id", F.coalesce("_t", "_l").alias("state"))
-    run_available(folded, lambda df, epoch: write_epoch(df, f"{out}/states", epoch), checkpoint, mode="update")
+    return run(folded, lambda df, epoch: write_epoch(df, f"{out}/states", epoch), checkpoint, "update", every)
 
 
 def current_states(spark: SparkSession, out: str) -> DataFrame:
@@ -162,12 +164,12 @@ def current_states(spark: SparkSession, out: str) -> DataFrame:
 LEASES = "request_id string, claim_token string, claimed_at timestamp_ntz, claimed_until timestamp_ntz"
 
 
-def lease_stream(grants: DataFrame, out: str, checkpoint: str, ttl: int = schemas.CLAIM_TTL_SECONDS) -> None:
+def lease_stream(grants: DataFrame, out: str, checkpoint: str, ttl: int = schemas.CLAIM_TTL_SECONDS, every: str | None = None) -> StreamingQuery:
     """Current lease per request from a stream of grants (request_id, claim_token, claimed_at, event_id)."""
     last = grants.groupBy("request_id").agg(
         F.max(F.struct("claimed_at", "event_id", "claim_token")).alias("_l")).select("request_id", "_l.claim_token", "_l.claimed_at")
     held = last.withColumn("claimed_until", F.col("claimed_at") + F.make_dt_interval(secs=F.lit(ttl)))
-    run_available(held, lambda df, epoch: write_epoch(df, f"{out}/leases", epoch), checkpoint, mode="update")
+    return run(held, lambda df, epoch: write_epoch(df, f"{out}/leases", epoch), checkpoint, "update", every)
 
 
 def current_leases(spark: SparkSession, out: str, as_of) -> DataFrame:

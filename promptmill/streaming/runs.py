@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 def write_epoch(df: DataFrame, path: str, epoch: int) -> DataFrame:
@@ -34,19 +35,18 @@ def read_epochs(spark: SparkSession, path: str, schema: T.StructType, before: in
     return df if before is None else df.where(F.col("epoch") < before)
 
 
-def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Work off everything the source holds now, in as many micro-batches as its limits ask for."""
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(step).start())
-    query.awaitTermination()
-
+def run(stream: DataFrame, step: Callable[[DataFrame, int], object], checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
+    """Hand each micro-batch to ``step``.
 
-def run_continuously(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str, mode: str = "append"):
-    """The same job as a standing query; returns the query handle."""
-    return (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(processingTime=every).foreachBatch(step).start())
+    Without ``every`` the job works off what the source holds now, in as many micro-batches as its
+    limits ask for, and ends. With it (say ``"10 seconds"``) it stays up; the query handle is returned.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(step)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, files_per_trigger: int | None = None) -> DataFrame:

@@ -16,6 +16,18 @@ def spark():
     return s
 
 
+@pytest.fixture(scope="session")
+def each(spark):
+    """Evaluate a Column for many texts in one job: ``each(texts, fn)``."""
+    from pyspark.sql import functions as F
+
+    def run(texts, fn):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+        return [r["v"] for r in df.select("i", fn(F.col("t")).alias("v")).orderBy("i").collect()]
+
+    return run
+
+
 @pytest.fixture(scope="session")
 def one(spark):
     """Evaluate a Column built from a text: ``one(text, fn)``."""

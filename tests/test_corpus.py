@@ -7,7 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from promptmill.plans import production
+from promptmill.schemas import TABLES
 from promptmill.sources import corpus
+from promptmill.sources.tables import conform
 
 D = corpus.DELIMITER
 
@@ -83,6 +85,9 @@ def test_saved_production(spark, tmp_path):
     for _ in range(2):  # a repeated run writes the same rows
         production.save_production(new, f"{tmp_path}/p")
         saved = {n: spark.read.parquet(f"{tmp_path}/p/{n}") for n in new._fields}
+        for name in ("requests", "request_events", "s3_objects", "productions", "asset_sources", "asset_templates"):
+            table = conform(saved[name], TABLES[name])
+            assert table.schema.names == TABLES[name].names and table.count() == saved[name].count()
         assert {n: d.count() for n, d in saved.items()} == {n: {"s3_objects": 2, "rejects": 0}.get(n, 1) for n in new._fields}
 
 

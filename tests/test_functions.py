@@ -15,16 +15,19 @@ def fnv(data: bytes) -> str:
     return f"{h:016x}"
 
 
-@pytest.mark.parametrize("value,vtype,js", [
+HEADER_VALUES = [
     ('"ab"', "string", '"ab"'), ('"a\\\\nb"', "string", '"a\\nb"'), ("true", "boolean", "true"), ("2.0", "number", "2"), ("1.5", "number", "1.5"),
     ("007", "number", "7"), ("-3", "number", "-3"), ("+5", "string", '"+5"'), ("5.", "string", '"5."'), (".5", "string", '".5"'), ("1-2", "string", '"1-2"'),
     ("2026-01-24", "string", '"2026-01-24"'), ("5 # c", "string", '"5 # c"'), ("[]", "array", '[""]'), ('["a,b"]', "array", '["\\"a","b\\""]'),
     ("[1, x , true]", "array", '[1,"x",true]'), ("[[1], [ 2 ]]", "array", "[[1],[2]]"), ("[[]]", "array", '[[""]]'), ("[[1,2]]", "array", '["[1","2]"]'),
     ("[[]", "array", '["["]'), ("[", "string", '"["'), ('"', "string", '"\\""'), ("", "string", '""'),
-])
-def test_header_value(one, value, vtype, js):
-    got = one(value, text.header_value)
-    assert (got["vtype"], json.loads(got["json"])) == (vtype, json.loads(js))
+]
+
+
+def test_header_value(each):
+    got = each([v for v, _, _ in HEADER_VALUES], text.header_value)
+    for (value, vtype, js), g in zip(HEADER_VALUES, got):
+        assert (g["vtype"], json.loads(g["json"])) == (vtype, json.loads(js)), value
 
 
 def test_header_value_can_respect_quotes(one):
@@ -63,7 +66,7 @@ def test_fnv(spark, one):
     assert one("a", lambda c: hashing.cache_key(c, F.lit("mine"))) == "mine"
 
 
-@pytest.mark.parametrize("line,want", [
+RESULT_LINES = [
     ('{"response":{"body":{"output_text":"t","output":[{"type":"message","content":[{"text":"u"}]}]}}}', "t\n\nu"),
     ('{"response":{"body":{"output_text":["a",3,null," b "]}}}', "a\n\nb"),
     ('{"response":{"x":1},"output_text":"no"}', None),
@@ -72,9 +75,13 @@ def test_fnv(spark, one):
     ('{"response":"text","output_text":"yes"}', "yes"),
     ('{"output":[{"type":"reasoning","content":[{"text":"no"}]},7,{"type":"message","content":[{"type":"other","text":"a"},{"text":5},"x",{"text":"b"}]}]}', "a\n\nb"),
     ('{"output_text":7,"output":"x"}', None), ('{"output_text":"  "}', None), ("[1]", None), ("nonsense", None), ('"s"', None),
-])
-def test_main_text(one, line, want):
-    assert one(line, lambda c: variants.body_text(variants.response_body(F.try_parse_json(c)))) == want
+]
+
+
+def test_main_text(each):
+    got = each([line for line, _ in RESULT_LINES], lambda c: variants.body_text(variants.response_body(F.try_parse_json(c))))
+    for (line, want), g in zip(RESULT_LINES, got):
+        assert g == want, line
 
 
 @pytest.mark.parametrize("payload,want", [
@@ -93,18 +100,16 @@ def test_answers(one, payload, want):
     assert all(m is None or r["metadata"] == m for r, (m, _) in zip(got, want))
 
 
-def test_provider_payloads(one):
-    status = lambda p: one(p, variants.batch_status)
-    assert status('{"id":"b","status":"x","output_file_id":null}')["status"] == "x"
-    assert status('{"id":"b"}') is None and status("nonsense") is None
+def test_provider_payloads(one, each):
+    whole, partial, broken = each(['{"id":"b","status":"x","output_file_id":null}', '{"id":"b"}', "nonsense"], variants.batch_status)
+    assert whole["status"] == "x" and partial is None and broken is None
     upload = '{"id":"f","object":"file","bytes":1,"created_at":2,"expires_at":3,"filename":"n"%s}'
     assert one(upload % ',"purpose":"batch"', variants.upload_response)["bytes"] == 1
     assert one(upload % "", variants.upload_response) is None
-    mapped = lambda s: one(s, lambda c: variants.provider_status(c, F.lit(None).cast("string")))
-    assert tuple(mapped("failed")) == ("failed", "", False) and tuple(mapped("expired")) == ("error", None, True)
-    assert tuple(mapped("validating")) == ("validating", None, False) and mapped(None)["is_error"]
-    for s in ("completed", "cancelled", "failed", "finalizing", "in_progress", "validating", "running", "error"):
-        assert one(s, variants.provider_status_text) == s
+    mapped = each(["failed", "expired", "validating", None], lambda c: variants.provider_status(c, F.lit(None).cast("string")))
+    assert [tuple(m) for m in mapped] == [("failed", "", False), ("error", None, True), ("validating", None, False), ("error", None, True)]
+    named = ["completed", "cancelled", "failed", "finalizing", "in_progress", "validating", "running", "error"]
+    assert each(named, variants.provider_status_text) == named
 
 
 def test_request_line(one):

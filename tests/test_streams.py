@@ -128,3 +128,14 @@ def test_run_time_skew_handling_in_micro_batches(spark, tables, tmp_path):
         seen.append(rows(spark.read.parquet(f"{tmp_path}/{flag}/fetch_outbox").select("batch_fk")))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(seen[0]) > 0 and seen[0] == seen[1]
+
+
+def test_standing_query(spark, tables, tmp_path):
+    t, stream = tables
+    query = jobs.request_state_stream(stream("request_events"), f"{tmp_path}/s", f"{tmp_path}/cp", every="1 second")
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert rows(jobs.current_states(spark, f"{tmp_path}/s")) == rows(events.request_states(t.request_events))
