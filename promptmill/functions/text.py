@@ -133,11 +133,12 @@ def _element(part: Column) -> Column:
     it is some number of brackets around one scalar, which are counted and peeled off.
     """
     count = lambda s: F.length(F.regexp_replace(s, WS, ""))
-    opened = count(F.regexp_extract(part, rf"^(?:\[{WS}*)*", 0))
-    closed = count(F.regexp_extract(part, rf"(?:{WS}*\])*$", 0))
+    opened = count(F.regexp_extract(part, rf"^[\[{WS_CLASS}]*", 0))
+    closed = count(F.regexp_extract(part, rf"[\]{WS_CLASS}]*$", 0))
     depth = F.least(opened, closed)
-    peel = F.concat(F.lit(rf"^(?:\[{WS}*){{"), depth.cast("string"), F.lit(rf"}}|(?:{WS}*\]){{"), depth.cast("string"), F.lit("}$"))
-    core = F.when(depth > 0, strip_ws(F.regexp_replace(part, peel, F.lit("")))).otherwise(part)
+    before = F.length(F.call_function("substring_index", part, F.lit("["), depth))  # text before the innermost bracket
+    after = F.length(F.call_function("substring_index", part, F.lit("]"), -depth))
+    core = F.when(depth > 0, strip_ws(F.substr(part, before + 2, F.length(part) - before - after - 2))).otherwise(part)
     return F.concat(F.repeat(F.lit("["), depth), _scalar(core)[1], F.repeat(F.lit("]"), depth))
 
 

@@ -21,7 +21,7 @@ from promptmill.session import cut_lineage
 # Fixed value: an item header opens and closes with this line.
 DELIMITER = "-*-*-*-*-*-*-*-*-*-"
 DELIMITER_LINE = rf"(?dm)^{WS_NO_NEWLINE}*-(?:\*-){{9}}{WS_NO_NEWLINE}*(?:\n|\z)"
-BLANK_LINES = rf"\n(?:{WS_NO_NEWLINE}*\n)+"
+BLANK_LINES = rf"\n{WS}*\n"  # no repeated group: Java matches those recursively and long runs overflow
 PROMPT_BLOCK = rf"(?s)^([0-9]+){WS}*:(.*)$"
 
 UNCLOSED = "header opened but never closed"
@@ -134,6 +134,13 @@ def front_matter_entries(items: DataFrame, header: str = "header_toml") -> DataF
         *rest, "line_no", "_e.key", "_e.value.vtype", "_e.value.json")
 
 
+def _json(node: dict | str) -> str:
+    """JSON text of nested objects whose leaves are JSON text already."""
+    if isinstance(node, str):
+        return node
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in sorted(node.items())) + "}"
+
+
 def _nest(keys: list[str], values: list[str]) -> str:
     """Dotted keys to nested objects; later lines win, an object replaces a scalar on its path."""
     root: dict = {}
@@ -145,8 +152,8 @@ def _nest(keys: list[str], values: list[str]) -> str:
             if not isinstance(child, dict):
                 child = node[name] = {}
             node = child
-        node[leaf] = json.loads(value)
-    return json.dumps(root, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        node[leaf] = value
+    return _json(root)
 
 
 @F.pandas_udf(T.StringType())

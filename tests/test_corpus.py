@@ -33,13 +33,20 @@ def test_meta_rules(spark):
     df = spark.createDataFrame([(1, header, "b")], "k int, header_toml string, body string")
     row = corpus.with_item_meta(df).first()
     assert json.loads(row.item_meta) == {"a": {"b": 2}, "x": {"y": {"z": [1]}}, "k": 2, "s": "5 # c", "v": "a=b"}
+    deep = "[" * 5000 + "]" * 5000
+    other = spark.createDataFrame([(1, f"d.e = {deep}\n", "b"), (2, "", "b"), (3, "# c\n", "b")], "k int, header_toml string, body string")
+    assert {r.k: r.item_meta for r in corpus.with_item_meta(other).collect()} == {
+        1: '{"d":{"e":' + "[" * 5000 + '""' + "]" * 5000 + "}}", 2: "{}", 3: "{}"}
     entries = corpus.front_matter_entries(df).orderBy("line_no").collect()
     assert [(r.line_no, r.key) for r in entries] == [(2, "a"), (3, "a.b"), (5, "x.y"), (6, "x.y.z"), (7, "k"), (8, "k"), (9, "s"), (10, "v")]
 
 
 def test_prompts(spark):
     text = "  \n3: A: B\r\n\r\nx: A\n\n3:\n\n 12 : two\nlines \n \n+4: no\n\n5 x: no"
+    gap = "\n" + " \n\t\n" * 30000  # a very long run of blank lines
     df = spark.createDataFrame([(1, text), (2, "nothing")], "k int, prompts string")
+    far = spark.createDataFrame([(3, "1: a" + gap + "2: b" + gap)], "k int, prompts string")
+    assert [(r.number, r.title) for r in corpus.prompt_blocks(far).orderBy("block_no").collect()] == [(1, "a"), (2, "b")]
     got = corpus.prompt_blocks(df).orderBy("block_no").collect()
     assert [(r.number, r.title) for r in got] == [(3, "A: B"), (12, "two\nlines")]
     assert got[0].prompt == 'Generate a first version for item 3, "A: B"'

@@ -20,14 +20,18 @@ HEADER_VALUES = [
     ("007", "number", "7"), ("-3", "number", "-3"), ("+5", "string", '"+5"'), ("5.", "string", '"5."'), (".5", "string", '".5"'), ("1-2", "string", '"1-2"'),
     ("2026-01-24", "string", '"2026-01-24"'), ("5 # c", "string", '"5 # c"'), ("[]", "array", '[""]'), ('["a,b"]', "array", '["\\"a","b\\""]'),
     ("[1, x , true]", "array", '[1,"x",true]'), ("[[1], [ 2 ]]", "array", "[[1],[2]]"), ("[[]]", "array", '[[""]]'), ("[[1,2]]", "array", '["[1","2]"]'),
-    ("[[]", "array", '["["]'), ("[", "string", '"["'), ('"', "string", '"\\""'), ("", "string", '""'),
+    ("[[]", "array", '["["]'), ("[ [ [a] ], b]", "array", '[[["a"]],"b"]'), ("[ [x [y]] ]", "array", '[["x [y]"]]'),
+    ("[" * 9000 + "7" + "]" * 9000, None, None), ("[" + ", ".join(["[ 1 ]"] * 3000) + "]", "array", json.dumps([[1]] * 3000)), ("[", "string", '"["'), ('"', "string", '"\\""'), ("", "string", '""'),
 ]
 
 
 def test_header_value(each):
     got = each([v for v, _, _ in HEADER_VALUES], text.header_value)
     for (value, vtype, js), g in zip(HEADER_VALUES, got):
-        assert (g["vtype"], json.loads(g["json"])) == (vtype, json.loads(js)), value
+        if js is None:  # nested too deeply for the JSON reader here
+            assert g["vtype"] == "array" and g["json"] == value
+        else:
+            assert (g["vtype"], json.loads(g["json"])) == (vtype, json.loads(js)), value[:50]
 
 
 def test_header_value_can_respect_quotes(one):
