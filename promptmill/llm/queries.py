@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import language_id
+from promptmill.llm import jaccard, language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.where(~language_id.held_out()))
     judged = language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
     return judged.select("doc_id", "held_out", "lang_pred", "score", "hit_share")
+
+
+@query()
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
