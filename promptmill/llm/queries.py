@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import jaccard, language_id
+from promptmill.llm import bpe, jaccard, language_id, token_files
+from promptmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_files.checksums(spark, out)
+
+
+@query()
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), ["doc_id"])
+
+
 @query()
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
