@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import bpe, jaccard, language_id, token_files
+from promptmill.llm import bpe, jaccard, language_id, token_files, vptree
 from promptmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, out)
 
 
+@query("""
+    with good as (
+      select vec_id, embedding::double[] as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    scored as (
+      select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+    ranked as (
+      select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+    select * from ranked where rank <= 20""")
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
 @query()
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), ["doc_id"])
