@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import bpe, jaccard, language_id, token_files, vptree
+from promptmill.llm import bpe, jaccard, language_id, token_files, url_filter, vptree
 from promptmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query(f"""
+    with rules(verdict, rhost, rpath) as (values {', '.join(str(r) for r in URL_RULES)}),
+    rest as (
+      select row_number() over () as n, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    parsed as (
+      select n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from rest),
+    fits as (
+      select n, arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) as won
+      from parsed join rules on (host = rhost or host like '%.' || rhost) and starts_with(path, rpath) group by n)
+    select page_id, host, path, won.rule as rule, coalesce(won.verdict, 'allow') as verdict from parsed left join fits using (n)""")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
 @query()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "token-files")
