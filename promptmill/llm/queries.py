@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptmill.llm import bpe, jaccard, language_id, token_files, url_filter, vptree
+from promptmill.llm import bpe, jaccard, language_id, token_files, url_filter, vptree, warc
 from promptmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+@query(f"""
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    d as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest from p),
+    k as (select payload_digest, max(page_id) as kept, count(*) as n from d where payload_bytes >= {warc.REVISIT_BYTES} group by payload_digest),
+    j as (select d.*, case when n > 1 and page_id <> kept then kept end as refers_to from d left join k using (payload_digest))
+    select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from j""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), out)
+    found = warc.read(spark, out, payload=False).where("kind = 'record'")
+    return found.select(
+        warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number(F.col("refers_to")).alias("refers_to"))
+
+
 @query()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "token-files")
