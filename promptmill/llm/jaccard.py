@@ -77,21 +77,34 @@ def _signatures(n: int, bands: int, rows: int) -> Callable:
     return run
 
 
-def _sets(n: int) -> Callable:
-    """N-gram sets of the rows whose text is the one that the node stands for (an id may have several texts)."""
+def membership(keys: DataFrame) -> tuple[int, object]:
+    """A bitmap (broadcast) of hashed keys, to leave out most rows before a join: its size in bits, 2**27 at most, and itself.
+
+    It has false positives, more of them when there are many keys, but never a false negative.
+    """
+    size = 1 << min(27, max(16, (16 * keys.count()).bit_length()))
+    slots = keys.select(F.pmod("key", F.lit(size)).alias("slot"))
+    words = slots.groupBy(F.expr("slot div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("v")).toArrow()
+    bits = np.zeros(size // 32, np.uint32)
+    bits[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    return size, keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _sets(n: int, bits) -> Callable:
+    """Word sequence hashes and n-gram sets of the rows whose id may be one of a representative that is needed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, s1, s2 = (batch.column(k).to_numpy() for k in ("node", "s1", "s2"))
-            for at, end, data, offsets in slices(batch.column("text")):
+            slot = batch.column("slot").to_numpy()
+            use = (bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1
+            for _, _, data, offsets in slices(batch.column("text").filter(pa.array(use))):
                 words = words_of(data, offsets)
                 shingle, first = shingles_of(words, n)
                 one, two = sequence_hashes(words)
-                use = np.flatnonzero((one == s1[at:end]) & (two == s2[at:end]))
-                sets = [np.unique(shingle[first[r]: first[r + 1]]).view(np.int64) for r in use]
+                sets = [np.unique(shingle[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
                 begin = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(begin, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at:end][use]), lists], ["node", "grams"])
+                lists = pa.ListArray.from_arrays(begin, pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), lists], ["s1", "s2", "grams"])
 
     return run
 
@@ -237,10 +250,11 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS
         F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), "representatives")
 
-    members = reps.select("node", "copies", "bands", F.posexplode("bands").alias("band", "bucket"))
-    thin = reps.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    thin = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK)
-    placed = members.join(thin, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    met = members.join(thin, "bucket").join(reps.select("node", "copies", "bands"), "node")  # bands only for rows that meet another
+    placed = met.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     laid = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))).select(
         "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "band", "node", "copies", "bands")
     key = ["bucket", "p", "q"]
@@ -249,8 +263,10 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS
 
     # the sets of the representatives that are needed anywhere, read from the texts again
     wanted = cut_lineage(needed.select("node").distinct().join(reps.select("node", *same, "least"), "node"), "wanted")
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["least"])).select("node", *same, "text")
-    sets = arrow_map(texts, _sets(n), "node bigint, grams array<bigint>").dropDuplicates(["node"])
+    size, bits = membership(wanted.select(F.xxhash64("least").alias("key")))
+    hashed = source.select("text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("slot"))
+    sets = arrow_map(hashed, _sets(n, bits), "s1 bigint, s2 bigint, grams array<bigint>").join(wanted.select("node", *same), same)
+    sets = sets.select("node", "grams").dropDuplicates(["node"])
     full = needed.join(sets, "node").select(*key, "block", "band", "node", "copies", "bands", "grams")
     verified = cut_lineage(
         arrow_map(full.repartition(*key).sortWithinPartitions(*key), _verify(bands, similarity), "node bigint, links bigint, peer bigint"), "links")
