@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,9 +26,9 @@ from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
 from promptmill.llm.tasks import arrow_map, ddl
 
-MAX_STATES = 250_000
-MAX_PAIRS = 1_000_000
-MAX_PIECES = 800_000
+MAX_STATES = 120_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,7 +206,7 @@ def machine(path: str, content: bytes) -> tuple[Transducer, dict]:
 
 def encoded(texts: list[str], transducer: Transducer, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts, end to end, and the first of each; every match of the public pattern is encoded by itself."""
-    return encode_slice(texts, known, lambda pieces: [transducer.encode(p.encode("utf-8", "surrogatepass")) for p in pieces], MAX_PIECES)
+    return encode_slice(texts, known, lambda pieces: [array("I", transducer.encode(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces], MAX_PIECES)
 
 
 def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:

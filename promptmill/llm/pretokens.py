@@ -101,8 +101,8 @@ def unique_pieces(chars: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     return sample, which
 
 
-def encode_slice(texts: list[str], known: dict[str, tuple[int, ...]], encode: Callable[[list[str]], list[list[int]]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts, end to end, and the first of each text.
+def encode_slice(texts: list[str], known: dict[str, bytes], encode: Callable[[list[str]], list[bytes]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts, end to end, and the first of each text; ``encode`` gives ids as little-endian 32-bit values.
 
     ``known`` keeps pieces met before and is emptied when it has more than ``most`` of them.
     """
@@ -117,10 +117,10 @@ def encode_slice(texts: list[str], known: dict[str, tuple[int, ...]], encode: Ca
         known.clear()
     new = [p for p in pieces if p not in known]
     if new:
-        known.update(zip(new, map(tuple, encode(new)), strict=True))
+        known.update(zip(new, encode(new), strict=True))
     coded = [known[p] for p in pieces]
-    size = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(size.sum()))
+    size = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+    flat = np.frombuffer(b"".join(coded), "<u4")
     at = np.concatenate(([0], np.cumsum(size)))
     count = size[which]
     first = np.concatenate(([0], np.cumsum(count)))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -131,18 +132,18 @@ class Library:
         self.added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         self.plain = not any(t.get("normalized") and t.get("single_word") for t in spec.get("added_tokens") or [])
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         coded: list = [None] * len(pieces)
         words, others = [], []
         for i, p in enumerate(pieces):
             (words if p[0] == " " and p[1:].isalpha() else others).append(i)
         for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
-            coded[i] = e.ids
+            coded[i] = array("I", e.ids).tobytes()
         for low in range(0, len(words), JOINED):
             some = words[low: low + JOINED]
             e = self.tokenizer.encode("".join(pieces[i] for i in some), add_special_tokens=False)
-            ids, word = e.ids, np.array(e.word_ids)
-            cut = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(ids)]
+            ids, word = array("I", e.ids).tobytes(), np.array(e.word_ids)
+            cut = [0, *(4 * np.flatnonzero(word[1:] != word[:-1]) + 4).tolist(), len(ids)]
             if len(cut) != len(some) + 1:
                 raise ValueError("the tokenizer cuts pieces of a blank and letters otherwise")
             for i, a, b in zip(some, cut, cut[1:], strict=False):
