@@ -23,6 +23,7 @@ from promptmill.llm.tasks import arrow_map
 from promptmill.session import cut_lineage
 
 FILE_BYTES = 16 << 20
+FILE_LIMIT = 1 << 30  # readers take a file as one value
 REVISIT_BYTES = 1000  # shorter payloads are always stored
 DATE = "2026-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -65,11 +66,14 @@ def records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
 
 def write(pages: DataFrame, out: str, **columns: str) -> None:
-    """Write the pages' records to files of about ``FILE_BYTES`` in ``out``."""
-    html = columns.get("html", "html")
-    size = pages.agg(F.sum(F.octet_length(F.col(html).cast("string")).cast("bigint") + 500)).first()[0] or 0
-    spread = records(pages, **columns).repartition(max(1, -(-size // FILE_BYTES)), F.xxhash64("id", "digest"))
-    spread.select("value").write.option("lineSep", "\r\n\r\n").text(out)
+    """Write the pages' records to files of about ``FILE_BYTES`` in ``out``, from where the pages are read.
+
+    The records per file follow from the average size, and from the greatest one, so that no file can pass ``FILE_LIMIT``.
+    """
+    size = F.octet_length(F.col(columns.get("html", "html")).cast("string")).cast("bigint") + F.octet_length(F.col(columns.get("url", "url")).cast("string")) * 3 + 700
+    average, greatest = pages.agg(F.avg(size), F.max(size)).first()
+    several = int(max(1, min(FILE_BYTES // (average or 1), FILE_LIMIT // (greatest or 1))))
+    records(pages, **columns).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", several).text(out)
 
 
 @dataclass
