@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptmill.llm.jaccard import membership
-from promptmill.llm.tasks import arrow_map
+from promptmill.llm.tasks import arrow_map, ddl
 from promptmill.llm.words import _BYTE_CODE, powers, slices
 from promptmill.session import cut_lineage
 
@@ -245,19 +245,37 @@ def _merged(some: list[dict], length: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(reach) - 1)]
 
 
-def remove(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id`` (and ``keep``), n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def _joined(docs: DataFrame, id: str, text: str, length: int) -> DataFrame:
+    """(_row: all columns, text, spans) of every row."""
+    order = F.coalesce(F.col(id).cast("bigint"), F.lit(FIRST_ID))
+    source = docs.select(F.struct("*").alias("_row"), order.alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("tid", F.xxhash64("text"))
+    found = spans(source.select("doc", "tid", "text"), length)
+    by_doc = found.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return source.join(by_doc, ["doc", "tid"], "left").select("_row", "text", "spans")
+
+
+def remove(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """One row per row of ``docs``: ``id``, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A null text is empty. Strings are judged on the input. An earlier start is one in a row with a
     smaller id (null is the smallest) or earlier in the same row; rows that share an id are at the
     same place and remove nothing from each other, but are otherwise judged together.
     """
-    keys = [id, *(c for c in keep or [] if c != id)]
-    order = F.coalesce(F.col(id).cast("bigint"), F.lit(FIRST_ID))
-    source = docs.select(F.struct(*keys).alias("_keys"), order.alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("tid", F.xxhash64("text"))
-    found = spans(source.select("doc", "tid", "text"), length)
-    by_doc = found.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = source.join(by_doc, ["doc", "tid"], "left").select("_keys.*", "text", "spans")
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return arrow_map(joined, _kept(length, keys), f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    joined = _joined(docs, id, text, length).select(F.col("_row")[id].alias("_id"), "text", "spans")
+    kind = docs.schema[id].dataType.simpleString()
+    return arrow_map(joined, _kept(length, ["_id"]), f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").withColumnRenamed("_id", id)
+
+
+def rewrite(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(_row: all columns of ``docs``, n_bytes, n_removed, kept_text) of every row; a character cut in two is left out of ``kept_text``."""
+    joined = _joined(docs, id, text, length)
+    schema = f"{ddl(joined, ['_row'])}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    cleaned = arrow_map(joined, _kept(length, ["_row"]), schema)
+    return arrow_map(cleaned.select("_row", "n_bytes", "n_removed", "kept"), _as_text, f"{ddl(joined, ['_row'])}, n_bytes bigint, n_removed bigint, kept_text string")
+
+
+def _as_text(batches):
+    for batch in batches:
+        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("_row", "n_bytes", "n_removed")), pa.array(texts, pa.string())], ["_row", "n_bytes", "n_removed", "kept_text"])
