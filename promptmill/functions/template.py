@@ -1,9 +1,10 @@
 """Request templates as Spark expressions.
 
-A template is text with ``{{ path }}`` placeholders, ``{% if path %}..{% else %}..{% endif %}``
-and ``{% for name in path %}..{% endfor %}`` blocks. ``to_column`` turns it, once and on the
-driver, into a single string Column, so rendering runs inside the JVM for every row.
-Unknown names render as empty text; unknown block tags are errors.
+A template is text with ``{{ path }}`` placeholders, ``{% if condition %}..{% elif condition %}..{% else %}..{% endif %}``
+and ``{% for name in path %}..{% endfor %}`` blocks. A condition is made of paths, quoted strings,
+numbers, ``true``, ``false``, ``==``, ``!=``, ``not``, ``and``, ``or`` and parentheses. ``to_column`` turns a
+template, once and on the driver, into a single string Column, so rendering runs inside the JVM
+for every row. Unknown names render as empty text; whatever else a tag holds is a ValueError.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"\{\{\s*(?P<var>[\w.]+)\s*\}\}|\{%\s*(?P<word>\w+)\s*(?P<rest>[^%]*?)\s*%\}")
+_OPEN = re.compile(r"\{\{|\{%|\{#")
+_TAG = re.compile(r"\{\{\s*(?P<var>[\w.]+)\s*\}\}|\{%\s*(?P<word>\w+)(?P<rest>(?:[^%]|%(?!\}))*)%\}")
 _FOR = re.compile(r"^(\w+)\s+in\s+([\w.]+)$")
+_TOKEN = re.compile(r"""\s*(?:(?P<op>==|!=|\(|\))|(?P<text>"[^"]*"|'[^']*')|(?P<number>-?[0-9]+(?:\.[0-9]+)?)(?![\w.])|(?P<name>[A-Za-z_][\w.]*))""")
 
 
 class Value(NamedTuple):
@@ -69,31 +72,120 @@ def to_column(template: str, look: Lookup) -> Column:
 
 
 def _block(template: str, pos: int, look: Lookup, stops: tuple[str, ...]) -> tuple[Column, int, str]:
-    """Column for the text up to one of the ``stops``, where it ends, and the stop found."""
+    """Column for the text up to one of the ``stops``, where it ends, and the stop found (with its condition)."""
     parts: list[Column] = [F.lit("")]
-    while tag := _TAG.search(template, pos):
+    while opening := _OPEN.search(template, pos):
+        tag = _TAG.match(template, opening.start())
+        if not tag:
+            raise ValueError(f"unreadable tag: {template[opening.start(): opening.start() + 40]!r}")
         parts.append(F.lit(template[pos:tag.start()]))
-        pos, word, rest = tag.end(), tag["word"], tag["rest"]
+        pos, word, rest = tag.end(), tag["word"], (tag["rest"] or "").strip()
         if tag["var"]:
             parts.append(look(tag["var"]).text)
-        elif word in stops:
-            return F.concat(*parts), pos, word
-        elif word == "if":
-            yes, pos, word = _block(template, pos, look, ("else", "endif"))
-            no: Column = F.lit("")
-            if word == "else":
-                no, pos, word = _block(template, pos, look, ("endif",))
-            parts.append(F.when(look(rest).truth, yes).otherwise(no))
+            continue
+        if word in ("else", "endif", "endfor") and rest:
+            raise ValueError(f"unreadable tag: {word} {rest}")
+        if word in stops:
+            return F.concat(*parts), pos, f"{word} {rest}".strip()
+        if word == "if":
+            column, pos = _choice(template, pos, look, rest)
         elif word == "for":
             column, pos = _loop(template, pos, look, rest)
-            parts.append(column)
         else:
             raise ValueError(f"unknown block tag: {word}")
+        parts.append(column)
     if stops:
         raise ValueError(f"missing tag, one of {stops}")
     return F.concat(*parts, F.lit(template[pos:])), len(template), ""
 
 
+def _choice(template: str, pos: int, look: Lookup, rest: str) -> tuple[Column, int]:
+    truth = condition(rest, look)
+    yes, pos, stop = _block(template, pos, look, ("elif", "else", "endif"))
+    no: Column = F.lit("")
+    if stop.startswith("elif"):
+        no, pos = _choice(template, pos, look, stop.removeprefix("elif").strip())
+    elif stop == "else":
+        no, pos, _ = _block(template, pos, look, ("endif",))
+    return F.when(truth, yes).otherwise(no), pos
+
+
+class _Operand(NamedTuple):
+    text: Column
+    truth: Column
+    number: Column | None = None
+
+
+def condition(source: str, look: Lookup) -> Column:
+    """Truth of a condition; numbers compare as numbers, everything else as text."""
+    tokens: list[tuple[str, str]] = []
+    pos = 0
+    while pos < len(source.rstrip()):
+        m = _TOKEN.match(source, pos)
+        if not m:
+            raise ValueError(f"unreadable condition: {source!r}")
+        tokens.append((m.lastgroup, m[m.lastgroup]))
+        pos = m.end()
+    tokens.reverse()
+
+    def ahead(*values: str) -> bool:
+        return bool(tokens) and tokens[-1][0] in ("op", "name") and tokens[-1][1] in values
+
+    def either() -> Column:
+        left = both()
+        while ahead("or"):
+            tokens.pop()
+            left = left | both()
+        return left
+
+    def both() -> Column:
+        left = negated()
+        while ahead("and"):
+            tokens.pop()
+            left = left & negated()
+        return left
+
+    def negated() -> Column:
+        if ahead("not"):
+            tokens.pop()
+            return ~negated()
+        if ahead("("):
+            tokens.pop()
+            inner = either()
+            if not ahead(")"):
+                raise ValueError(f"missing parenthesis: {source!r}")
+            tokens.pop()
+            return inner
+        left = operand()
+        if not ahead("==", "!="):
+            return left.truth
+        word, right = tokens.pop()[1], operand()
+        if left.number is not None or right.number is not None:
+            a, b = (x.text.try_cast("double") if x.number is None else x.number for x in (left, right))
+            same = F.coalesce(a == b, F.lit(False))
+        else:
+            same = left.text == right.text
+        return same if word == "==" else ~same
+
+    def operand() -> _Operand:
+        kind, value = tokens.pop() if tokens else ("end", "")
+        if kind == "text":
+            return _Operand(F.lit(value[1:-1]), F.lit(len(value) > 2))
+        if kind == "number":
+            return _Operand(F.lit(value), F.lit(float(value) != 0), F.lit(float(value)))
+        if kind == "name" and value in ("true", "false"):
+            return _Operand(F.lit(value), F.lit(value == "true"))
+        if kind == "name" and value not in ("and", "or", "not", "in", "is"):
+            found = look(value)
+            return _Operand(found.text, F.coalesce(found.truth, F.lit(False)))
+        raise ValueError(f"unreadable condition: {source!r}")
+
+    result = either()
+    if tokens:
+        raise ValueError(f"unreadable condition: {source!r}")
+    return result
+
+
 def _loop(template: str, pos: int, look: Lookup, rest: str) -> tuple[Column, int]:
     head = _FOR.match(rest)
     over = look(head[2]).variant if head else None
@@ -103,7 +195,14 @@ def _loop(template: str, pos: int, look: Lookup, rest: str) -> tuple[Column, int
 
     def member_text(member: Column) -> Column:
         nonlocal end
-        column, end, _ = _block(template, pos, lambda path: json_value(member) if path == head[1] else look(path), ("endfor",))
+
+        def inside(path: str) -> Value:
+            first, _, rest = path.partition(".")
+            if first != head[1]:
+                return look(path)
+            return json_value(F.try_variant_get(member, f"$.{rest}", "variant") if rest else member)
+
+        column, end, _ = _block(template, pos, inside, ("endfor",))
         return column
 
     members = F.transform(F.try_variant_get(over, "$", "array<variant>"), member_text)

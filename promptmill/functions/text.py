@@ -79,7 +79,7 @@ def stable_uuid(*parts: Column | str) -> Column:
 
 
 def is_uuid(c: Column | str) -> Column:
-    return F.coalesce(col(c).rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"), F.lit(False))
+    return F.coalesce(col(c).rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\z"), F.lit(False))
 
 
 def json_string(c: Column | str) -> Column:
@@ -108,8 +108,9 @@ def _inner(c: Column) -> Column:
 
 def _number_json(c: Column) -> Column:
     d = c.try_cast("double")
-    whole = d.try_cast("decimal(38,0)")
-    return F.when((d == F.round(d)) & whole.isNotNull(), whole.cast("string")).otherwise(d.cast("string"))
+    exact = F.when(F.abs(d) < 2.0**63, d.try_cast("bigint").cast("string"))  # all digits of the double
+    whole = F.coalesce(exact, d.try_cast("decimal(38,0)").cast("string"))
+    return F.when((d == F.round(d)) & whole.isNotNull(), whole).otherwise(d.cast("string"))
 
 
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"

@@ -9,34 +9,38 @@ from pyspark.sql import functions as F
 
 from promptmill.session import cut_lineage
 
-WINDOW_GROUP_ROWS = 1_000_000  # largest group left to a plain window
 
+def number_rows(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "rn", size: str | None = None) -> DataFrame:
+    """Number rows from 1 in the order of ``order_by`` (unique per group) per group or overall; NULL keys are a group, too.
 
-def number_rows(
-    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "rn", window_rows: int = WINDOW_GROUP_ROWS,
-) -> DataFrame:
-    """Number rows from 1 in the order of ``order_by`` (which must be unique) per group or overall.
-
-    Groups whose largest size was counted to be small use one window. Otherwise, and always
-    for an overall numbering, rows are range partitioned by group and order, written once, and
-    numbered inside their partition plus the number of rows of the same group in earlier ones.
-    A hot group is thereby spread over many partitions.
+    Only the key columns are range partitioned by group and order, written once, and numbered
+    inside their partition plus the number of rows of the same group in earlier ones, so a hot
+    group is spread over many partitions. The other columns join them by the keys. ``size`` names
+    a column for the number of rows of the group.
     """
-    if partition_by:
-        largest = df.groupBy(*partition_by).count().agg(F.max("count")).first()[0] or 0
-        if largest <= window_rows:
-            return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)).cast("bigint"))
-    ordered = df.repartitionByRange(*partition_by, *order_by).sortWithinPartitions(*partition_by, *order_by)
+    keys = list(dict.fromkeys([*partition_by, *order_by]))
+    ordered = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     fixed = cut_lineage(
         ordered.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "numbered")
-    keys = [*partition_by, "_part"]
-    runs = fixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    spans = [*partition_by, "_part"]
+    runs = fixed.groupBy(*spans).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     # at most one row per partition and group meets in this window, one per partition overall
-    earlier = Window.partitionBy(*(partition_by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(*keys, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"))
+    whole = Window.partitionBy(*(partition_by or [F.lit(0)]))
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        *spans, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + 1 - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("_size"))
     if not partition_by:
         starts = F.broadcast(starts)  # one row per partition of the range exchange
-    return fixed.join(starts, keys).withColumn(name, F.col("_seq") + F.col("_shift")).drop("_part", "_seq", "_shift")
+    extra = [F.col("_size").alias(size)] if size else []
+    numbered = _null_safe(fixed, starts, spans).select(*keys, (F.col("_seq") + F.col("_shift")).alias(name), *extra)
+    return numbered if set(df.columns) == set(keys) else _null_safe(df, numbered, keys)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL."""
+    own = right.select(*[F.col(k).alias(f"_{i}_{k}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(own[f"_{i}_{k}"]) for i, k in enumerate(keys)]
+    return left.join(own, same).drop(*[f"_{i}_{k}" for i, k in enumerate(keys)])
 
 
 def fixed_groups(df: DataFrame, size: int, order_by: Sequence[str]) -> DataFrame:
@@ -55,16 +59,16 @@ def join_bounded(pos: Column | str, text: Column | str, separator: str) -> Colum
 
 
 def ordered_concat(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], text: str, separator: str, chunk_rows: int = 500,
-    window_rows: int = WINDOW_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], text: str, separator: str, chunk_rows: int = 500, chunks: str | None = None,
 ) -> DataFrame:
-    """Ordered text join per group, as chunks: (keys, chunk_no, chunk).
+    """Ordered text join per group, as chunks: (keys, chunk_no, chunk), and their number if ``chunks`` names a column.
 
     Putting the chunks of a group behind one another gives exactly the joined text. A group of
     any size is never held in one row; one of up to ``chunk_rows`` rows comes out as chunk 0.
     """
-    numbered = number_rows(df.select(*keys, *[c for c in order_by if c not in keys], text), order_by, keys, "_rn", window_rows)
+    numbered = number_rows(df.select(*keys, *[c for c in order_by if c not in keys], text), order_by, keys, "_rn", "_rows")
     chunked = numbered.withColumn("chunk_no", F.floor((F.col("_rn") - 1) / chunk_rows).cast("bigint"))
-    joined = chunked.groupBy(*keys, "chunk_no").agg(join_bounded("_rn", text, separator).alias("chunk"))
+    joined = chunked.groupBy(*keys, "chunk_no").agg(join_bounded("_rn", text, separator).alias("chunk"), F.max("_rows").alias("_rows"))
     lead = F.when(F.col("chunk_no") > 0, F.lit(separator)).otherwise(F.lit(""))
-    return joined.withColumn("chunk", F.concat(lead, "chunk"))
+    count = [F.ceil(F.col("_rows") / chunk_rows).cast("bigint").alias(chunks)] if chunks else []
+    return joined.select(*keys, "chunk_no", F.concat(lead, "chunk").alias("chunk"), *count)

@@ -131,13 +131,17 @@ def extracted_document(
     Part 0 is the page head (the title is the first line of the joined text), then come the
     text chunks and last the page foot. ``render`` may turn ``chunk`` into HTML; it defaults to the text.
     """
-    chunks = ordered_concat(texts, keys, order_by, text, TEXT_SEPARATOR, chunk_rows)
-    body = chunks.select(*keys, (F.col("chunk_no") + 1).alias("part_no"), (F.col("chunk") if render is None else render).alias("part"))
-    title = F.substring_index(F.col("_first"), "\n", 1)
-    ends = chunks.groupBy(*keys).agg(F.min_by("chunk", "chunk_no").alias("_first"), F.max("chunk_no").alias("_last"))
-    head = ends.select(*keys, F.lit(0).cast("bigint").alias("part_no"), F.concat(F.lit(PAGE_HEAD), title, F.lit(PAGE_STYLE)).alias("part"))
-    foot = ends.select(*keys, (F.col("_last") + 2).alias("part_no"), F.lit(PAGE_FOOT).alias("part"))
-    return head.unionByName(body).unionByName(foot)
+    chunks = ordered_concat(texts, keys, order_by, text, TEXT_SEPARATOR, chunk_rows, "_chunks")
+    no, title = F.col("chunk_no"), F.substring_index("chunk", "\n", 1)
+
+    def part(at: Column, value: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("part_no"), value.alias("part"))
+
+    parts = F.array_compact(F.array(
+        F.when(no == 0, part(F.lit(0), F.concat(F.lit(PAGE_HEAD), title, F.lit(PAGE_STYLE)))),
+        part(no + 1, F.col("chunk") if render is None else render),
+        F.when(no == F.col("_chunks") - 1, part(no + 2, F.lit(PAGE_FOOT)))))
+    return chunks.select(*keys, F.inline(parts))
 
 
 def write_documents(parts: DataFrame, keys: Sequence[str], path: str) -> None:

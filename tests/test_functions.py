@@ -173,3 +173,35 @@ def test_template(one):
     for bad in ("{% include x %}", "{% if meta.a %}", "{% endif %}", "{% for x %}{% endfor %}"):
         with pytest.raises(ValueError):
             show(bad)
+
+
+def test_template_conditions(one):
+    meta = '{"n":3,"s":"x","l":[{"n":1,"o":{"p":"a"}},{"n":2}],"e":""}'
+    ctx = template.item_context(F.lit("P"), F.lit(1), F.lit("body"), F.lit(meta), F.lit("h"))
+    show = lambda t: one("x", lambda c: template.to_column(t, ctx))
+    assert show("{% if index == 1 %}Y{% else %}N{% endif %}") == "Y"
+    assert show("{% if index != 1 %}Y{% elif meta.n == 3.0 %}E{% else %}N{% endif %}") == "E"
+    assert show("{% if not meta.zz %}Y{% else %}N{% endif %}") == "Y"
+    assert show("{% if meta.s == 'x' and not (meta.e or meta.zz) %}Y{% endif %}") == "Y"
+    assert show("{% if meta.s == 'y' or meta.s == \"x\" %}Y{% endif %}|{% if true %}t{% endif %}") == "Y|t"
+    assert show("{% for x in meta.l %}{{ x.n }}{{ x.o.p }};{% endfor %}") == "1a;2;"
+    assert show("{% for x in meta.l %}{% if x.n == 2 %}two{% else %}{{ index }}{% endif %}{% endfor %}") == "1two"
+
+
+@pytest.mark.parametrize("text", [
+    "{{ text|upper }}", "{# c #}", "{%- if text -%}x{% endif %}", "{{ meta['id'] }}", "{% if text > 1 %}x{% endif %}", "{% if %}x{% endif %}", "{{ text",
+    "{% set a = 1 %}", "{% if text and %}x{% endif %}", "{% if (text %}x{% endif %}", "{% else x %}", "{% for x of meta.l %}{% endfor %}"])
+def test_templates_out_of_the_grammar_are_errors(text, spark):
+    ctx = template.item_context(F.lit("P"), F.lit(1), F.lit("body"), F.lit("{}"), F.lit("h"))
+    with pytest.raises(ValueError):
+        template.to_column(text, ctx)
+
+
+def test_whole_numbers_keep_the_digits_of_their_double(one):
+    assert one("1234567890123456789", lambda c: text._number_json(c)) == "1234567890123456768"
+    assert one("12.50", lambda c: text._number_json(c)) == "12.5"
+
+
+def test_uuid_takes_no_line_end(one):
+    uid = "00000000-0000-4000-8000-000000000001"
+    assert one(uid, text.is_uuid) is True and one(uid + "\n", text.is_uuid) is False

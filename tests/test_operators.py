@@ -29,10 +29,9 @@ def expected_numbers(rows):
     return out
 
 
-@pytest.mark.parametrize("window_rows", [0, 10**6])
-def test_numbers_per_group(skewed, window_rows):
+def test_numbers_per_group(skewed):
     rows, df = skewed
-    got = {r.id: r.rn for r in numbering.number_rows(df, ["o", "id"], ["g"], window_rows=window_rows).collect()}
+    got = {r.id: r.rn for r in numbering.number_rows(df, ["o", "id"], ["g"]).collect()}
     assert got == expected_numbers(rows)
 
 
@@ -43,10 +42,9 @@ def test_fixed_groups(skewed):
     assert got == {r[2]: (i // 10, i % 10 + 1) for i, r in enumerate(order)}
 
 
-@pytest.mark.parametrize("window_rows", [0, 10**6])
-def test_ordered_concat(skewed, window_rows):
+def test_ordered_concat(skewed):
     rows, df = skewed
-    chunks = numbering.ordered_concat(df, ["g"], ["o", "id"], "text", "--", chunk_rows=100, window_rows=window_rows).orderBy("g", "chunk_no").collect()
+    chunks = numbering.ordered_concat(df, ["g"], ["o", "id"], "text", "--", chunk_rows=100).orderBy("g", "chunk_no").collect()
     joined = {g: "".join(c.chunk for c in cs) for g, cs in groupby(chunks, key=lambda c: c.g)}
     want = {g: "--".join(r[3] for r in grp) for g, grp in groupby(sorted(rows), key=lambda r: r[0])}
     assert joined == want and max(c.chunk.count("t") for c in chunks) <= 100
@@ -150,3 +148,16 @@ def test_decode_base64(spark):
     df = spark.createDataFrame([(1, "aGVs\nbG8="), (2, "a"), (3, "")], "k int, b string")
     got = {r.k: r.content for r in objects.decode_base64(df, "b").collect()}
     assert bytes(got[1]) == b"hello" and got[2] is None and bytes(got[3]) == b""
+
+
+def test_null_groups_are_numbered(spark):
+    df = spark.createDataFrame([("a", 1, "p"), ("a", 2, "q"), (None, 1, "r"), (None, 2, "s"), ("b", None, "t")], "g string, o int, text string")
+    got = {(r.g, r.o): (r.rn, r.n) for r in numbering.number_rows(df, ["o"], ["g"], size="n").collect()}
+    assert got == {("a", 1): (1, 2), ("a", 2): (2, 2), (None, 1): (1, 2), (None, 2): (2, 2), ("b", None): (1, 1)}
+    chunks = {r.g: r.chunk for r in numbering.ordered_concat(df, ["g"], ["o"], "text", "-").collect()}
+    assert chunks == {"a": "p-q", None: "r-s", "b": "t"}
+
+
+def test_texts_are_not_range_partitioned(spark, skewed):
+    numbered = numbering.number_rows(skewed[1], ["o", "id"], ["g"])
+    assert "rangepartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()  # only the written keys were
