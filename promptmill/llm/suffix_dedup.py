@@ -3,16 +3,17 @@
 A byte goes when a string of ``length`` bytes around it also starts earlier. Every window of that
 length is represented by a sample: the place, of its substrings of ``GRAM`` bytes, with the least
 hash. Equal windows have equal samples at equal distances, so the samples cover all differences
-between two occurrences, and only one place in 26 has to be named.
+between two occurrences, and only one place in 35 has to be named.
 
-1. Samples are named by their hash and counted; only those that occur again stay.
-2. The contexts of a sample (all windows that it represents, laid over each other) are named.
-   All but the first of equal contexts go as a whole.
-3. Where a sample has several contexts, the windows of the first of each are named and compared.
+1. Samples are named by their hash; sorted by name, those that stand alone drop out.
+2. The context of a sample (all windows that it represents, laid over each other) is named, too. Sorted
+   by name, context and document, all but the first of equal contexts go as a whole.
+3. Where a sample has several contexts, their windows are sorted, and neighbours compared.
 
-Every step is an aggregation by name with map-side combination, so a passage that a third of the
-documents share is a row per task before anything is shuffled. Places within a document are
-compared in the task that reads it; between documents the smaller id is the earlier one.
+Names are combined per slice before they are shuffled. Samples with more than ``HOT`` places, which
+no task should hold, take the same steps as aggregations by context and by window instead.
+Places within a document are compared in the task that reads it; between documents the smaller id
+is the earlier one.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.llm.jaccard import membership
+from promptmill.llm.jaccard import _groups, membership
 from promptmill.llm.tasks import arrow_map, ddl
 from promptmill.llm.words import _BYTE_CODE, powers, slices
 from promptmill.session import cut_lineage
 
 LENGTH = 100
-GRAM = 50
+GRAM = 32
 SLICE = 1 << 19
+HOT = 20_000  # places of a sample that one task may hold
 FIRST_ID = -(1 << 63)  # order of a null id
 
 
@@ -128,87 +130,172 @@ def _parts(batches, length: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.
             yield batch, at, end, offsets, Samples(data, offsets, length)
 
 
+def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every run, and the run of every place, where ``change`` marks starts."""
+    return np.flatnonzero(change), np.cumsum(change) - 1
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _names(length: int) -> Callable:
-    """Sample names with their number of places in a slice; a place that repeats itself counts twice."""
+    """(name, context, n): places of each context in a slice; one that repeats itself counts for two contexts."""
 
     def run(batches):
         for _, _, _, _, s in _parts(batches, length):
-            name, which = np.unique(s.name, return_inverse=True)
-            n = np.bincount(which, weights=1 + s.loop, minlength=len(name)).astype(np.int64)
-            yield _batch({"name": name, "n": n})
+            context = s.contexts()
+            order = np.lexsort((context, s.name))
+            name, context, loop = s.name[order], context[order], s.loop[order]
+            start, of = _runs(_changes(name, context))
+            n = np.bincount(of, minlength=len(start)).astype(np.int64)
+            again = np.bincount(of, loop, minlength=len(start)) > 0
+            yield _batch({
+                "name": np.concatenate([name[start], name[start][again]]), "context": np.concatenate([context[start], ~context[start][again]]),
+                "n": np.concatenate([n, n[again]])})
 
     return run
 
 
-def _places(length: int, size: int, bits) -> Callable:
-    """Places of samples that occur again: (name, context, doc, tid, start, n, again, loop), again if it was before in the document."""
+def _repeated(batches) -> Iterator[pa.RecordBatch]:
+    """Names, from rows sorted by name and context, of more than one place: (name, n, contexts)."""
+    last: tuple[int, int, int, int] | None = None  # name, n, contexts and last context so far
+    for batch in batches:
+        name, context, n = (batch.column(k).to_numpy() for k in ("name", "context", "n"))
+        if not len(name):
+            continue
+        start, of = _runs(_changes(name))
+        total = np.bincount(of, n, minlength=len(start)).astype(np.int64)
+        kinds = np.bincount(of, _changes(name, context), minlength=len(start)).astype(np.int64)
+        out = []
+        if last is not None:
+            if last[0] == name[0]:
+                total[0] += last[1]
+                kinds[0] += last[2] - (last[3] == context[0])
+            else:
+                out.append(last[:3])
+        last = int(name[-1]), int(total[-1]), int(kinds[-1]), int(context[-1])
+        use = np.flatnonzero(total[:-1] > 1)
+        yield _batch({"name": name[start][use], "n": total[use], "contexts": kinds[use]})
+        if out and out[0][1] > 1:
+            yield _batch({k: np.array([v]) for k, v in zip(("name", "n", "contexts"), out[0], strict=True)})
+    if last is not None and last[1] > 1:
+        yield _batch({k: np.array([v]) for k, v in zip(("name", "n", "contexts"), last[:3], strict=True)})
+
+
+PLACES = "name bigint, context bigint, doc bigint, tid bigint, start bigint, n bigint, again boolean, hot boolean, bytes binary"
+
+
+def _places(length: int, all_names, several, hot) -> Callable:
+    """Places of samples that occur again; ``again`` if the context was before in the text; ``bytes`` where a sample has several contexts."""
 
     def run(batches):
         for batch, at, end, offsets, s in _parts(batches, length):
             doc, tid = (batch.column(k).to_numpy()[at:end] for k in ("doc", "tid"))
-            use = np.flatnonzero(_has(bits, size, s.name))
-            context, row = s.contexts()[use], s.row[use]
-            first = _first_of(s.name[use], context, row)
-            yield _batch({"name": s.name[use], "context": context, "doc": doc[row], "tid": tid[row], "start": s.start[use] - offsets[row], "n": s.count[use], "again": ~first, "loop": s.loop[use]})
+            use = np.flatnonzero(_has(*all_names, s.name))
+            name, context, row, start, n = s.name[use], s.contexts()[use], s.row[use], s.start[use], s.count[use]
+            first = _first_of(name, context, row)
+            need = _has(*several, name) & first
+            raw = s.data.tobytes()
+            cut = [raw[a:b] if x else None for a, b, x in zip(start.tolist(), (start + n + length - 1).tolist(), need.tolist(), strict=True)]
+            plain = _batch({
+                "name": name, "context": context, "doc": doc[row], "tid": tid[row], "start": start - offsets[row], "n": n, "again": ~first, "hot": _has(*hot, name)})
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(cut, pa.binary())], [*plain.schema.names, "bytes"])
+
+    return run
+
+
+def _window_hashes(part: pa.RecordBatch, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of the window in its place, hash) of all windows of some rows with bytes."""
+    column = part.column("bytes").take(pa.array(rows))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
+    offsets = offsets - offsets[0]
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
+    n = np.diff(offsets) - length + 1
+    row = np.repeat(np.arange(len(rows)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = nth + offsets[row]
+    return rows[row], nth, _scrambled((total[at + length] - total[at]) * down[at])
+
+
+def _compare(length: int) -> Callable:
+    """Spans that start earlier, from places sorted by name, context, document, text and start."""
+
+    def run(batches):
+        for part, _ in _groups(batches, ["name"]):
+            name, context, doc, tid, start, n = (part.column(k).to_numpy() for k in ("name", "context", "doc", "tid", "start", "n"))
+            again = part.column("again").to_numpy(zero_copy_only=False)
+            begin, of = _runs(_changes(name, context))
+            gone = again | (doc > doc[begin][of])
+            out = [(doc[gone], tid[gone], start[gone], n[gone])]
+            wide = ~gone & part.column("bytes").is_valid().to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(wide)
+            if len(rows):
+                row, nth, window = _window_hashes(part, rows, length)
+                at = start[row] + nth
+                order = np.lexsort((at, tid[row], doc[row], window, name[row]))
+                row, nth, window, at = row[order], nth[order], window[order], at[order]
+                same_window, of_window = _runs(_changes(name[row], window))
+                same_text, of_text = _runs(_changes(name[row], window, doc[row], tid[row]))
+                hit = (doc[row] > doc[row][same_window][of_window]) | (at > at[same_text][of_text])
+                row, nth = row[hit], nth[hit]
+                order = np.lexsort((nth, row))
+                row, nth = row[order], nth[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
+                head, _ = _runs(fresh)
+                out.append((doc[row[head]], tid[row[head]], start[row[head]] + nth[head], np.diff(np.append(head, len(row)))))
+            yield _batch({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("doc", "tid", "start", "n"))})
 
     return run
 
 
 def _windows(length: int) -> Callable:
-    """Windows of the wanted places: (name, window, doc, tid, start, again)."""
+    """A row per window of the places: (name, window, doc, tid, start)."""
 
     def run(batches):
-        for batch in batches:
-            starts, docs, tids = batch.column("places"), batch.column("doc").to_numpy(), batch.column("tid").to_numpy()
-            for at, end, data, offsets in slices(batch.column("text"), SLICE):
-                s = Samples.__new__(Samples)
-                s.up, s.down = powers(len(data) + 1)
-                s.sum = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_BYTE_CODE[data] * s.up[: len(data)], out=s.sum[1:])
-                some = starts.slice(at, end - at)
-                row = np.repeat(np.arange(end - at), np.diff(some.offsets.to_numpy()))
-                flat = some.flatten()
-                name, start, n = (flat.field(k).to_numpy() for k in ("name", "start", "n"))
-                place = np.repeat(np.arange(len(n)), n)
-                at_row = row[place]
-                begin = start[place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-                window = s.hashes(begin + offsets[at_row], length)
-                order = np.lexsort((begin, at_row))  # earlier places of a document first
-                again = np.empty(len(order), bool)
-                again[order] = ~_first_of(at_row[order], window[order], name[place][order])
-                yield _batch({"name": name[place], "window": window, "doc": docs[at:end][at_row], "tid": tids[at:end][at_row], "start": begin, "again": again})
+        for part in batches:
+            name, doc, tid, start = (part.column(k).to_numpy() for k in ("name", "doc", "tid", "start"))
+            for low in range(0, len(part), 1000):
+                row, nth, window = _window_hashes(part, np.arange(low, min(low + 1000, len(part))), length)
+                yield _batch({"name": name[row], "window": window, "doc": doc[row], "tid": tid[row], "start": start[row] + nth})
 
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _hot_spans(places: DataFrame, length: int) -> DataFrame:
+    """The same spans for samples of any number of places, by aggregations only."""
+    firsts = places.groupBy("name", "context").agg(F.min("doc").alias("first"))
+    judged = places.join(firsts, ["name", "context"])
+    gone = judged.where("again or doc > first").select("doc", "tid", "start", "n")
+    left = judged.where("not again and doc = first and bytes is not null").select("name", "doc", "tid", "start", "bytes")
+    windows = arrow_map(left, _windows(length), "name bigint, window bigint, doc bigint, tid bigint, start bigint")
+    here = windows.groupBy("name", "window", "doc", "tid").agg(F.min("start").alias("start0"))
+    least = windows.groupBy("name", "window").agg(F.min("doc").alias("first"))
+    hit = windows.join(least, ["name", "window"]).join(here, ["name", "window", "doc", "tid"]).where("doc > first or start > start0")
+    return gone.unionByName(hit.select("doc", "tid", "start", F.lit(1).cast("bigint").alias("n")))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc, tid, start, n): windows start .. start + n - 1 of a text also start earlier.
 
     ``docs`` has ``doc`` (its order), ``tid`` (which text, should several have one ``doc``) and ``text``.
     """
-    named = arrow_map(docs.select("text"), _names(length), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    again = cut_lineage(named.where("n > 1").select("name"), "samples")
-    size, bits = membership(again.select(F.col("name").alias("key")))
-    kind = "name bigint, context bigint, doc bigint, tid bigint, start bigint, n bigint, again boolean, loop boolean"
-    places = cut_lineage(arrow_map(docs.select("doc", "tid", "text"), _places(length, size, bits), kind), "places")
-    fresh = places.where("not again")
-    contexts = cut_lineage(fresh.groupBy("name", "context").agg(
-        F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), F.max("loop").alias("loop")), "contexts")
-    several = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.max("loop").alias("loop")).where("m > 1 or loop").select("name")
-    shared = contexts.where("docs > 1").select("name", "context", "first")
-    gone = fresh.join(shared, ["name", "context"]).where("doc > first").select("doc", "tid", "start", "n")
-    here = places.where("again").select("doc", "tid", "start", "n")
-
-    open_contexts = contexts.join(several, "name").select("name", "context", F.col("first").alias("doc"))
-    opened = cut_lineage(fresh.join(open_contexts, ["name", "context", "doc"]).groupBy("doc", "tid").agg(
-        F.collect_list(F.struct("name", "start", "n")).alias("places")), "open")  # bounded by the document's own length
-    texts = docs.join(opened, ["doc", "tid"]).select("doc", "tid", "places", "text")
-    windows = cut_lineage(arrow_map(texts, _windows(length), "name bigint, window bigint, doc bigint, tid bigint, start bigint, again boolean"), "windows")
-    one = windows.where("not again")
-    firsts = one.groupBy("name", "window").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    later = one.join(firsts, ["name", "window"]).where("doc > first").select("doc", "tid", "start")
-    single = later.unionByName(windows.where("again").select("doc", "tid", "start")).withColumn("n", F.lit(1).cast("bigint"))
-    return gone.unionByName(here).unionByName(single)
+    named = arrow_map(docs.select("text"), _names(length), "name bigint, context bigint, n bigint")
+    repeated = cut_lineage(arrow_map(
+        named.repartition("name").sortWithinPartitions("name", "context"), _repeated, "name bigint, n bigint, contexts bigint"), "samples")
+    sets = [membership(repeated.where(which).select(F.col("name").alias("key"))) for which in (F.lit(True), F.col("contexts") > 1, F.col("n") > hot)]
+    places = cut_lineage(arrow_map(docs.select("doc", "tid", "text"), _places(length, *[(bits, size) for size, bits in sets]), PLACES), "places")
+    order = ["name", "context", "doc", "tid", "start"]
+    few = places.where("not hot").repartition("name").sortWithinPartitions(*order)
+    return arrow_map(few, _compare(length), "doc bigint, tid bigint, start bigint, n bigint").unionByName(_hot_spans(places.where("hot"), length))
 
 
 def _kept(length: int, keys: list[str]) -> Callable:
