@@ -37,7 +37,7 @@ def choose_bands(similarity: float, recall: float = RECALL, max_hashes: int = MA
     best = None
     for rows in range(1, max_hashes + 1):
         p = similarity**rows
-        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 1e-12 else max_hashes + 1
         if bands * rows <= max_hashes:
             best = bands, rows
     if best is None:

@@ -104,7 +104,7 @@ class Damaged(Exception):
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
-_CANDIDATE = re.compile(rb"(?:(?<=\n)|\A)WARC/\d+\.\d+\r\n|\x1f\x8b\x08")
+_CANDIDATE = re.compile(rb"WARC/\d+\.\d+\r\n|\x1f\x8b\x08")
 
 
 def _plain(data: bytes, at: int) -> Record:
