@@ -44,27 +44,52 @@ def poll_stream(t: Inputs) -> DataFrame:
     links, requests = t.batch_requests, t.requests
     jobs.poll_stream(t.stream("provider_reports", "events"), links, requests, out, checkpoint)
     read = lambda name: t.spark.read.parquet(f"{out}/{name}")
-    log = read("batch_events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("key"))
+    reports = read("terminal").select("batch_fk", F.col("event_id").alias("report"))
+    events = read("batch_events").join(reports, "batch_fk", "left")
+    number = F.when(F.col("event_type").isin("polled", "poll_error"), F.col("event_id")).otherwise(F.col("report"))
+    log = events.select(F.col("event_type").alias("kind"), number.cast("string").alias("key"))
     outbox = read("fetch_outbox").select(F.lit("outbox").alias("kind"), F.col("batch_fk").alias("key"))
     stopped = read("request_events").select(
         F.lit("cancelled_request").alias("kind"), F.concat("request_id", F.lit("/"), F.get_json_object("details", "$.batch_uid")).alias("key"))
     return log.unionByName(outbox).unionByName(stopped)
 
 
-@query(f"""with {_DECODED}, a as (select batch_fk, custom_id, content, {_ANSWER_CLASS} as answer_class from decoded)
-    select a.batch_fk, custom_id as request_fk, content, 'null' as metadata from a join result_links l on l.request_fk = custom_id and l.batch_fk = a.batch_fk where answer_class = 'good'""",
+@query(f"""with {_DECODED}, a as (select batch_fk, doc_id as line_no, lower(custom_id) as request_fk, content, {_ANSWER_CLASS} as answer_class from decoded),
+    ok as (select a.* from a join result_links l on l.request_fk = a.request_fk and l.batch_fk = a.batch_fk where answer_class = 'good'),
+    counts as (select batch_fk, count(*) as total, count(*) filter (where request_fk in (select request_fk from ok)) as answered from result_links
+      where batch_fk in (select batch_fk from a) group by batch_fk)
+    select 'answer' as kind, batch_fk, request_fk as key, content as value from ok
+    union all select 'reject', batch_fk, cast(line_no as varchar), case when answer_class = 'good' then 'foreign_request' else answer_class end
+      from a where line_no not in (select line_no from ok)
+    union all select 'completed', batch_fk, request_fk, null from ok
+    union all select 'counts', batch_fk, cast(answered as varchar), cast(total - answered as varchar) from counts
+    union all select 'done', batch_fk, null, null from counts where answered = total""",
        "result_files", "result_links")
 def fetch_stream(t: Inputs) -> DataFrame:
     out, checkpoint = _dirs(t, "fetch")
     links = t.result_links
-    jobs.fetch_stream(t.stream("result_stream", "documents"), links, out, checkpoint)
-    return jobs.current_results(t.spark, out)
+    jobs.fetch_stream(t.stream("result_stream", "documents", files_per_trigger=1), links, out, checkpoint)
+    read = lambda name: t.spark.read.parquet(f"{out}/{name}")
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, kind: str, key, value=none) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), "batch_fk", key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+    counts = jobs.current_batch_events(t.spark, out).where("event_type = 'answers_materialized'")
+    number = lambda name: F.get_json_object("details", f"$.{name}")
+    done = read("request_events").withColumn("batch_fk", F.get_json_object("details", "$.batch_uid"))
+    return (
+        rows(jobs.current_results(t.spark, out), "answer", F.col("request_fk"), F.col("content"))
+        .unionByName(rows(jobs.current_rejects(t.spark, out), "reject", F.col("line_no"), F.col("reason")))
+        .unionByName(rows(done, "completed", F.col("request_id")))
+        .unionByName(rows(counts, "counts", number("ok_count"), number("missing_count")))
+        .unionByName(rows(read("outbox_done").select("batch_fk").distinct(), "done", none)))
 
 
 @query("select distinct batch_fk from provider_reports where status = 'completed'", "provider_reports")
 def outbox_dedupe_stream(t: Inputs) -> DataFrame:
     out, checkpoint = _dirs(t, "outbox")
-    jobs.outbox_dedupe_stream(t.stream("ready_batches", "events"), out, checkpoint, "60 days")
+    jobs.outbox_dedupe_stream(t.stream("ready_batches", "events"), out, checkpoint)
     return t.spark.read.parquet(out).select("batch_fk")
 
 

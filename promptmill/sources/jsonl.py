@@ -31,11 +31,11 @@ def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_result_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Result files as they arrive in a folder."""
-    reader = spark.readStream.option("wholetext", "true")
+    """Result files as they arrive in a folder. (The text source of streams reads lines, without their numbers.)"""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return file_lines(reader.text(folder).select(F.col("_metadata.file_path").alias("path"), "value"))
+    return file_lines(reader.load(folder).select("path", F.decode("content", "UTF-8").alias("value")))
 
 
 def result_lines(df: DataFrame, line: str = "line") -> DataFrame:

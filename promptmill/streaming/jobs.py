@@ -13,51 +13,93 @@ from promptmill.operators import claims, events, results
 from promptmill.operators.joins import join_hot
 from promptmill.plans.production import submission_lines
 from promptmill.sources import jsonl
-from promptmill.streaming.runs import read_epochs, run, write_epoch
-
-SUBMITTED_LINES = "batch_uid string, batch_no bigint, pos bigint, request_id string, cache_key string, line string"
+from promptmill.streaming.runs import current, latest_epoch, read_epochs, run, write_epoch
+
+RETRIES = 1000  # numbers between two micro-batches, for the steps that retry what waits
+
+LINKS = "request_fk string, batch_fk string, created_at timestamp_ntz"
+
+
+def _now(as_of):
+    """A point in time: given, or asked for at each step."""
+    return as_of() if callable(as_of) else as_of
+
+
+def submit_step(df: DataFrame, number: int, out: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None) -> None:
+    """One step of ``submit_stream``: what is new in ``df`` and what waited, as step ``number``."""
+    spark, now = df.sparkSession, as_time(as_of)
+    waiting = latest_epoch(spark, f"{out}/pending", df.schema, number)
+    last = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.coalesce("updated_at", "created_at"), "created_at"))
+    known = df.unionByName(waiting).groupBy("request_id").agg(last.alias("_r")).select("_r.*")
+    links = read_epochs(spark, f"{out}/batch_requests", _struct(spark, LINKS), before=number)
+    done = links.select(F.col("request_fk").alias("request_id")).join(known.select("request_id"), "request_id", "left_semi").distinct()
+    open_requests = write_epoch(known.where(F.col("state") == "entered").join(done, "request_id", "left_anti"), f"{out}/open", number)
+    free = claims.claimable_requests(open_requests, as_of).select("request_id", "request_text", "created_at")
+    write_epoch(open_requests.where(~lease_free("submit_claimed_until", as_of)).select(*df.columns), f"{out}/pending", number)
+    lines = submission_lines(free, ["created_at", "request_id"], system_text, model, effort)
+    uid = stable_uuid(F.lit("batch"), F.lit(number), "batch_no")
+    fixed = write_epoch(lines.withColumn("batch_uid", uid), f"{out}/request_lines", number)
+    counted = fixed.groupBy("batch_uid").agg(F.count(F.lit(1)).alias("n"))
+    provider_id = F.concat(F.lit("pb_"), "batch_uid")
+    write_epoch(counted.select(F.col("batch_uid").alias("uid"), provider_id.alias("provider_batch_id"), now.alias("created_at")), f"{out}/batches", number)
+    write_epoch(counted.select(
+        F.xxhash64("batch_uid", F.lit("submitted")).alias("event_id"), F.col("batch_uid").alias("batch_fk"), F.lit("submitted").alias("event_type"),
+        details.batch_submitted(F.col("batch_uid"), provider_id, F.col("n")).alias("details"), now.alias("occurred_at")), f"{out}/batch_events", number)
+    write_epoch(fixed.select(
+        F.xxhash64("request_id", F.lit("submitted")).alias("event_id"), "request_id", F.lit("submitted").alias("state"),
+        details.request_submitted(F.col("batch_uid"), provider_id).alias("details"), now.alias("occurred_at")), f"{out}/request_events", number)
+    write_epoch(fixed.select(  # last: a request counts as submitted once its link is there
+        F.col("request_id").alias("request_fk"), F.col("batch_uid").alias("batch_fk"), now.alias("created_at")), f"{out}/batch_requests", number)
 
 
 def submit_stream(requests: DataFrame, out: str, checkpoint: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None,
                   every: str | None = None) -> StreamingQuery:
     """Entered, lease-free requests become batches of request lines with their links and events.
 
-    A request id seen before (a second delivery) is dropped by the stream's own state. Batches
-    are formed within a micro-batch; their ids derive from its number, so a repeat rewrites them.
+    Requests under a lease wait in ``pending``, which every micro-batch takes up again; without
+    ``every`` what still waits is tried once more at the end. A request with a link is never
+    submitted again. Batch ids derive from the number of the step, so a repeat rewrites them.
+    ``as_of`` may be a function, asked at each step.
     """
-    ready = claims.claimable_requests(requests, as_of).select("request_id", "request_text", "created_at").dropDuplicates(["request_id"])
-    now = as_time(as_of)
+    wanted = [c for c in ("request_id", "request_text", "state", "submit_claimed_until", "created_at", "updated_at") if c in requests.columns]
+    narrow = requests.select(*wanted)
+    if "updated_at" not in wanted:
+        narrow = narrow.withColumn("updated_at", F.col("created_at"))
 
     def step(df: DataFrame, epoch: int) -> None:
-        lines = submission_lines(df, ["created_at", "request_id"], system_text, model, effort)
-        uid = stable_uuid(F.lit("batch"), F.lit(epoch), "batch_no")
-        fixed = write_epoch(lines.withColumn("batch_uid", uid), f"{out}/request_lines", epoch)
-        counted = fixed.groupBy("batch_uid").agg(F.count(F.lit(1)).alias("n"))
-        provider_id = F.concat(F.lit("pb_"), "batch_uid")
-        write_epoch(counted.select(F.col("batch_uid").alias("uid"), provider_id.alias("provider_batch_id"), now.alias("created_at")), f"{out}/batches", epoch)
-        write_epoch(counted.select(
-            F.col("batch_uid").alias("batch_fk"), F.lit("submitted").alias("event_type"),
-            details.batch_submitted(F.col("batch_uid"), provider_id, F.col("n")).alias("details"), now.alias("occurred_at")), f"{out}/batch_events", epoch)
-        write_epoch(fixed.select(
-            F.col("request_id").alias("request_fk"), F.col("batch_uid").alias("batch_fk"), now.alias("created_at")), f"{out}/batch_requests", epoch)
-        write_epoch(fixed.select(
-            "request_id", F.lit("submitted").alias("state"), details.request_submitted(F.col("batch_uid"), provider_id).alias("details"),
-            now.alias("occurred_at")), f"{out}/request_events", epoch)
+        submit_step(df, epoch * RETRIES, out, _now(as_of), system_text, model, effort)
+
+    query = run(narrow, step, checkpoint, every=every)
+    if not every:
+        spark = requests.sparkSession
+        done = read_epochs(spark, f"{out}/pending", narrow.schema).agg(F.max("epoch")).first()[0]
+        if done is not None and latest_epoch(spark, f"{out}/pending", narrow.schema, done + 1).where(lease_free("submit_claimed_until", _now(as_of))).limit(1).count():
+            submit_step(spark.createDataFrame([], narrow.schema), done + 1, out, _now(as_of), system_text, model, effort)
+    return query
 
-    return run(ready, step, checkpoint, every=every)
 
+TERMINAL = "batch_fk string, occurred_at timestamp_ntz, event_id bigint, status string, reason string"
 
-def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+
+def poll_stream(reports: DataFrame, batch_requests, requests, out: str, checkpoint: str, every: str | None = None, batches=None,
+                ttl: int = schemas.CLAIM_TTL_SECONDS) -> StreamingQuery:
     """Provider reports (event_id, batch_fk, status, error_file_id, occurred_at) become batch events.
 
     The first terminal report of a batch ends it: a completed batch enters the outbox, a failed or
     cancelled one cancels its submitted requests. Reports after that one are not recorded.
+    ``batch_requests``, ``requests`` and ``batches`` are read at each step (path, function of the session, or a
+    fixed DataFrame). With ``batches`` a report must bring the batch's ``poll_claim_token``: stale ones go
+    to ``stale_reports``; ``poll_leases`` has what becomes of the lease, kept by a running state and
+    ended by an error and by a terminal one.
     """
-    terminal_schema = "batch_fk string, occurred_at timestamp_ntz, event_id bigint, status string, reason string"
-
     def step(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        ended = read_epochs(spark, f"{out}/terminal", _struct(spark, terminal_schema), before=epoch).select("batch_fk").distinct()
+        if batches is not None:
+            held = current(spark, batches).select(F.col("uid").alias("batch_fk"), "poll_claim_token").where(F.col("poll_claim_token").isNotNull())
+            write_epoch(df.join(held, ["batch_fk", "poll_claim_token"], "left_anti"), f"{out}/stale_reports", epoch)
+            df = df.join(held, ["batch_fk", "poll_claim_token"], "left_semi")
+        touched = df.select("batch_fk").distinct()
+        ended = read_epochs(spark, f"{out}/terminal", _struct(spark, TERMINAL), before=epoch).join(touched, "batch_fk", "left_semi").select("batch_fk").distinct()
         status = variants.provider_status("status", "error_file_id")
         mapped = df.select("event_id", "batch_fk", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), status.alias("s")).select(
             "event_id", "batch_fk", "occurred_at", "s.status", "s.reason", "s.is_error")
@@ -67,64 +109,100 @@ def poll_stream(reports: DataFrame, batch_requests: DataFrame, requests: DataFra
         terminal = write_epoch(first, f"{out}/terminal", epoch)
 
         ends = terminal.select("batch_fk", F.struct("occurred_at", "event_id").alias("_end"))
-        kept = join_hot(seen, ends, ["batch_fk"], "left").where(
-            F.col("_end").isNull() | (F.struct("occurred_at", "event_id") <= F.col("_end")))
+        kept = write_epoch(join_hot(seen, ends, ["batch_fk"], "left").where(
+            F.col("_end").isNull() | (F.struct("occurred_at", "event_id") <= F.col("_end"))).drop("_end"), f"{out}/polls", epoch)
         polled = kept.select(
             "event_id", "batch_fk", F.when(F.col("is_error"), "poll_error").otherwise("polled").alias("event_type"),
             F.when(F.col("is_error"), details.poll_error(F.lit("PROVIDER"), F.lit("unknown batch status"))).otherwise(
                 details.polled(variants.provider_status_text(F.col("status")), F.col("reason"))).alias("details"), "occurred_at")
         closing = terminal.select(
-            "event_id", "batch_fk", F.col("status").alias("event_type"), details.provider_terminal(F.col("status"), F.col("reason")).alias("details"), "occurred_at")
+            F.xxhash64("batch_fk", "status").alias("event_id"), "batch_fk", F.col("status").alias("event_type"),
+            details.provider_terminal(F.col("status"), F.col("reason")).alias("details"), "occurred_at")
         write_epoch(polled.unionByName(closing), f"{out}/batch_events", epoch)
         write_epoch(terminal.where(F.col("status") == "completed").select("batch_fk", F.lit("{}").alias("metadata"), F.col("occurred_at").alias("created_at")), f"{out}/fetch_outbox", epoch)
-
-        stopped = terminal.where(F.col("status").isin("cancelled", "failed")).select("batch_fk", "status", "reason")
-        submitted = requests.where(F.col("state") == "submitted").select(F.col("request_id").alias("request_fk"))
-        hit = join_hot(batch_requests.select("request_fk", "batch_fk"), stopped, ["batch_fk"]).join(submitted, "request_fk", "left_semi")
-        write_epoch(hit.select(
-            F.col("request_fk").alias("request_id"), F.lit("cancelled").alias("state"),
-            details.batch_terminal(F.col("batch_fk"), F.col("status"), F.col("reason")).alias("details")), f"{out}/request_events", epoch)
+        if batches is not None:
+            last = kept.groupBy("batch_fk").agg(F.max_by(F.struct("is_error", "status", "occurred_at"), F.struct("occurred_at", "event_id")).alias("l"))
+            over = F.col("l.is_error") | claims.is_terminal_event("l.status")
+            write_epoch(last.select("batch_fk", F.when(~over, F.col("l.occurred_at") + F.make_dt_interval(secs=F.lit(ttl))).alias("poll_claimed_until")), f"{out}/poll_leases", epoch)
+
+        stopped = terminal.where(F.col("status").isin("cancelled", "failed")).select("batch_fk", "status", "reason", "occurred_at")
+        links = join_hot(current(spark, batch_requests).select("request_fk", "batch_fk"), stopped, ["batch_fk"])
+        submitted = current(spark, requests).where(F.col("state") == "submitted").select(F.col("request_id").alias("request_fk"))
+        write_epoch(links.join(submitted, "request_fk", "left_semi").select(
+            F.xxhash64("request_fk", "batch_fk", F.lit("cancelled")).alias("event_id"), F.col("request_fk").alias("request_id"), F.lit("cancelled").alias("state"),
+            details.batch_terminal(F.col("batch_fk"), F.col("status"), F.col("reason")).alias("details"), "occurred_at"), f"{out}/request_events", epoch)
 
     return run(reports, step, checkpoint, every=every)
 
 
 ANSWERS = "batch_fk string, request_fk string, metadata string, content string, line_no bigint"
+FETCHED = "batch_fk string, line_no bigint, bytes bigint"
+COMPLETED = "event_id bigint, request_id string, state string, details string, occurred_at timestamp_ntz"
 
 
-def fetch_stream(lines: DataFrame, batch_requests: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, every: str | None = None, requests=None, outbox=None,
+                 as_of="1970-01-01 00:00:00", backoff: int = schemas.ERROR_BACKOFF_SECONDS) -> StreamingQuery:
     """Result lines (batch_fk, line_no, line) become answers, rejects, events and outbox removals.
 
-    The lines themselves are kept too and entered in the object index, one object per batch.
-
-    Answers are appended; ``current_results`` picks the last one per request, so repeated
-    deliveries overwrite without rewriting a snapshot per micro-batch.
+    Tables are read at each step (path, function of the session, or a fixed DataFrame), so links and
+    requests that are added later are seen. All counts of a batch are taken over its answers so far:
+    a later ``answers_materialized`` or ``raw_fetched`` row replaces an earlier one (``current_batch_events``).
+    A ``submitted`` request (any, without ``requests``) is completed once. A batch leaves the ``outbox`` (any
+    batch, without one) when no answer of it is missing. Lines with a non-null ``error`` column report a failed fetch: a
+    ``fetch_failed`` event, and the batch may be fetched again after ``backoff`` seconds (``fetch_leases``).
     """
+    if "error" not in lines.columns:
+        lines = lines.withColumn("error", F.lit(None).cast("string"))
+
     def step(df: DataFrame, epoch: int) -> None:
-        extracted = jsonl.with_main_text(df).withColumn("answer_class", results.answer_class())
+        spark, now = df.sparkSession, as_time(_now(as_of))
+        links = current(spark, batch_requests).select("batch_fk", "request_fk")
+        failed = df.where(F.col("error").isNotNull()).groupBy("batch_fk").agg(F.max("error").alias("error"))
+        failed = write_epoch(failed, f"{out}/failures", epoch)
+        extracted = jsonl.with_main_text(df.where(F.col("error").isNull()).drop("error")).withColumn("answer_class", results.answer_class())
         fixed = write_epoch(extracted.select("batch_fk", "line_no", "line", "custom_id", "content", "answer_class"), f"{out}/lines", epoch)
         good = fixed.where(F.col("answer_class") == "good").select(
             "batch_fk", F.lower("custom_id").alias("request_fk"), F.lit("null").alias("metadata"), "content", "line_no")
-        answers = write_epoch(results.allowed_answers(good, batch_requests).select("batch_fk", "request_fk", "metadata", "content", "line_no"), f"{out}/answers", epoch)
-        foreign = good.join(batch_requests.select("batch_fk", "request_fk"), ["batch_fk", "request_fk"], "left_anti").select(
-            "batch_fk", "line_no", F.lit("foreign_request").alias("reason"))
+        answers = write_epoch(results.allowed_answers(good, links).select("batch_fk", "request_fk", "metadata", "content", "line_no"), f"{out}/answers", epoch)
+        foreign = good.join(links, ["batch_fk", "request_fk"], "left_anti").select("batch_fk", "line_no", F.lit("foreign_request").alias("reason"))
         bad = fixed.where(F.col("answer_class") != "good").select("batch_fk", "line_no", F.col("answer_class").alias("reason"))
         write_epoch(bad.unionByName(foreign), f"{out}/rejects", epoch)
-        write_epoch(answers.select("request_fk", "batch_fk").distinct().select(
-            F.col("request_fk").alias("request_id"), F.lit("completed").alias("state"),
-            details.answer_materialized(F.col("batch_fk"), F.lit("null")).alias("details")), f"{out}/request_events", epoch)
-        batches = write_epoch(fixed.select("batch_fk").distinct(), f"{out}/outbox_done", epoch)
-        members = join_hot(batch_requests.select("batch_fk", "request_fk"), batches, ["batch_fk"], "left_semi")
-        counts = results.answers_materialized(answers, members)
+
+        done = answers.select("request_fk", "batch_fk").distinct()
+        if requests is not None:
+            done = done.join(current(spark, requests).where(F.col("state") == "submitted").select(F.col("request_id").alias("request_fk")), "request_fk", "left_semi")
+        fresh = done.groupBy("request_fk").agg(F.min("batch_fk").alias("batch_fk"))
+        before = read_epochs(spark, f"{out}/request_events", _struct(spark, COMPLETED), before=epoch).select(F.col("request_id").alias("request_fk"))
+        fresh = fresh.join(before.join(fresh.select("request_fk"), "request_fk", "left_semi").distinct(), "request_fk", "left_anti")
+        write_epoch(fresh.select(
+            F.xxhash64("request_fk", F.lit("completed")).alias("event_id"), F.col("request_fk").alias("request_id"), F.lit("completed").alias("state"),
+            details.answer_materialized(F.col("batch_fk"), F.lit("null")).alias("details"), now.alias("occurred_at")), f"{out}/request_events", epoch)
+
+        batches = write_epoch(fixed.select("batch_fk").distinct(), f"{out}/touched", epoch)
+        so_far = join_hot(read_epochs(spark, f"{out}/answers", _struct(spark, ANSWERS), before=epoch + 1), batches, ["batch_fk"], "left_semi")
+        members = join_hot(links, batches, ["batch_fk"], "left_semi")
+        counts = write_epoch(batches.join(results.answers_materialized(so_far, members), "batch_fk", "left").fillna(0), f"{out}/counts", epoch)
         materialized = counts.select(
-            "batch_fk", F.lit("answers_materialized").alias("event_type"),
-            details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details"))
-        size = F.sum(F.octet_length(F.encode("line", "UTF-8")) + 1).cast("bigint")
-        raw = write_epoch(fixed.groupBy("batch_fk").agg(size.alias("bytes")).select(
-            "batch_fk", stable_uuid(F.lit("raw"), F.lit(epoch), "batch_fk").alias("locator"), F.lit("raw_result").alias("kind"), "bytes",
+            F.xxhash64("batch_fk", F.lit("answers_materialized")).alias("event_id"), "batch_fk", F.lit("answers_materialized").alias("event_type"),
+            details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details"), now.alias("occurred_at"))
+        whole = counts.where("missing_count = 0").select("batch_fk")
+        if outbox is not None:
+            whole = whole.join(current(spark, outbox).select("batch_fk").distinct(), "batch_fk", "left_semi")
+        write_epoch(whole, f"{out}/outbox_done", epoch)
+        size = (F.octet_length(F.encode("line", "UTF-8")) + 1).cast("bigint")
+        write_epoch(fixed.groupBy("batch_fk", "line_no").agg(F.max(size).alias("bytes")), f"{out}/fetched", epoch)
+        fetched_so_far = join_hot(read_epochs(spark, f"{out}/fetched", _struct(spark, FETCHED), before=epoch + 1), batches, ["batch_fk"], "left_semi")
+        raw = write_epoch(fetched_so_far.groupBy("batch_fk", "line_no").agg(F.max("bytes").alias("bytes")).groupBy("batch_fk").agg(F.sum("bytes").alias("bytes")).select(
+            "batch_fk", stable_uuid(F.lit("raw"), "batch_fk").alias("locator"), F.lit("raw_result").alias("kind"), "bytes",
             F.lit("application/json").alias("content_type")), f"{out}/s3_objects", epoch)
         fetched = raw.select(
-            "batch_fk", F.lit("raw_fetched").alias("event_type"), details.raw_fetched(F.col("batch_fk"), F.col("locator"), F.col("bytes")).alias("details"))
-        write_epoch(fetched.unionByName(materialized), f"{out}/batch_events", epoch)
+            F.xxhash64("batch_fk", F.lit("raw_fetched")).alias("event_id"), "batch_fk", F.lit("raw_fetched").alias("event_type"),
+            details.raw_fetched(F.col("batch_fk"), F.col("locator"), F.col("bytes")).alias("details"), now.alias("occurred_at"))
+        lost = failed.select(
+            F.xxhash64("batch_fk", F.lit("fetch_failed"), F.lit(epoch)).alias("event_id"), "batch_fk", F.lit("fetch_failed").alias("event_type"),
+            details.fetch_failed(F.lit("FETCH"), F.col("error")).alias("details"), now.alias("occurred_at"))
+        write_epoch(fetched.unionByName(materialized).unionByName(lost), f"{out}/batch_events", epoch)
+        write_epoch(failed.select("batch_fk", (now + F.make_dt_interval(secs=F.lit(backoff))).alias("fetch_claimed_until")), f"{out}/fetch_leases", epoch)
 
     return run(lines, step, checkpoint, every=every)
 
@@ -136,11 +214,31 @@ def current_results(spark: SparkSession, out: str) -> DataFrame:
         F.max_by(F.struct("metadata", "content"), F.struct("epoch", "line_no")).alias("_r")).select("batch_fk", "request_fk", "_r.*")
 
 
-def outbox_dedupe_stream(ready: DataFrame, out: str, checkpoint: str, delay: str) -> None:
-    """One outbox row per batch, although a fast and a durable path may both deliver it."""
-    once = ready.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["batch_fk"])
-    (once.select("batch_fk", "occurred_at").writeStream.format("parquet").option("path", out)
-     .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination())
+def current_batch_events(spark: SparkSession, out: str) -> DataFrame:
+    """Batch events of a fetch job; of rows with one event id the latest counts."""
+    rows = spark.read.parquet(f"{out}/batch_events")
+    return rows.groupBy("event_id").agg(
+        F.max_by(F.struct("batch_fk", "event_type", "details", "occurred_at"), "epoch").alias("_r")).select("event_id", "_r.*")
+
+
+def current_rejects(spark: SparkSession, out: str) -> DataFrame:
+    """Rejected lines, each once however often it was delivered, without those that were accepted later."""
+    rows = spark.read.parquet(f"{out}/rejects").select("batch_fk", "line_no", "reason").distinct()
+    accepted = read_epochs(spark, f"{out}/answers", _struct(spark, ANSWERS)).select("batch_fk", "line_no").distinct()
+    return rows.join(accepted, ["batch_fk", "line_no"], "left_anti")
+
+
+READY = "batch_fk string, occurred_at timestamp_ntz"
+
+
+def outbox_dedupe_stream(ready: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """One outbox row per batch, although a fast and a durable path may both deliver it, however late."""
+    def step(df: DataFrame, epoch: int) -> None:
+        first = df.groupBy("batch_fk").agg(F.min(F.col("occurred_at").cast("timestamp_ntz")).alias("occurred_at"))
+        before = read_epochs(df.sparkSession, out, _struct(df.sparkSession, READY), before=epoch).select("batch_fk")
+        write_epoch(first.join(before.join(first.select("batch_fk"), "batch_fk", "left_semi"), "batch_fk", "left_anti"), out, epoch)
+
+    return run(ready, step, checkpoint, every=every)
 
 
 STATES = "request_id string, state string"

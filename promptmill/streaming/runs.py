@@ -35,6 +35,20 @@ def read_epochs(spark: SparkSession, path: str, schema: T.StructType, before: in
     return df if before is None else df.where(F.col("epoch") < before)
 
 
+def current(spark: SparkSession, table) -> DataFrame:
+    """A table as it is now: given as a path, as a function of the session, or as a DataFrame (as it was when that was made)."""
+    if isinstance(table, str):
+        return spark.read.parquet(table)
+    return table(spark) if callable(table) else table
+
+
+def latest_epoch(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
+    """The last micro-batch written to a table before ``before``."""
+    rows = read_epochs(spark, path, schema, before=before)
+    last = rows.agg(F.max("epoch")).first()[0]
+    return rows.where(F.col("epoch") == (-1 if last is None else last)).drop("epoch")
+
+
 def run(stream: DataFrame, step: Callable[[DataFrame, int], object], checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Hand each micro-batch to ``step``.
 

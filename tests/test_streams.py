@@ -68,6 +68,10 @@ def test_fetch(spark, tables, tmp_path):
     for name in ("rejects", "request_events"):
         a, b = (spark.read.parquet(f"{d}/out/{name}").drop("epoch") for d in (one, many))
         assert rows(a) == rows(b)
+    a, b = (jobs.current_batch_events(spark, f"{d}/out") for d in (one, many))
+    assert rows(a) == rows(b) and a.count() == a.select("event_id").distinct().count()
+    a, b = (spark.read.parquet(f"{d}/out/outbox_done").select("batch_fk").distinct() for d in (one, many))
+    assert rows(a) == rows(b)
     lines = t.result_stream.count()
     answers, rejects = (spark.read.parquet(f"{many}/out/{n}").count() for n in ("answers", "rejects"))
     assert answers + rejects == lines  # every line is accounted for
@@ -89,7 +93,7 @@ def test_states_and_leases(spark, tables, tmp_path):
 def test_outbox_once(spark, tables, tmp_path):
     t, stream = tables
     for _ in range(2):
-        jobs.outbox_dedupe_stream(stream("ready_batches").union(stream("ready_batches")), f"{tmp_path}/o", f"{tmp_path}/cp", "60 days")
+        jobs.outbox_dedupe_stream(stream("ready_batches").union(stream("ready_batches")), f"{tmp_path}/o", f"{tmp_path}/cp")
     assert rows(spark.read.parquet(f"{tmp_path}/o").select("batch_fk")) == rows(t.ready_batches.select("batch_fk").distinct())
 
 
@@ -139,3 +143,93 @@ def test_standing_query(spark, tables, tmp_path):
     finally:
         query.stop()
     assert rows(jobs.current_states(spark, f"{tmp_path}/s")) == rows(events.request_states(t.request_events))
+
+
+def feed(spark, tmp_path, name, *parts):
+    """A stream over a folder that gets one more file per call."""
+    folder = f"{tmp_path}/{name}"
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, files_per_trigger=1)
+
+
+def test_leased_requests_wait_and_are_submitted_once(spark, tmp_path):
+    schema = "request_id string, request_text string, state string, submit_claimed_until timestamp_ntz, created_at timestamp_ntz"
+    made = spark.sql("select inline(array(struct('r1', 'a', 'entered', cast(null as timestamp_ntz), timestamp_ntz '2026-01-01'), "
+                     "struct('r2', 'b', 'entered', timestamp_ntz '2026-01-03', timestamp_ntz '2026-01-01')))").toDF(*[c.split()[0] for c in schema.split(", ")])
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    stream = feed(spark, tmp_path, "in", made)
+    sent = lambda: sorted(r.request_fk for r in spark.read.parquet(f"{out}/batch_requests").collect())
+    jobs.submit_stream(stream, out, cp, "2026-01-02 00:00:00")
+    assert sent() == ["r1"]
+    jobs.submit_stream(stream, out, cp, lambda: "2026-01-05 00:00:00")  # nothing new arrives; the lease has run out
+    assert sent() == ["r1", "r2"]
+    jobs.submit_stream(feed(spark, tmp_path, "in", made), out, cp, "2026-01-06 00:00:00")  # delivered again
+    assert sent() == ["r1", "r2"]
+    log = spark.read.parquet(f"{out}/request_events")
+    assert log.count() == 2 and log.where("event_id is null or occurred_at is null").count() == 0
+
+
+UID = "00000000-0000-4000-8000-00000000000"
+
+
+def answer(spark, batch, *lines):
+    made = [(batch, n, '{"custom_id":"%s%s","output_text":"%s"}' % (UID, i, t) if i else None, t if not i else None) for n, i, t in lines]
+    return spark.createDataFrame(made, "batch_fk string, line_no bigint, line string, error string")
+
+
+def test_fetch_counts_a_batch_over_micro_batches(spark, tmp_path):
+    links = spark.createDataFrame([(UID + "1", "b1"), (UID + "2", "b1")], "request_fk string, batch_fk string")
+    requests = spark.createDataFrame([(UID + "1", "submitted"), (UID + "2", "submitted")], "request_id string, state string")
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    stream = feed(spark, tmp_path, "in", answer(spark, "b1", (1, "1", "x")), answer(spark, "b1", (2, "2", "y")), answer(spark, "b1", (1, "1", "x")))
+    run = lambda: jobs.fetch_stream(stream, lambda _: links, out, cp, requests=lambda _: requests, outbox=lambda _: links, as_of="2026-01-01 00:00:00")
+    run()
+    run()
+    events_now = {r.event_type: json.loads(r.details) for r in jobs.current_batch_events(spark, out).collect()}
+    assert events_now["answers_materialized"] == {"event": "answers_materialized", "ok_count": 2, "missing_count": 0, "batch_request_count": 2}
+    done = spark.read.parquet(f"{out}/request_events")
+    assert sorted(r.request_id for r in done.collect()) == [UID + "1", UID + "2"] and done.where("event_id is null or occurred_at is null").count() == 0
+    left = {r.epoch for r in spark.read.parquet(f"{out}/outbox_done").collect()}
+    assert 0 not in left and left  # not before the second line was there
+
+
+def test_fetch_sees_links_that_come_later_and_reports_failures(spark, tmp_path):
+    path, out, cp = f"{tmp_path}/links", f"{tmp_path}/out", f"{tmp_path}/cp"
+    spark.createDataFrame([(UID + "1", "b1")], "request_fk string, batch_fk string").write.parquet(path)
+    query = jobs.fetch_stream(feed(spark, tmp_path, "in", answer(spark, "b1", (1, "1", "x"))), path, out, cp, every="1 second", as_of="2026-01-01 00:00:00")
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([(UID + "2", "b2")], "request_fk string, batch_fk string").write.mode("append").parquet(path)
+        feed(spark, tmp_path, "in", answer(spark, "b2", (1, "2", "y")), answer(spark, "b3", (1, None, "gone")))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted((r.batch_fk, r.content) for r in jobs.current_results(spark, out).collect()) == [("b1", "x"), ("b2", "y")]
+    assert jobs.current_rejects(spark, out).count() == 0
+    lost = [r for r in jobs.current_batch_events(spark, out).collect() if r.event_type == "fetch_failed"]
+    assert [r.batch_fk for r in lost] == ["b3"] and json.loads(lost[0].details)["error_message"] == "gone"
+    assert [(r.batch_fk, str(r.fetch_claimed_until)) for r in spark.read.parquet(f"{out}/fetch_leases").collect()] == [("b3", "2026-01-01 00:05:00")]
+
+
+def test_outbox_takes_late_rows_and_repeats_none(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame(list(rows), "batch_fk string, at string").select("batch_fk", F.col("at").cast("timestamp").alias("occurred_at"))
+    stream = feed(spark, tmp_path, "in", made(("x", "2026-01-01")), made(("y", "2027-01-01")), made(("late", "2020-01-01"), ("x", "2027-06-01")))
+    for _ in range(2):
+        jobs.outbox_dedupe_stream(stream, f"{tmp_path}/o", f"{tmp_path}/cp")
+    assert sorted(r.batch_fk for r in spark.read.parquet(f"{tmp_path}/o").collect()) == ["late", "x", "y"]
+
+
+def test_poll_needs_the_token_of_the_lease(spark, tmp_path):
+    batches = spark.createDataFrame([("b1", "t1"), ("b2", "t2")], "uid string, poll_claim_token string")
+    links = spark.createDataFrame([("r1", "b1"), ("r2", "b2")], "request_fk string, batch_fk string")
+    requests = spark.createDataFrame([("r1", "submitted"), ("r2", "submitted")], "request_id string, state string")
+    reports = [(1, "b1", "in_progress", None, "2026-01-01", "t1"), (2, "b2", "failed", None, "2026-01-01", "old"), (3, "b1", "cancelled", None, "2026-01-02", "t1")]
+    made = spark.createDataFrame(reports, "event_id bigint, batch_fk string, status string, error_file_id string, at string, poll_claim_token string").withColumn("occurred_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    stream = feed(spark, tmp_path, "in", made.where("event_id < 3"), made.where("event_id = 3"))
+    jobs.poll_stream(stream, lambda _: links, lambda _: requests, out, cp, batches=lambda _: batches)
+    assert [r.event_id for r in spark.read.parquet(f"{out}/stale_reports").collect()] == [2]
+    assert [r.request_id for r in spark.read.parquet(f"{out}/request_events").collect()] == ["r1"]
+    held = {r.epoch: r.poll_claimed_until for r in spark.read.parquet(f"{out}/poll_leases").collect()}
+    assert held[0] is not None and held[1] is None
