@@ -9,8 +9,6 @@ from promptmill.functions.text import as_time, lease_free, lease_until
 from promptmill.operators.upserts import delete_where, update_where
 from promptmill.schemas import BATCHES_PER_TICK, CLAIM_TTL_SECONDS, ERROR_BACKOFF_SECONDS, TERMINAL_EVENTS
 
-BROADCAST_PICKS = 10_000  # a pick of at most this many keys is broadcast
-
 
 def claimable_requests(requests: DataFrame, as_of) -> DataFrame:
     return requests.where((F.col("state") == "entered") & lease_free("submit_claimed_until", as_of))
@@ -84,11 +82,9 @@ def _touched(df: DataFrame, as_of) -> dict[str, Column]:
     return {"updated_at": as_time(as_of)} if "updated_at" in df.columns else {}
 
 
-def claim(df: DataFrame, picked: DataFrame, key: str, prefix: str, worker: str, token: str, as_of, ttl: int = CLAIM_TTL_SECONDS, picked_rows: int | None = None) -> DataFrame:
-    """Put a lease on the picked rows. ``picked_rows`` is the bound of the pick (its limit), if it has one."""
+def claim(df: DataFrame, picked: DataFrame, key: str, prefix: str, worker: str, token: str, as_of, ttl: int = CLAIM_TTL_SECONDS) -> DataFrame:
+    """Put a lease on the picked rows."""
     keys = picked.select(key).distinct()
-    if picked_rows is not None and picked_rows <= BROADCAST_PICKS:
-        keys = F.broadcast(keys)
     return update_where(df, keys, [key], F.lit(True), {**_lease(prefix, worker, F.lit(token), as_of, ttl), **_touched(df, as_of)})
 
 

@@ -26,6 +26,15 @@ def failed_executions(invocations: DataFrame, executions: DataFrame) -> DataFram
         F.col("crequest_fk").alias("request_uid"), "request_eid", "created_at", "kind", "notes")
 
 
+def outcomes(invocations: DataFrame, responses: DataFrame, links: DataFrame, assets: DataFrame, executions: DataFrame) -> DataFrame:
+    """``response_kind`` straight from the tables: one join per table, none only to look up an id."""
+    asset = links.join(assets.select(F.col("uid").alias("asset_fk"), F.col("eid").alias("asset_eid"), F.col("size").alias("asset_size")), "asset_fk", "left")
+    resolved = responses.select("uid", F.col("crequest_fk").alias("request_uid"), "kind", "content").join(
+        asset.select(F.col("response_fk").alias("uid"), "asset_eid", "asset_size"), "uid", "left").drop("uid")
+    failed = executions.where(F.col("kind") != EXECUTION_OK).select(F.col("crequest_fk").alias("request_uid"), "created_at", "notes")
+    return response_kind(invocations, resolved, failed)
+
+
 def response_kind(invocations: DataFrame, resolved: DataFrame, failed: DataFrame) -> DataFrame:
     """Outcome per invocation: text_block, asset, no_response_yet or aborted.
 

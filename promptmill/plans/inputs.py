@@ -8,6 +8,7 @@ to spread rows over the cases of a column.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,7 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
           o_orderpriority || ' order ' || cast(o_orderkey as {_V}) as request_text,
           case o_orderstatus when 'O' then 'entered' when 'P' then 'submitted' else 'completed' end as state,
           case when o_orderkey % 4 = 0 then 'loc' || cast(o_custkey as {_V}) end as raw_result_locator,
+          case when o_orderkey % 6 = 0 then 'loc' || cast(o_custkey + 5 as {_V}) end as final_result_locator,
           case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then o_orderdate + interval '1' day
             else o_orderdate + interval '4000' day end as submit_claimed_until,
           case when o_orderkey % 3 <> 0 then 'node' || cast(o_custkey % 5 as {_V}) end as submit_claimed_by,
@@ -84,7 +86,19 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "deleted_productions": ((), f"""
         select cast(c_custkey as {_V}) as production_id from customer where c_mktsegment = 'BUILDING'"""),
     "productions": ((), f"""
-        select cast(c_custkey as {_V}) as production_id, c_name as production_name from customer"""),
+        select cast(c_custkey as {_V}) as production_id, c_name as production_name, 'tpl' || cast(c_nationkey as {_V}) as template_id,
+          'src' || cast(c_custkey % 60 as {_V}) as source_id from customer"""),
+    "s3_objects": ((), f"""
+        select 'loc' || cast(c_custkey as {_V}) as locator, 'source' as kind from customer where c_custkey % 11 > 0
+        union all select 'loc' || cast(n_nationkey as {_V}) as locator, 'template' as kind from nation"""),
+    "asset_templates": ((), f"""
+        select 'tpl' || cast(n_nationkey as {_V}) as template_id, n_name as template_name, 'loc' || cast(n_nationkey * 30 as {_V}) as s3_locator
+        from nation where n_nationkey <> 7 union all select 'tpl3' as template_id, r_name as template_name, 'loc1' as s3_locator from region"""),
+    "asset_sources": ((), f"""
+        select 'src' || cast(s_suppkey % 50 as {_V}) as source_id, s_name as source_name, 'loc' || cast(s_suppkey as {_V}) as s3_locator from supplier"""),
+    "deleted_batches": ((), f"select cast(s_suppkey as {_V}) as uid from supplier where s_suppkey % 3 = 1"),
+    "state_log": ((), """
+        select event_id, case event_type when 'error' then 'lost' when 'signup' then null when 'view' then 'submitted' else 'entered' end as state from events"""),
     # ---- provider reports -----------------------------------------------------------
     "provider_reports": ((), f"""
         select event_id, cast(user_id as {_V}) as batch_fk,
@@ -244,13 +258,18 @@ class Inputs:
         return spread(df) if name in TEXT_TABLES else df
 
     def _derive(self, name: str, streamed: str | None, files_per_trigger: int | None = None) -> DataFrame:
-        head = with_clause((name,), SPARK_ONLY)
-        for t in TABLES:
+        head, views = with_clause((name,), SPARK_ONLY), []
+        for t in TABLES:  # under names of their own, so that no view of the user is touched
             if re.search(rf"\b(?:from|join) {t}\b", head):
                 path = f"{self.sf_dir}/{t}.parquet"
                 df = read_stream(self.spark, path, files_per_trigger=files_per_trigger) if t == streamed else self.table(t)
-                df.createOrReplaceTempView(t)
-        return self.spark.sql(f"{head}\nselect * from {name}")
+                views.append(f"promptmill_{t}_{uuid.uuid4().hex}")
+                df.createOrReplaceTempView(views[-1])
+                head = re.sub(rf"\b(from|join) {t}\b", rf"\1 {views[-1]}", head)
+        found = self.spark.sql(f"{head}\nselect * from {name}")
+        for view in views:
+            self.spark.catalog.dropTempView(view)
+        return found
 
     def stream(self, name: str, source: str, files_per_trigger: int | None = None) -> DataFrame:
         """A derived input over ``source`` read as a stream."""

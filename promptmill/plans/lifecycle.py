@@ -49,7 +49,7 @@ def assign_batches(t: Inputs) -> DataFrame:
 def claim_update(t: Inputs) -> DataFrame:
     requests = t.requests
     picked = claims.oldest(claims.claimable_requests(requests, AS_OF), 10, "request_id")
-    return claims.claim(requests, picked, "request_id", "submit", "worker", "token-1", AS_OF, picked_rows=10).select(
+    return claims.claim(requests, picked, "request_id", "submit", "worker", "token-1", AS_OF).select(
         "request_id", "submit_claimed_by", "submit_claim_token", "submit_claimed_until", "updated_at")
 
 
@@ -225,9 +225,7 @@ def item_index(t: Inputs) -> DataFrame:
     return results.item_index(t.requests.select("request_id", "production_id", "created_at"), "production_id", ["created_at", "request_id"]).drop("created_at")
 
 
-_UNIQUE = [
-    ("requests", "request_id"), ("requests", "production_id,item_index"), ("batches", "uid"), ("batch_events", "event_id"),
-    ("batch_requests", "request_fk,batch_fk"), ("link_log", "request_fk,batch_fk"), ("request_results", "batch_fk,request_fk"), ("fetch_outbox", "batch_fk")]
+_UNIQUE = [(t, ",".join(k)) for t, keys in (schemas.UNIQUE_KEYS | {"link_log": [("request_fk", "batch_fk")]}).items() for k in keys]
 
 
 @query(" union all ".join(
@@ -241,8 +239,8 @@ def uniqueness_audit(t: Inputs) -> DataFrame:
     return audit.uniqueness_audit({n: getattr(t, n) for n in keys}, keys)
 
 
-_FK_TABLES = ("productions", "requests", "request_events", "batches", "batch_events", "batch_requests", "request_results", "fetch_outbox")
-_FKS = [fk for fk in schemas.FOREIGN_KEYS if fk[0] in _FK_TABLES and fk[2] in _FK_TABLES]
+_FKS = schemas.FOREIGN_KEYS
+_FK_TABLES = tuple(dict.fromkeys(t for fk in _FKS for t in (fk[0], fk[2])))
 
 
 @query(" union all ".join(
@@ -269,10 +267,26 @@ def cascade_delete(t: Inputs) -> DataFrame:
     return out
 
 
-@query("""select event_type as value, count(*) as n from batch_events
-    where event_type not in ('completed', 'cancelled', 'failed') group by event_type""", "batch_events")
+@query("""select 'batches' as table_name, count(*) as n from batches where uid not in (select uid from deleted_batches)
+    union all select 'batch_events', count(*) from batch_events where batch_fk not in (select uid from deleted_batches)
+    union all select 'batch_requests', count(*) from batch_requests where batch_fk not in (select uid from deleted_batches)
+    union all select 'request_results', count(*) from request_results where batch_fk not in (select uid from deleted_batches)
+    union all select 'fetch_outbox', count(*) from fetch_outbox where batch_fk not in (select uid from deleted_batches)""",
+       "batches", "batch_events", "batch_requests", "request_results", "fetch_outbox", "deleted_batches")
+def cascade_delete_batches(t: Inputs) -> DataFrame:
+    names = ("batches", "batch_events", "batch_requests", "request_results", "fetch_outbox")
+    left = audit.cascade_delete({n: getattr(t, n) for n in names}, batches=t.deleted_batches)
+    counts = [left[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n in names]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("""select state as value, count(*) as n from state_log
+    where state is null or state not in ('entered', 'submitted', 'cancelled', 'completed') group by state""", "state_log")
 def state_domain_check(t: Inputs) -> DataFrame:
-    return audit.state_domain_check(t.batch_events, "event_type", schemas.TERMINAL_EVENTS)
+    return audit.state_domain_check(t.state_log, "state")
 
 
 # ---- provider statuses and event details ----------------------------------------------
@@ -359,8 +373,7 @@ _RESPONSE_INPUTS = ("cresponse", "crequest", "assetresponselink", "asset", "reqe
 
 
 def _outcomes(t: Inputs) -> DataFrame:
-    resolved = responses.response_resolution(t.cresponse, t.crequest, t.assetresponselink, t.asset)
-    return responses.response_kind(t.crequest, resolved, responses.failed_executions(t.crequest, t.reqexec))
+    return responses.outcomes(t.crequest, t.cresponse, t.assetresponselink, t.asset, t.reqexec)
 
 
 @query(_KINDS + """ select request_eid, outcome, case when outcome in ('text_block', 'asset') then content end as content,

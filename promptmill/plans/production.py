@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ def new_productions(corpora: DataFrame, template_name: str, template_text: str,
 
     The corpora are read and split once, into a written table that all results derive from with
     their own columns. Keys come from names and positions, so a repeated run yields the same
-    rows. With ``existing`` productions, a name that is already taken fails the whole call.
+    rows. A name that occurs twice, or is taken among the ``existing`` productions, fails the whole call.
     """
     now = as_time(as_of)
+    if corpora.groupBy("production_name").count().where("count > 1").limit(1).count():
+        raise RepeatedProduction("two corpora have one production name")
     if existing is not None and corpora.join(existing.select("production_name"), "production_name", "left_semi").limit(1).count():
         raise RepeatedProduction("a production of that name exists")
     sources = corpora.select(
@@ -77,8 +80,18 @@ def new_productions(corpora: DataFrame, template_name: str, template_text: str,
 
 
 def save_production(new: Production, path: str) -> None:
-    """Write all tables into a new folder. The productions come last: where they are, the rest is whole."""
+    """Write all tables into a new folder. The productions come last: where they are, the rest is whole.
+
+    A folder that has them is an error; one that was left unfinished is written anew.
+    """
     tables = new._asdict()
+    try:
+        new.productions.sparkSession.read.parquet(f"{path}/productions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        raise RepeatedProduction(f"productions are saved there: {path}")
     for name in (*(n for n in tables if n != "productions"), "productions"):
         tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
 

@@ -89,13 +89,15 @@ def test_read_corpus_files(spark, tmp_path):
 def test_saved_production(spark, tmp_path):
     df = spark.createDataFrame([("p1", "s1", f"{D}\nn = 1\n{D}\nbody")], "production_name string, source_name string, corpus string")
     new = production.new_productions(df, "tpl", "{{ text }}", "2026-01-01 00:00:00")
-    for _ in range(2):  # a repeated run writes the same rows
+    new.requests.write.parquet(f"{tmp_path}/p/requests")  # as an unfinished run leaves it
+    production.save_production(new, f"{tmp_path}/p")
+    saved = {n: spark.read.parquet(f"{tmp_path}/p/{n}") for n in new._fields}
+    for name in ("requests", "request_events", "s3_objects", "productions", "asset_sources", "asset_templates"):
+        table = conform(saved[name], TABLES[name])
+        assert table.schema.names == TABLES[name].names and table.count() == saved[name].count()
+    assert {n: d.count() for n, d in saved.items()} == {n: {"s3_objects": 2, "rejects": 0}.get(n, 1) for n in new._fields}
+    with pytest.raises(production.RepeatedProduction):
         production.save_production(new, f"{tmp_path}/p")
-        saved = {n: spark.read.parquet(f"{tmp_path}/p/{n}") for n in new._fields}
-        for name in ("requests", "request_events", "s3_objects", "productions", "asset_sources", "asset_templates"):
-            table = conform(saved[name], TABLES[name])
-            assert table.schema.names == TABLES[name].names and table.count() == saved[name].count()
-        assert {n: d.count() for n, d in saved.items()} == {n: {"s3_objects": 2, "rejects": 0}.get(n, 1) for n in new._fields}
 
 
 def test_large_files_in_splits(spark, tmp_path):
@@ -116,3 +118,9 @@ def test_large_files_in_splits(spark, tmp_path):
     assert got == sorted((r.source_name.rsplit("/", 1)[1], r.item_index, r.header_toml, r.body) for r in whole.items.collect())
     assert bad == {(r.source_name.rsplit("/", 1)[1], r.reason) for r in whole.rejects.collect()} == {("unclosed", corpus.UNCLOSED), ("open", corpus.UNCLOSED), ("bad", corpus.BAD_HEADER)}
     assert len(got) == 122
+
+
+def test_a_name_given_twice_fails(spark, tmp_path):
+    df = spark.createDataFrame([("p", "a", "x"), ("p", "b", "y")], "production_name string, source_name string, corpus string")
+    with pytest.raises(production.RepeatedProduction):
+        production.new_productions(df, "tpl", "{{ text }}", "2026-01-01 00:00:00")
