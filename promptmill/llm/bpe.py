@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
-from promptmill.llm.tasks import arrow_map, ddl
+from promptmill.llm.tasks import CACHES, arrow_map, ddl
 
-MAX_STATES = 120_000
-MAX_PAIRS = 300_000
-MAX_PIECES = 400_000
+MAX_STATES = 60_000
+MAX_PAIRS = 150_000
+MAX_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -194,6 +194,7 @@ class StreamDecoder:
 
 
 _kept: dict[str, tuple[Transducer, dict]] = {}
+CACHES.append(_kept)
 
 
 def machine(path: str, content: bytes) -> tuple[Transducer, dict]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptmill.llm.tasks import arrow_map, ddl
+from promptmill.llm.tasks import CACHES, arrow_map, ddl
 from promptmill.llm.words import mixed
 from promptmill.session import cut_lineage
 
@@ -30,7 +30,7 @@ HASHES = 4
 BITS_PER_ENTRY = 16
 LANES = 63  # languages per table word
 UNKNOWN = "und"
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _letters() -> np.ndarray:
@@ -39,6 +39,7 @@ def _letters() -> np.ndarray:
 
 
 _table: list[np.ndarray] = []
+CACHES.append(_table)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,12 +14,14 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
+from promptmill.llm.tasks import CACHES
 from promptmill.llm.words import mixed, powers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _BASE = 0xA0761D6478BD642F
 _classes: list[np.ndarray] = []
+CACHES.append(_classes)
 
 
 def classes() -> np.ndarray:

@@ -298,7 +298,9 @@ def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     return arrow_map(few, _compare(length), "doc bigint, tid bigint, start bigint, n bigint").unionByName(_hot_spans(places.where("hot"), length))
 
 
-def _kept(length: int, keys: list[str]) -> Callable:
+def _kept(length: int, keys: list[str], as_text: bool = False) -> Callable:
+    """What is left of each text: as bytes, or as text without characters that were cut in two."""
+
     def run(batches):
         for batch in batches:
             texts, found = batch.column("text"), batch.column("spans").to_pylist()
@@ -315,7 +317,8 @@ def _kept(length: int, keys: list[str]) -> Callable:
                 out.append((len(text), size, len(begin), hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keys), *(pa.array([o[j] for o in out], k) for j, k in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string()])),
-                 pa.array([o[4] for o in out], pa.binary())], [*keys, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                 pa.array([o[4].decode("utf-8", "ignore") for o in out], pa.string()) if as_text else pa.array([o[4] for o in out], pa.binary())],
+                [*keys, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text" if as_text else "kept"])
 
     return run
 
@@ -355,14 +358,6 @@ def remove(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
 
 
 def rewrite(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(_row: all columns of ``docs``, n_bytes, n_removed, kept_text) of every row; a character cut in two is left out of ``kept_text``."""
+    """(_row: all columns of ``docs``, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row; a character cut in two is left out of ``kept_text``."""
     joined = _joined(docs, id, text, length)
-    schema = f"{ddl(joined, ['_row'])}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    cleaned = arrow_map(joined, _kept(length, ["_row"]), schema)
-    return arrow_map(cleaned.select("_row", "n_bytes", "n_removed", "kept"), _as_text, f"{ddl(joined, ['_row'])}, n_bytes bigint, n_removed bigint, kept_text string")
-
-
-def _as_text(batches):
-    for batch in batches:
-        texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("_row", "n_bytes", "n_removed")), pa.array(texts, pa.string())], ["_row", "n_bytes", "n_removed", "kept_text"])
+    return arrow_map(joined, _kept(length, ["_row"], True), f"{ddl(joined, ['_row'])}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")

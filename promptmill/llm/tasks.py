@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from promptmill.session import ship_package
 
+#: What modules keep in a Python worker between tasks (dicts and lists). A worker that goes over to
+#: another operator lets go of all of it.
+CACHES: list = []
+_owner: list[str] = []
+
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` for functions that use this package's modules."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches):
+        tidy(module)
+        yield from fn(batches)
+        tidy(module)
+
+    return df.mapInArrow(run, schema)
+
+
+def tidy(module: str) -> None:
+    """Empty the caches when the worker last served another module; give free memory back to the system."""
+    if _owner != [module]:
+        _owner[:] = [module]
+        for kept in CACHES:
+            kept.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ddl(df: DataFrame, columns: list[str]) -> str:

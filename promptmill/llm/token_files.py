@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
-from promptmill.llm.tasks import arrow_map, ddl
+from promptmill.llm.tasks import CACHES, arrow_map, ddl
 
 BLOCK = 256
 HEADER = 7
@@ -162,6 +162,7 @@ class Library:
 
 
 _kept: dict[str, Library] = {}
+CACHES.append(_kept)
 
 
 def _library(path: str, content: str) -> Library:

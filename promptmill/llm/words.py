@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+from promptmill.llm.tasks import CACHES
+
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _M64 = (1 << 64) - 1
@@ -25,7 +27,8 @@ for _lo, _hi in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
 _LOWER[0x41:0x5B] = np.arange(0x61, 0x7B)
 _BYTE_CODE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
-_powers = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+CACHES.append(_powers)
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
