@@ -26,9 +26,9 @@ from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
 from promptmill.llm.tasks import CACHES, arrow_map, ddl
 
-MAX_STATES = 60_000
-MAX_PAIRS = 150_000
-MAX_PIECES = 200_000
+MAX_STATES = 120_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,8 +40,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of bytes with ranked merges. Every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, max_pairs: int = MAX_PAIRS):
+        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         # the trie of token bytes: children by byte, and the token that ends at a node
         self.child: list[dict[int, int]] = [{}]
@@ -100,7 +100,7 @@ class Transducer:
         key = last, token
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MAX_PAIRS:
+            if len(self.pairs) > self.max_pairs:
                 self.pairs.clear()
             if last < 0:
                 known = self.merged(self.bytes_of[token]) == [self.bytes_of[token]]
@@ -197,17 +197,18 @@ _kept: dict[str, tuple[Transducer, dict]] = {}
 CACHES.append(_kept)
 
 
-def machine(path: str, content: bytes) -> tuple[Transducer, dict]:
+def machine(path: str, content: bytes, room: float = 1.0) -> tuple[Transducer, dict]:
     """The transducer of a rank file and the pieces it has met, kept by a Python worker between tasks."""
     if path not in _kept:
         _kept.clear()
-        _kept[path] = Transducer({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}), {}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+        _kept[path] = Transducer(ranks, int(MAX_STATES * room), int(MAX_PAIRS * room)), {}
     return _kept[path]
 
 
-def encoded(texts: list[str], transducer: Transducer, known: dict) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: list[str], transducer: Transducer, known: dict, room: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts, end to end, and the first of each; every match of the public pattern is encoded by itself."""
-    return encode_slice(texts, known, lambda pieces: [array("I", transducer.encode(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces], MAX_PIECES)
+    return encode_slice(texts, known, lambda pieces: [array("I", transducer.encode(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces], int(MAX_PIECES * room))
 
 
 def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:
@@ -244,19 +245,20 @@ def _decoded(transducer: Transducer, ids: list[int], chunk: int, errors: str) ->
     return StreamDecoder(transducer.bytes_of, errors).decode(ids[i: i + chunk] for i in range(0, len(ids), chunk))
 
 
-def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text", chunk: int = 4096) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text", chunk: int = 4096, room: float = 1.0) -> DataFrame:
     """``keys``, ``n_tokens``, ``ids_sha256`` (little-endian unsigned 32-bit ids), ``decoded_sha256`` (bytes decoded from the ids).
 
-    A null text is encoded as an empty one. Repeated rows give repeated results.
+    A null text is encoded as an empty one. Repeated rows give repeated results. ``room`` scales the tables
+    that a worker keeps (results do not depend on it): less memory, more work.
     """
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
     chosen = docs.select(*keys, F.col(text).cast("string").alias("_text"))
 
     def run(batches):
-        transducer, known = machine(path, content.value)
+        transducer, known = machine(path, content.value, room)
         for batch in batches:
             for at, part in text_slices(batch.column("_text").to_pylist()):
-                ids, first = encoded(part, transducer, known)
+                ids, first = encoded(part, transducer, known, room)
                 raw, cut = ids.astype("<u4").tobytes(), first.tolist()
                 listed, back, code = ids.tolist(), [], []
                 for a, b in zip(cut, cut[1:], strict=False):
