@@ -243,6 +243,44 @@ def test_answers_admit_looser_copies(spark, docs_of):
     assert [(r.doc_id, r.item_id) for r in got] == [(100, 1)]
 
 
+def test_decontamination_finds_all_that_meets_its_rule(spark, docs_of):
+    """Copies that lost their rarest words, and short items of common words, against every passage compared by brute force."""
+    rng = random.Random(12)
+    rare = [f"zq{i}" for i in range(4000)]
+
+    def item(n):  # a third of its words are rare
+        return [rng.choice(rare) if j % 3 == 0 else rng.choice(WORDS) for j in range(n)]
+
+    items = [item(rng.randint(20, 50)) for _ in range(16)] + [prose(rng, n).split() for n in range(4, 11)] + [["alone"]]
+    answers = [None if i % 2 else " ".join(own[1:3]) for i, own in enumerate(items)]
+    rows = [(i, prose(rng, rng.randint(1, 90))) for i in range(60)]
+    for i, own in enumerate(items):
+        for share in (0.7, 0.5):
+            copy = list(own)
+            lost = [j for j in range(len(own)) if not (share == 0.5 and j in (1, 2))]
+            lost.sort(key=lambda j: own[j] in WORDS)  # rare words go first
+            for j in lost[: int(len(own) * (1 - share))]:
+                copy[j] = rng.choice(rare)
+            text = [rng.choice(rare) for _ in range(60)]
+            at = rng.randrange(60)
+            rows.append((len(rows), " ".join(text[:at] + copy + text[at:])))
+    want = set()
+    for i, own in enumerate(items):
+        mine, answer = decontaminate._words(" ".join(own)), decontaminate._words(answers[i])
+        for d, text in rows:
+            words = decontaminate._words(text)
+            for at in range(0, len(words), decontaminate.STEP):
+                around = words[max(0, at - len(mine)): at + 2 * decontaminate.STEP + len(mine)]
+                share = decontaminate.common_words(mine, around) / len(mine)
+                if share >= 0.7 or (share >= 0.5 and decontaminate._within(answer, around)):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(own), answers[i] or "") for i, own in enumerate(items)], "item_id int, text string, answer string")
+    docs = docs_of(rows)
+    got = decontaminate.find(docs, bench, ["doc_id"], answer="answer").select("doc_id", "item_id").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+    assert {r.doc_id for r in decontaminate.without(docs, bench, answer="answer").select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
