@@ -23,7 +23,7 @@ from promptmill.llm.tasks import ship_package
 LEAF = 64
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
-SLACK = 1e-9  # rounding of distances
+SLACK = 1e-7  # rounding of distances; a root of about zero is off by the root of the precision
 
 
 class Tree:
@@ -71,10 +71,20 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _all_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Every row of ``a`` with every row of ``b``, summed as in ``exact_products``."""
+    total = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        total = total + a[:, d, None] * b[None, :, d]
+    return total
+
+
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, longest: float, factor: float = 1.0):
     """(query row, id, score) of the ``k`` nearest to each query among ``vectors``; a query's own id is left out.
 
     Of equal vectors only the ``k + 1`` smallest ids can ever be among the nearest; the others stay out of the tree.
+    Queries for which more different vectors tie at the ``k``-th score than are kept are searched again, with exact
+    scores and ties cut by id at every leaf.
     """
     order = np.lexsort([ids, *vectors.T[::-1]])
     ids, vectors = ids[order], vectors[order]
@@ -119,8 +129,30 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     order = np.lexsort((ids[at], -score, row))
     row, at, score = row[order], at[order], score[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
-    top = rank < k
-    return row[top], ids[at][top], score[top]
+    # a vector that was cut may be as near as the k-th if the last one kept is, but for rounding
+    kth = np.partition(best, keep - k, axis=1)[:, keep - k]
+    rounding = 4 * (queries.shape[1] + 1) * np.finfo(float).eps * longest * np.sqrt((queries**2).sum(1))
+    tied = np.isfinite(kth) & (best.min(1) >= kth - 2 * rounding)
+    top = (rank < k) & ~tied[row]
+    row, near, score = row[top], ids[at[top]], score[top]
+    again = np.flatnonzero(tied)
+    if len(again):
+        reach = np.sqrt(np.maximum(square - 2 * (kth - rounding), 0))[again]
+        high_score, low_id = np.full((len(again), k), -np.inf), np.full((len(again), k), np.iinfo(np.int64).max)
+        for leaf, (low, high, _) in enumerate(tree.leaves):
+            some = np.flatnonzero(least[again, leaf] * factor <= reach + SLACK * (1 + longest))
+            if not len(some):
+                continue
+            members = tree.order[low:high]
+            product = _all_products(queries[again[some]], vectors[members])
+            product[query_ids[again[some]][:, None] == ids[members][None, :]] = -np.inf
+            both = np.hstack([high_score[some], product])
+            which = np.hstack([low_id[some], np.broadcast_to(ids[members], product.shape)])
+            order = np.lexsort((which, -both), axis=1)[:, :k]
+            high_score[some], low_id[some] = np.take_along_axis(both, order, 1), np.take_along_axis(which, order, 1)
+        of, col = np.nonzero(np.isfinite(high_score))
+        row, near, score = np.concatenate([row, again[of]]), np.concatenate([near, low_id[of, col]]), np.concatenate([score, high_score[of, col]])
+    return row, near, score
 
 
 def usable(vector: Column) -> Column:

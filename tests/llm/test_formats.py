@@ -213,6 +213,24 @@ def test_nearest(spark, shard, queries_at_once, monkeypatch):
     assert vptree.nearest(table.where("false"), table.vec_id % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["signs", "one-hot", "two values"])
+def test_ties_of_different_vectors_go_to_the_smallest_ids(kind):
+    rng = np.random.default_rng(3)
+    n, k = 3000, 20
+    vectors = {"signs": lambda: rng.choice([-1.0, 1.0], (n, 32)), "one-hot": lambda: np.eye(300)[rng.permutation(n) % 300],
+               "two values": lambda: rng.choice([0.1, 0.7], (n, 24))}[kind]()
+    ids = rng.permutation(10 * n)[:n]
+    longest = np.sqrt((vectors**2).sum(1).max()) * (1 + 1e-12)
+    row, near, score = vptree.search(ids, vectors, ids[:40], vectors[:40], k, longest)
+    got = {(r, i): s for r, i, s in zip(row.tolist(), near.tolist(), score.tolist(), strict=True)}
+    want = {}
+    for r in range(40):
+        exact = vptree.exact_products(np.broadcast_to(vectors[r], vectors.shape), vectors)
+        exact[r] = -np.inf
+        want |= {(r, int(ids[j])): float(exact[j]) for j in np.lexsort((ids, -exact))[:k]}
+    assert len(row) == len(got) and got == want
+
+
 def test_relaxed_pruning_trades_recall():
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, 16)) * 3
