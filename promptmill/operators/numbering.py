@@ -6,20 +6,46 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptmill.session import cut_lineage
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "rn", size: str | None = None) -> DataFrame:
-    """Number rows from 1 in the order of ``order_by`` (unique per group) per group or overall; NULL keys are a group, too.
+HOT_ROWS = 100_000  # a larger group is numbered in several tasks
 
-    Only the key columns are range partitioned by group and order, written once, and numbered
-    inside their partition plus the number of rows of the same group in earlier ones, so a hot
-    group is spread over many partitions. The other columns join them by the keys. ``size`` names
-    a column for the number of rows of the group.
+
+def number_rows(
+    df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "rn", size: str | None = None, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Number rows from 1 in the order of ``order_by`` per group or overall; NULL keys are a group, too.
+
+    Every row gets one number of its own: rows with equal order keys are told apart by a hash of their
+    other columns, and equal rows stand in any order. A group of up to ``hot_rows`` rows is numbered by a window. Larger
+    ones, and all rows where there are no groups, are range partitioned by group and order, written once
+    with a place for every row, and numbered inside their partition plus the number of rows of the same group in earlier
+    ones. Both ways give the same numbers. ``size`` names a column for the number of rows of the group.
     """
-    keys = list(dict.fromkeys([*partition_by, *order_by]))
-    ordered = df.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    others = [c for c in df.columns if c not in (*partition_by, *order_by) and _hashable(df.schema[c].dataType)]
+    tie = F.xxhash64(*others) if others else F.lit(0)
+    if not partition_by or hot_rows <= 0:
+        return _numbered_in_ranges(df, order_by, partition_by, tie, name, size)
+    group = Window.partitionBy(*partition_by)
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        counted = rows.withColumn(name, F.row_number().over(group.orderBy(*order_by, tie)).cast("bigint"))
+        return counted.withColumn(size, F.count(F.lit(1)).over(group)) if size else counted
+
+    counts = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = cut_lineage(counts.where(F.col("_rows") > hot_rows).select(*partition_by), "hot-groups")
+    if hot.isEmpty():
+        return by_window(df)
+    return by_window(join_null_safe(df, hot, partition_by, "left_anti")).unionByName(
+        _numbered_in_ranges(join_null_safe(df, hot, partition_by, "left_semi"), order_by, partition_by, tie, name, size))
+
+
+def _numbered_in_ranges(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str], tie: Column, name: str, size: str | None) -> DataFrame:
+    keys = [*dict.fromkeys([*partition_by, *order_by]), "_tie"]
+    ordered = df.withColumn("_tie", tie).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
     fixed = cut_lineage(
         ordered.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "numbered")
     spans = [*partition_by, "_part"]
@@ -32,15 +58,22 @@ def number_rows(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[s
     if not partition_by:
         starts = F.broadcast(starts)  # one row per partition of the range exchange
     extra = [F.col("_size").alias(size)] if size else []
-    numbered = _null_safe(fixed, starts, spans).select(*keys, (F.col("_seq") + F.col("_shift")).alias(name), *extra)
-    return numbered if set(df.columns) == set(keys) else _null_safe(df, numbered, keys)
+    return join_null_safe(fixed, starts, spans).select(*df.columns, (F.col("_seq") + F.col("_shift")).alias(name), *extra)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` in which NULL equals NULL."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` in which NULL equals NULL; ``how`` is inner, left_semi or left_anti."""
     own = right.select(*[F.col(k).alias(f"_{i}_{k}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     same = [left[k].eqNullSafe(own[f"_{i}_{k}"]) for i, k in enumerate(keys)]
-    return left.join(own, same).drop(*[f"_{i}_{k}" for i, k in enumerate(keys)])
+    return left.join(own, same, how).drop(*[f"_{i}_{k}" for i, k in enumerate(keys)])
 
 
 def fixed_groups(df: DataFrame, size: int, order_by: Sequence[str]) -> DataFrame:

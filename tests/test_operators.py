@@ -158,6 +158,33 @@ def test_null_groups_are_numbered(spark):
     assert chunks == {"a": "p-q", None: "r-s", "b": "t"}
 
 
-def test_texts_are_not_range_partitioned(spark, skewed):
+@pytest.mark.parametrize("hot_rows", [0, 2, 500, numbering.HOT_ROWS])
+def test_ties_number_every_row_once(spark, skewed, hot_rows):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 2, "z"), (None, None, "n"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "g string, o int, text string").repartition(3)
+    got = [(r.g, r.o, r.text, r.rn, r.n) for r in numbering.number_rows(df, ["o"], ["g"], size="n", hot_rows=hot_rows).collect()]
+    assert sorted(map(repr, (r[:3] for r in got))) == sorted(map(repr, rows))
+    for g, n in (("a", 3), ("b", 1), (None, 2)):
+        assert sorted(r[3] for r in got if r[0] == g) == [*range(1, n + 1)] and {r[4] for r in got if r[0] == g} == {n}
+    data, df = skewed  # the order values repeat; both ways break ties alike
+    numbers = {r.id: (r.rn, r.n) for r in numbering.number_rows(df, ["o"], ["g"], size="n", hot_rows=hot_rows).collect()}
+    plain = {r.id: (r.rn, r.n) for r in numbering.number_rows(df, ["o"], ["g"], size="n").collect()}
+    assert len(numbers) == len(data) and numbers == plain
+
+
+def test_ties_in_what_is_built_on_numbers(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("b", 1, "z"), ("b", 1, "z")]
+    df = spark.createDataFrame(rows, "g string, o int, text string").repartition(3)
+    joined = {r.g: sorted(r.chunk.split("|")) for r in numbering.ordered_concat(df, ["g"], ["o"], "text", "|").collect()}
+    assert joined == {"a": ["x", "y"], "b": ["z", "z"]}
+    places = sorted((r.batch_no, r.pos) for r in numbering.fixed_groups(df, 3, ["o"]).collect())
+    assert places == [(0, 1), (0, 2), (0, 3), (1, 1)]
+    assert sorted((r.g, r.item_index) for r in results.item_index(df, "g", ["o"]).collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    parts = results.extracted_document(df, ["g"], ["o"], "text").where("part_no = 1").collect()
+    assert {r.g: sorted(r.part.split(results.TEXT_SEPARATOR)) for r in parts} == {"a": ["x", "y"], "b": ["z", "z"]}
+
+
+def test_small_groups_are_numbered_in_one_exchange(skewed):
     numbered = numbering.number_rows(skewed[1], ["o", "id"], ["g"])
-    assert "rangepartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()  # only the written keys were
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Join" not in plan
