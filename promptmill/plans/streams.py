@@ -25,7 +25,7 @@ def _dirs(t: Inputs, label: str) -> tuple[str, str]:
 def submit_stream(t: Inputs) -> DataFrame:
     out, checkpoint = _dirs(t, "submit")
     jobs.submit_stream(t.stream("requests", "orders"), out, checkpoint, AS_OF)
-    lines, log = t.spark.read.parquet(f"{out}/request_lines"), t.spark.read.parquet(f"{out}/request_events")
+    lines, log = (jobs.submitted(t.spark, out, name) for name in ("request_lines", "request_events"))
     return lines.join(log.select("request_id", "state"), "request_id").select(
         "request_id", "batch_no", "pos", F.get_json_object("line", "$.body.input[1].content[0].text").alias("user_text"), "state")
 

@@ -13,11 +13,11 @@ from promptmill.operators import claims, events, results
 from promptmill.operators.joins import join_hot
 from promptmill.plans.production import submission_lines
 from promptmill.sources import jsonl
-from promptmill.streaming.runs import current, latest_epoch, read_epochs, run, write_epoch
-
-RETRIES = 1000  # numbers between two micro-batches, for the steps that retry what waits
+from promptmill.sources.tables import conform
+from promptmill.streaming.runs import current, mark, marks, query_id, read_epochs, run, write_epoch
 
 LINKS = "request_fk string, batch_fk string, created_at timestamp_ntz"
+SENT = "batch_uid string, provider_batch_id string, error_code string, error_message string"
 
 
 def _now(as_of):
@@ -25,56 +25,130 @@ def _now(as_of):
     return as_of() if callable(as_of) else as_of
 
 
-def submit_step(df: DataFrame, number: int, out: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None) -> None:
-    """One step of ``submit_stream``: what is new in ``df`` and what waited, as step ``number``."""
-    spark, now = df.sparkSession, as_time(as_of)
-    waiting = latest_epoch(spark, f"{out}/pending", df.schema, number)
-    last = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.coalesce("updated_at", "created_at"), "created_at"))
-    known = df.unionByName(waiting).groupBy("request_id").agg(last.alias("_r")).select("_r.*")
-    links = read_epochs(spark, f"{out}/batch_requests", _struct(spark, LINKS), before=number)
-    done = links.select(F.col("request_fk").alias("request_id")).join(known.select("request_id"), "request_id", "left_semi").distinct()
-    open_requests = write_epoch(known.where(F.col("state") == "entered").join(done, "request_id", "left_anti"), f"{out}/open", number)
-    free = claims.claimable_requests(open_requests, as_of).select("request_id", "request_text", "created_at")
-    write_epoch(open_requests.where(~lease_free("submit_claimed_until", as_of)).select(*df.columns), f"{out}/pending", number)
-    lines = submission_lines(free, ["created_at", "request_id"], system_text, model, effort)
-    uid = stable_uuid(F.lit("batch"), F.lit(number), "batch_no")
-    fixed = write_epoch(lines.withColumn("batch_uid", uid), f"{out}/request_lines", number)
-    counted = fixed.groupBy("batch_uid").agg(F.count(F.lit(1)).alias("n"))
-    provider_id = F.concat(F.lit("pb_"), "batch_uid")
-    write_epoch(counted.select(F.col("batch_uid").alias("uid"), provider_id.alias("provider_batch_id"), now.alias("created_at")), f"{out}/batches", number)
-    write_epoch(counted.select(
-        F.xxhash64("batch_uid", F.lit("submitted")).alias("event_id"), F.col("batch_uid").alias("batch_fk"), F.lit("submitted").alias("event_type"),
-        details.batch_submitted(F.col("batch_uid"), provider_id, F.col("n")).alias("details"), now.alias("occurred_at")), f"{out}/batch_events", number)
-    write_epoch(fixed.select(
-        F.xxhash64("request_id", F.lit("submitted")).alias("event_id"), "request_id", F.lit("submitted").alias("state"),
-        details.request_submitted(F.col("batch_uid"), provider_id).alias("details"), now.alias("occurred_at")), f"{out}/request_events", number)
-    write_epoch(fixed.select(  # last: a request counts as submitted once its link is there
-        F.col("request_id").alias("request_fk"), F.col("batch_uid").alias("batch_fk"), now.alias("created_at")), f"{out}/batch_requests", number)
+class SubmitLog:
+    """The steps of a submitting job, kept in its output and not in the stream's checkpoint.
+
+    A step takes up a micro-batch, or only what waits. It first writes what it will send (``seen``, ``request_lines``)
+    and a mark in ``planned``; then it sends, writes what became of it, and a mark in ``done``. Steps are numbered
+    one behind the other and a number is used again until it is planned, so whatever a lost step left
+    is written over. A planned step that is not done is finished first, from what it wrote and under its own batch ids, before any
+    other. Only ``done`` steps count as state, whether they have rows or not.
+    """
+
+    def __init__(self, out: str, schema, as_of, send=None, **line_options):
+        self.out, self.schema, self.as_of, self.send, self.line_options = out, schema, as_of, send, line_options
+
+    def step(self, df: DataFrame | None, spark: SparkSession, query: str | None = None, micro_batch: int | None = None) -> None:
+        """Work off ``df`` (nothing new for None) and what waits; a micro-batch that is already done changes nothing."""
+        done = self.finish(spark)
+        if micro_batch is not None and not done.where((F.col("query") == query) & (F.col("micro_batch") == micro_batch)).isEmpty():
+            return
+        number = self._last(done) + 1
+        self._plan(spark.createDataFrame([], self.schema) if df is None else df, number, query, micro_batch)
+        self._carry_out(spark, number)
+
+    def finish(self, spark: SparkSession) -> DataFrame:
+        """Carry out a step that was planned and then lost; all marks of steps that are done."""
+        done = marks(spark, f"{self.out}/done")
+        last = self._last(done)
+        if not marks(spark, f"{self.out}/planned").where(F.col("epoch") == last + 1).isEmpty():
+            self._carry_out(spark, last + 1)
+            return marks(spark, f"{self.out}/done")
+        return done
+
+    def waiting(self, spark: SparkSession) -> DataFrame:
+        """Requests that could not be sent by the last step that is done."""
+        last = self._last(marks(spark, f"{self.out}/done"))
+        return read_epochs(spark, f"{self.out}/pending", self.schema).where(F.col("epoch") == last).drop("epoch")
+
+    @staticmethod
+    def _last(done: DataFrame) -> int:
+        last = done.agg(F.max("epoch")).first()[0]
+        return -1 if last is None else last
+
+    def _plan(self, df: DataFrame, number: int, query: str | None, micro_batch: int | None) -> None:
+        spark, out, as_of = df.sparkSession, self.out, _now(self.as_of)
+        last = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.coalesce("updated_at", "created_at"), "created_at"))
+        known = df.unionByName(self.waiting(spark)).groupBy("request_id").agg(last.alias("_r")).select("_r.*")
+        # sent before, or seen in another state: neither is ever sent again
+        sent = read_epochs(spark, f"{out}/batch_requests", _struct(spark, LINKS), before=number).select(F.col("request_fk").alias("request_id"))
+        closed = read_epochs(spark, f"{out}/seen", self.schema, before=number).where(F.col("state") != "entered").select("request_id")
+        over = sent.unionByName(closed).join(known.select("request_id"), "request_id", "left_semi").distinct()
+        seen = write_epoch(known.join(over, "request_id", "left_anti"), f"{out}/seen", number)
+        free = claims.claimable_requests(seen, as_of).select("request_id", "request_text", "created_at")
+        lines = submission_lines(free, ["created_at", "request_id"], **self.line_options)
+        write_epoch(lines.withColumn("batch_uid", stable_uuid(F.lit("batch"), F.lit(number), "batch_no")), f"{out}/request_lines", number)
+        mark(spark, f"{out}/planned", number, query, micro_batch, as_time(as_of))
+
+    def _carry_out(self, spark: SparkSession, number: int) -> None:
+        out = self.out
+        read = lambda name: spark.read.parquet(f"{out}/{name}/epoch={number}")
+        plan, lines, seen = read("planned").first(), read("request_lines"), read("seen")
+        now = as_time(plan["at"])
+        counted = lines.groupBy("batch_uid").agg(F.count(F.lit(1)).alias("n"))
+        if self.send is None:
+            none = F.lit(None).cast("string")
+            sent = counted.select("batch_uid", F.concat(F.lit("pb_"), "batch_uid").alias("provider_batch_id"), none.alias("error_code"), none.alias("error_message"))
+            lost = None
+        else:  # asked once; what was answered is what counts from here on
+            sent = write_epoch(conform(self.send(lines), _struct(spark, SENT)), f"{out}/sent", number)
+            lost = lines.join(sent.where(F.col("error_code").isNotNull()), "batch_uid").select("request_id", "error_code", "error_message")
+        taken = sent.where(F.col("error_code").isNull()).select("batch_uid", "provider_batch_id")
+        whole = counted.join(taken, "batch_uid")
+        write_epoch(whole.select(F.col("batch_uid").alias("uid"), "provider_batch_id", now.alias("created_at")), f"{out}/batches", number)
+        write_epoch(whole.select(
+            F.xxhash64("batch_uid", F.lit("submitted")).alias("event_id"), F.col("batch_uid").alias("batch_fk"), F.lit("submitted").alias("event_type"),
+            details.batch_submitted(F.col("batch_uid"), F.col("provider_batch_id"), F.col("n")).alias("details"), now.alias("occurred_at")), f"{out}/batch_events", number)
+        members = lines.select("request_id", "batch_uid").join(taken, "batch_uid")
+        history = members.select(
+            F.xxhash64("request_id", F.lit("submitted")).alias("event_id"), "request_id", F.lit("submitted").alias("state"),
+            details.request_submitted(F.col("batch_uid"), F.col("provider_batch_id")).alias("details"), now.alias("occurred_at"))
+        wait = seen.where((F.col("state") == "entered") & ~lease_free("submit_claimed_until", plan["at"]))
+        if lost is not None:
+            history = history.unionByName(lost.select(
+                F.xxhash64("request_id", F.lit("submit_failed"), F.lit(number)).alias("event_id"), "request_id", F.lit("entered").alias("state"),
+                details.submit_failed(F.col("error_code"), F.col("error_message")).alias("details"), now.alias("occurred_at")))
+            released = F.lit(None).cast(self.schema["submit_claimed_until"].dataType)
+            wait = wait.unionByName(seen.join(lost, "request_id", "left_semi").withColumn("submit_claimed_until", released))
+        write_epoch(history, f"{out}/request_events", number)
+        write_epoch(members.select(
+            F.col("request_id").alias("request_fk"), F.col("batch_uid").alias("batch_fk"), now.alias("created_at")), f"{out}/batch_requests", number)
+        write_epoch(wait.select(*self.schema.names), f"{out}/pending", number)
+        mark(spark, f"{out}/done", number, plan["query"], plan["micro_batch"], now)
+
+
+def submitted(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of a submitting job (``request_lines``, ``batches``, ``batch_requests``, ...) as its finished steps have it."""
+    done = marks(spark, f"{out}/done").select("epoch")
+    return spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}").join(F.broadcast(done), "epoch", "left_semi")  # one row per step
 
 
 def submit_stream(requests: DataFrame, out: str, checkpoint: str, as_of, system_text: str = "", model: str = "gpt-5", effort: str | None = None,
-                  every: str | None = None) -> StreamingQuery:
+                  every: str | None = None, send=None) -> StreamingQuery:
     """Entered, lease-free requests become batches of request lines with their links and events.
 
-    Requests under a lease wait in ``pending``, which every micro-batch takes up again; without
-    ``every`` what still waits is tried once more at the end. A request with a link is never
-    submitted again. Batch ids derive from the number of the step, so a repeat rewrites them.
-    ``as_of`` may be a function, asked at each step.
+    Requests under a lease wait; every micro-batch takes them up again, and without ``every`` they are tried once more
+    at the end. A request with a link, or seen in another state, is never submitted again. ``send`` gets the request lines
+    of a step (batch_uid, pos, request_id, line, ...) and returns (batch_uid, provider_batch_id, error_code, error_message): a
+    batch with an error leaves ``submit_failed`` events, its requests lose their lease and wait. It may be
+    asked again for the same lines under the same batch ids after a crash. ``as_of`` may be a function, asked at each step.
+    What has been done is kept in ``SubmitLog``; ``submitted`` reads the tables.
     """
     wanted = [c for c in ("request_id", "request_text", "state", "submit_claimed_until", "created_at", "updated_at") if c in requests.columns]
     narrow = requests.select(*wanted)
     if "updated_at" not in wanted:
         narrow = narrow.withColumn("updated_at", F.col("created_at"))
+    log = SubmitLog(out, narrow.schema, as_of, send, system_text=system_text, model=model, effort=effort)
 
     def step(df: DataFrame, epoch: int) -> None:
-        submit_step(df, epoch * RETRIES, out, _now(as_of), system_text, model, effort)
+        log.step(df, df.sparkSession, query_id(df.sparkSession, checkpoint), epoch)
 
     query = run(narrow, step, checkpoint, every=every)
     if not every:
         spark = requests.sparkSession
-        done = read_epochs(spark, f"{out}/pending", narrow.schema).agg(F.max("epoch")).first()[0]
-        if done is not None and latest_epoch(spark, f"{out}/pending", narrow.schema, done + 1).where(lease_free("submit_claimed_until", _now(as_of))).limit(1).count():
-            submit_step(spark.createDataFrame([], narrow.schema), done + 1, out, _now(as_of), system_text, model, effort)
+        log.finish(spark)
+        if not log.waiting(spark).where(lease_free("submit_claimed_until", _now(as_of))).isEmpty():
+            log.step(None, spark)
     return query
 
 

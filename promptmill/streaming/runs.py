@@ -7,10 +7,11 @@ input row exactly one effect.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -42,11 +43,23 @@ def current(spark: SparkSession, table) -> DataFrame:
     return table(spark) if callable(table) else table
 
 
-def latest_epoch(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """The last micro-batch written to a table before ``before``."""
-    rows = read_epochs(spark, path, schema, before=before)
-    last = rows.agg(F.max("epoch")).first()[0]
-    return rows.where(F.col("epoch") == (-1 if last is None else last)).drop("epoch")
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that a checkpoint belongs to; it outlives restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+MARK = "query string, micro_batch bigint, at timestamp_ntz"
+
+
+def mark(spark: SparkSession, path: str, step: int, query: str | None, micro_batch: int | None, at: Column) -> None:
+    """Note that a step got this far. A mark is a row of its own, so a step without rows leaves one, too."""
+    write_epoch(spark.range(1).select(
+        F.lit(query).cast("string").alias("query"), F.lit(micro_batch).cast("bigint").alias("micro_batch"), at.cast("timestamp_ntz").alias("at")), path, step)
+
+
+def marks(spark: SparkSession, path: str) -> DataFrame:
+    """Marks of a job: ``epoch`` (the step), the query and the micro-batch it worked on (null: a retry) and its point in time."""
+    return read_epochs(spark, path, spark.createDataFrame([], MARK).schema)
 
 
 def run(stream: DataFrame, step: Callable[[DataFrame, int], object], checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from promptmill.operators import claims, events
 from promptmill.plans.inputs import AS_OF, Inputs
 from promptmill.sources import jsonl
-from promptmill.streaming import jobs
+from promptmill.streaming import jobs, runs
 from promptmill.streaming.runs import read_epochs, read_stream
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,111 @@ def test_leased_requests_wait_and_are_submitted_once(spark, tmp_path):
     assert log.count() == 2 and log.where("event_id is null or occurred_at is null").count() == 0
 
 
+REQUESTS = "request_id string, request_text string, state string, submit_claimed_until timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
+
+
+def requests_at(spark, *rows):
+    """(request_id, state, end of its lease or None, day of its last change)"""
+    made = [(i, f"text {i}", state, lease, "2026-01-01", day) for i, state, lease, day in rows]
+    raw = spark.createDataFrame(made, "request_id string, request_text string, state string, submit_claimed_until string, created_at string, updated_at string")
+    return raw.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in REQUESTS.split(", ")])
+
+
+class Killed(Exception):
+    pass
+
+
+def killing(monkeypatch, at):
+    """Let the ``at``-th write of a table fail once it is done (never for None); counts the writes."""
+    whole, seen = runs.write_epoch, []
+
+    def write(*args):
+        out = whole(*args)
+        seen.append(args[1])
+        if len(seen) - 1 == at:
+            raise Killed(args[1])
+        return out
+
+    monkeypatch.setattr(runs, "write_epoch", write)
+    monkeypatch.setattr(jobs, "write_epoch", write)
+    return seen
+
+
+def submit_twice(spark, out, fresh, monkeypatch, kill):
+    """A micro-batch in which one batch is refused, then a retry; whatever is killed is started again."""
+    clock, calls = ["2026-01-02 00:00:00"], []
+
+    def send(lines):
+        calls.append({(r.batch_uid, r.pos, r.request_id, r.line) for r in lines.collect()})
+        refused = (F.count(F.lit(1)) < 10) & F.lit(clock[0] < "2026-01-03")
+        return lines.groupBy("batch_uid").agg(F.when(refused, "E1").alias("error_code"), F.when(refused, "busy").alias("error_message")).withColumn(
+            "provider_batch_id", F.concat(F.lit("p"), "batch_uid"))
+
+    log = jobs.SubmitLog(out, fresh.schema, lambda: clock[0], send, system_text="", model="m")
+    writes = killing(monkeypatch, kill)
+    for time, df, number in (("2026-01-02 00:00:00", fresh, 0), ("2026-01-05 00:00:00", None, None)):
+        clock[0] = time
+        try:
+            log.step(df, spark, "q", number)
+        except Killed:
+            if df is not None or not log.waiting(spark).isEmpty():
+                log.step(df, spark, "q", number)
+    sent = {}
+    for call in calls:
+        for uid in {c[0] for c in call}:
+            assert sent.setdefault(uid, lines := {c for c in call if c[0] == uid}) == lines  # the same batch id never stands for other lines
+    tables = {name: rows(jobs.submitted(spark, out, name)) for name in ("request_lines", "batches", "batch_events", "batch_requests", "request_events", "pending")}
+    monkeypatch.undo()
+    return tables, writes
+
+
+def test_a_crash_after_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    fresh = requests_at(spark, *[(f"r{i:02d}", "entered", "2026-01-04" if i == 12 else None, "2026-01-01") for i in range(13)]).cache()
+    want, writes = submit_twice(spark, f"{tmp_path}/whole", fresh, monkeypatch, None)
+    linked = spark.read.parquet(f"{tmp_path}/whole/batch_requests")
+    assert sorted(r.request_fk for r in linked.collect()) == [f"r{i:02d}" for i in range(13)]
+    failed = [json.loads(r.details) for r in jobs.submitted(spark, f"{tmp_path}/whole", "request_events").where("state = 'entered'").collect()]
+    assert failed == [{"event": "submit_failed", "error_code": "E1", "error_message": "busy"}] * 2  # both went back and were sent with the retry
+    for kill in range(len(writes)):
+        got, _ = submit_twice(spark, f"{tmp_path}/{kill}", fresh, monkeypatch, kill)
+        assert got == want, writes[kill]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_stream_killed_in_its_retry_goes_on(spark, tmp_path, monkeypatch):
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    stream = feed(spark, tmp_path, "in", requests_at(spark, ("r1", "entered", None, "2026-01-01"), ("r2", "entered", "2026-01-03", "2026-01-01")))
+    jobs.submit_stream(stream, out, cp, "2026-01-02 00:00:00")
+    for kill in (0, 6):
+        killing(monkeypatch, kill)
+        with pytest.raises(Killed):
+            jobs.submit_stream(stream, out, cp, "2026-01-05 00:00:00")
+        monkeypatch.undo()
+    for _ in range(2):
+        jobs.submit_stream(stream, out, cp, "2026-01-05 00:00:00")
+    assert sorted(r.request_fk for r in jobs.submitted(spark, out, "batch_requests").collect()) == ["r1", "r2"]
+
+
+def test_cancelled_requests_are_not_submitted(spark, tmp_path):
+    out, cp = f"{tmp_path}/out", f"{tmp_path}/cp"
+    first = requests_at(spark, ("r1", "entered", "2026-01-04", "2026-01-01"), ("r3", "entered", "2026-01-04", "2026-01-01"))
+    cancelled = requests_at(spark, ("r1", "cancelled", None, "2026-01-02"), ("r2", "cancelled", None, "2026-01-02"))
+    late = requests_at(spark, ("r2", "entered", None, "2026-01-01"))  # overtaken by its own cancellation
+    for part in (first, cancelled, late):
+        jobs.submit_stream(feed(spark, tmp_path, "in", part), out, cp, "2026-01-03 00:00:00")
+    jobs.submit_stream(feed(spark, tmp_path, "in"), out, cp, "2026-01-05 00:00:00")
+    assert [r.request_fk for r in jobs.submitted(spark, out, "batch_requests").collect()] == ["r3"]
+
+
+def test_a_new_checkpoint_is_another_stream(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    for name in ("r1", "r2"):  # both are micro-batch 0 of their streams
+        part = requests_at(spark, (name, "entered", None, "2026-01-01"))
+        jobs.submit_stream(feed(spark, tmp_path, name, part), out, f"{tmp_path}/cp-{name}", "2026-01-03 00:00:00")
+    assert sorted(r.request_fk for r in jobs.submitted(spark, out, "batch_requests").collect()) == ["r1", "r2"]
+
+
 UID = "00000000-0000-4000-8000-00000000000"
 
 
