@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmill.schemas import CACHE_KEY_PREFIX
+from promptmill.session import ship_package
 
 # Fixed values of the FNV-1a 64-bit hash.
 FNV_OFFSET = 14695981039346656037
@@ -45,8 +46,7 @@ def _fnv_batch(texts: list[str]) -> list[str]:
 
 
 @F.pandas_udf(T.StringType())
-def fnv1a64_hex(texts: pd.Series) -> pd.Series:
-    """16 hex digits of the hash of the UTF-8 bytes; NULL stays NULL."""
+def _fnv1a64_hex(texts: pd.Series) -> pd.Series:
     present = texts.notna()
     out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
     if present.any():
@@ -54,6 +54,12 @@ def fnv1a64_hex(texts: pd.Series) -> pd.Series:
     return out
 
 
+def fnv1a64_hex(text: Column | str) -> Column:
+    """16 hex digits of the hash of the UTF-8 bytes; NULL stays NULL."""
+    ship_package(SparkSession.builder.getOrCreate())
+    return _fnv1a64_hex(text)
+
+
 def fnv1a64_hex_expr(text: Column) -> Column:
     """The same hash as one JVM expression, for short keys (one array element per byte).
 

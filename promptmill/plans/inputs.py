@@ -93,7 +93,7 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         union all select 'loc' || cast(n_nationkey as {_V}) as locator, 'template' as kind from nation"""),
     "asset_templates": ((), f"""
         select 'tpl' || cast(n_nationkey as {_V}) as template_id, n_name as template_name, 'loc' || cast(n_nationkey * 30 as {_V}) as s3_locator
-        from nation where n_nationkey <> 7 union all select 'tpl3' as template_id, r_name as template_name, 'loc1' as s3_locator from region"""),
+        from nation where n_nationkey <> 7 union all select 'tpl3' as template_id, r_name as template_name, 'loc' || cast(r_regionkey * 0 + 1 as {_V}) as s3_locator from region"""),
     "asset_sources": ((), f"""
         select 'src' || cast(s_suppkey % 50 as {_V}) as source_id, s_name as source_name, 'loc' || cast(s_suppkey as {_V}) as s3_locator from supplier"""),
     "deleted_batches": ((), f"select cast(s_suppkey as {_V}) as uid from supplier where s_suppkey % 3 = 1"),
@@ -200,6 +200,9 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
     "late_updates": ((), f"""
         select event_id, cast(user_id as {_V}) as request_id, 'w' || cast(event_id as {_V}) as claim_token
         from events where event_type in ('view', 'click')"""),
+    "lease_log": ((), f"""
+        select event_id, cast(user_id as {_V}) as request_id, case event_type when 'view' then 'claim' else 'update' end as kind,
+          'w' || cast(event_id % 3 as {_V}) as claim_token, ts as occurred_at from events where event_type in ('view', 'click')"""),
     # ---- objects --------------------------------------------------------------------
     "stored": ((), """
         select doc_id, lang || '/' || source as name, text from documents"""),

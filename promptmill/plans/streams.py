@@ -11,6 +11,7 @@ from promptmill.plans.lifecycle import _CLAIMABLE
 from promptmill.plans.registry import query
 from promptmill.session import shared_dir
 from promptmill.streaming import jobs
+from promptmill.streaming.runs import read_stream
 
 LEASE_TIME = "2024-01-29 00:00:00"
 
@@ -57,13 +58,15 @@ def poll_stream(t: Inputs) -> DataFrame:
 @query(f"""with {_DECODED}, a as (select batch_fk, doc_id as line_no, lower(custom_id) as request_fk, content, {_ANSWER_CLASS} as answer_class from decoded),
     ok as (select a.* from a join result_links l on l.request_fk = a.request_fk and l.batch_fk = a.batch_fk where answer_class = 'good'),
     counts as (select batch_fk, count(*) as total, count(*) filter (where request_fk in (select request_fk from ok)) as answered from result_links
-      where batch_fk in (select batch_fk from a) group by batch_fk)
+      where batch_fk in (select batch_fk from a) group by batch_fk),
+    handled as (select l.batch_fk, bool_and(l.request_fk in (select a.request_fk from a where a.batch_fk = l.batch_fk and a.request_fk is not null)) as whole
+      from result_links l group by l.batch_fk)
     select 'answer' as kind, batch_fk, request_fk as key, content as value from ok
     union all select 'reject', batch_fk, cast(line_no as varchar), case when answer_class = 'good' then 'foreign_request' else answer_class end
       from a where line_no not in (select line_no from ok)
     union all select 'completed', batch_fk, request_fk, null from ok
     union all select 'counts', batch_fk, cast(answered as varchar), cast(total - answered as varchar) from counts
-    union all select 'done', batch_fk, null, null from counts where answered = total""",
+    union all select 'done', batch_fk, null, null from counts join handled using (batch_fk) where whole""",
        "result_files", "result_links")
 def fetch_stream(t: Inputs) -> DataFrame:
     out, checkpoint = _dirs(t, "fetch")
@@ -116,3 +119,27 @@ def lease_expiry_stream(t: Inputs) -> DataFrame:
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("stale"))
     return leases.join(judged, "request_id", "left").select(
         "request_id", "claim_token", "claimed_until", "is_free", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("stale", F.lit(0)).alias("stale"))
+
+
+LEASE_CUTS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")  # arrivals of the log, a micro-batch each
+
+
+@query(f"""with seen as (select max(occurred_at) - interval '10' minute as now from lease_log),
+    passed as (select l.* from lease_log l, seen where occurred_at < now),
+    placed as (
+      select *, last_value(case when kind = 'claim' then claim_token end ignore nulls) over (
+        partition by request_id order by occurred_at, event_id rows between unbounded preceding and 1 preceding) as token from passed),
+    claims as (
+      select *, occurred_at + interval '60' second as until, lead(occurred_at) over (partition by request_id order by occurred_at, event_id) as next_at from passed where kind = 'claim')
+    select request_id, 'claimed' as event_type, claim_token, event_id, occurred_at from claims
+    union all select request_id, 'expired', claim_token, event_id, until from claims, seen where until < coalesce(next_at, now)
+    union all select request_id, case when claim_token = token then 'accepted' else 'stale' end, claim_token, event_id, occurred_at from placed where kind = 'update'""",
+       "lease_log")
+def lease_event_stream(t: Inputs) -> DataFrame:
+    out, checkpoint = _dirs(t, "lease-events")
+    source = f"{out}/log"
+    at = F.col("occurred_at")
+    for low, high in zip(("1970-01-01",) + LEASE_CUTS, LEASE_CUTS + ("9999-01-01",), strict=True):
+        t.lease_log.where((at >= F.lit(low).cast("timestamp")) & (at < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(source)
+    jobs.lease_event_stream(read_stream(t.spark, source, files_per_trigger=1), out, checkpoint)
+    return t.spark.read.parquet(f"{out}/lease_events").select("request_id", "event_type", "claim_token", "event_id", at.cast("timestamp_ntz").alias("occurred_at"))

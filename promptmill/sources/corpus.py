@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from promptmill.functions.text import WS, WS_NO_NEWLINE, header_value, once, rewrite_prompt, strip_ws
 from promptmill.operators.joins import join_hot
-from promptmill.session import cut_lineage
+from promptmill.session import cut_lineage, ship_package
+from promptmill.sources.lines import before_splits, fix_places, read_splits
 
 # Fixed value: an item header opens and closes with this line.
 DELIMITER = "-*-*-*-*-*-*-*-*-*-"
@@ -91,15 +92,10 @@ def large_corpus_items(spark: SparkSession, path: str) -> Corpus:
     delimiters before a line are those of earlier splits (one count per split) plus those earlier
     in its own. The lines of an item are then brought together; only an item has to fit into memory.
     """
-    delimiter = strip_ws("line") == DELIMITER
-    lines = spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("source_name"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("line"))
-    fixed = cut_lineage(lines.withColumn("_d", delimiter.cast("int")), "corpus-lines")
+    fixed = fix_places(read_splits(spark, path), _d=(strip_ws("line") == DELIMITER).cast("int")).withColumnRenamed("path", "source_name")
     block = ["source_name", "_block"]
-    counts = fixed.groupBy(*block).agg(F.sum("_d").alias("_n"))
-    earlier = Window.partitionBy("source_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    counts = fixed.groupBy(*block).agg(F.sum("_d").alias("_n")).withColumnRenamed("source_name", "path")
+    before = before_splits(counts, "_n").withColumnRenamed("path", "source_name")
     so_far = Window.partitionBy(*block).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)  # a split is of bounded size
     placed = fixed.withColumn("_seen", F.sum("_d").over(so_far)).join(before, block)
     segment = F.col("_before") + F.col("_seen")  # odd: header, even: body
@@ -163,6 +159,7 @@ def nest_entries(keys: pd.Series, values: pd.Series) -> pd.Series:
 
 def with_item_meta(items: DataFrame, header: str = "header_toml") -> DataFrame:
     """Add ``item_meta``, the header as a JSON object. Only keys and values go to Python, not bodies."""
+    ship_package(items.sparkSession)
     entries = F.transform(F.filter(_lines(F.col(header)), _counts), _entry)
     return items.withColumn("item_meta", nest_entries(
         F.transform(entries, lambda e: e["key"]), F.transform(entries, lambda e: e["value"]["json"])))

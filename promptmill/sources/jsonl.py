@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from promptmill.functions import variants
 from promptmill.functions.text import once
 from promptmill.schemas import MANIFEST_FIELDS, RUN_MANIFEST
+from promptmill.sources.lines import fix_places, numbered, numbered_lines, stream_splits
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,26 +17,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(F.col("value").alias("line")).where(F.col("line") != "")
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """Result files (path, value) to numbered lines: batch_fk (the file's base name), line_no, line.
-
-    A result file holds the answers of one batch, so it is small and is read whole; that keeps its line order.
-    """
+def _by_batch(lines: DataFrame) -> DataFrame:
+    """Numbered lines of result files: batch_fk (the file's base name), line_no, line; empty lines count but are left out."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    lines = files.select(name.alias("batch_fk"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line") != "").select("batch_fk", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "line")
+    return lines.where(F.col("line") != "").select(name.alias("batch_fk"), "line_no", "line")
 
 
 def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
-    return file_lines(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    """Numbered lines of result files of any size; a file is read in splits."""
+    return _by_batch(numbered_lines(spark, folder))
 
 
 def stream_result_files(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Result files as they arrive in a folder. (The text source of streams reads lines, without their numbers.)"""
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return file_lines(reader.load(folder).select("path", F.decode("content", "UTF-8").alias("value")))
+    """Result files as they arrive in a folder, as lines of splits; ``number_result_lines`` numbers them in each micro-batch."""
+    return stream_splits(spark, folder, files_per_trigger)
+
+
+def number_result_lines(lines: DataFrame) -> DataFrame:
+    """A micro-batch of ``stream_result_files`` as numbered lines."""
+    return _by_batch(numbered(fix_places(lines)))
 
 
 def result_lines(df: DataFrame, line: str = "line") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,7 @@ from promptmill.functions.text import as_time, lease_free, stable_uuid
 from promptmill.operators import claims, events, results
 from promptmill.operators.joins import join_hot
 from promptmill.plans.production import submission_lines
+from promptmill.session import ship_package
 from promptmill.sources import jsonl
 from promptmill.sources.tables import conform
 from promptmill.streaming.runs import current, mark, marks, query_id, read_epochs, run, write_epoch
@@ -210,6 +212,7 @@ def poll_stream(reports: DataFrame, batch_requests, requests, out: str, checkpoi
 
 
 ANSWERS = "batch_fk string, request_fk string, metadata string, content string, line_no bigint"
+REJECTS = "batch_fk string, line_no bigint, reason string, request_fk string"
 FETCHED = "batch_fk string, line_no bigint, bytes bigint"
 COMPLETED = "event_id bigint, request_id string, state string, details string, occurred_at timestamp_ntz"
 
@@ -225,11 +228,14 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
     batch, without one) when no answer of it is missing. Lines with a non-null ``error`` column report a failed fetch: a
     ``fetch_failed`` event, and the batch may be fetched again after ``backoff`` seconds (``fetch_leases``).
     """
+    files = "line_no" not in lines.columns
     if "error" not in lines.columns:
         lines = lines.withColumn("error", F.lit(None).cast("string"))
 
     def step(df: DataFrame, epoch: int) -> None:
         spark, now = df.sparkSession, as_time(_now(as_of))
+        if files:
+            df = jsonl.number_result_lines(df.drop("error")).withColumn("error", F.lit(None).cast("string"))
         links = current(spark, batch_requests).select("batch_fk", "request_fk")
         failed = df.where(F.col("error").isNotNull()).groupBy("batch_fk").agg(F.max("error").alias("error"))
         failed = write_epoch(failed, f"{out}/failures", epoch)
@@ -238,8 +244,9 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
         good = fixed.where(F.col("answer_class") == "good").select(
             "batch_fk", F.lower("custom_id").alias("request_fk"), F.lit("null").alias("metadata"), "content", "line_no")
         answers = write_epoch(results.allowed_answers(good, links).select("batch_fk", "request_fk", "metadata", "content", "line_no"), f"{out}/answers", epoch)
-        foreign = good.join(links, ["batch_fk", "request_fk"], "left_anti").select("batch_fk", "line_no", F.lit("foreign_request").alias("reason"))
-        bad = fixed.where(F.col("answer_class") != "good").select("batch_fk", "line_no", F.col("answer_class").alias("reason"))
+        foreign = good.join(links, ["batch_fk", "request_fk"], "left_anti").select("batch_fk", "line_no", F.lit("foreign_request").alias("reason"), "request_fk")
+        bad = fixed.where(F.col("answer_class") != "good").select(
+            "batch_fk", "line_no", F.col("answer_class").alias("reason"), F.lower("custom_id").alias("request_fk"))
         write_epoch(bad.unionByName(foreign), f"{out}/rejects", epoch)
 
         done = answers.select("request_fk", "batch_fk").distinct()
@@ -259,7 +266,13 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
         materialized = counts.select(
             F.xxhash64("batch_fk", F.lit("answers_materialized")).alias("event_id"), "batch_fk", F.lit("answers_materialized").alias("event_type"),
             details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details"), now.alias("occurred_at"))
-        whole = counts.where("missing_count = 0").select("batch_fk")
+        if files:
+            whole = counts.select("batch_fk")
+        else:
+            refused = join_hot(read_epochs(spark, f"{out}/rejects", _struct(spark, REJECTS), before=epoch + 1), batches, ["batch_fk"], "left_semi")
+            handled = so_far.select("batch_fk", "request_fk").unionByName(refused.select("batch_fk", "request_fk")).distinct()
+            open_batches = members.join(handled, ["batch_fk", "request_fk"], "left_anti").select("batch_fk").distinct()
+            whole = counts.select("batch_fk").join(open_batches, "batch_fk", "left_anti")
         if outbox is not None:
             whole = whole.join(current(spark, outbox).select("batch_fk").distinct(), "batch_fk", "left_semi")
         write_epoch(whole, f"{out}/outbox_done", epoch)
@@ -357,5 +370,62 @@ def judge_updates(updates: DataFrame, leases: DataFrame) -> DataFrame:
     return updates.join(current, "request_id", "left").withColumn("accepted", F.coalesce(F.col("claim_token") == F.col("_token"), F.lit(False))).drop("_token")
 
 
+# times as microseconds, so that no session time zone comes in
+_TOLD = "request_id string, event_type string, claim_token string, event_id bigint, us bigint"
+_HELD = "token string, event_id bigint, until bigint, open boolean, waiting array<struct<us:bigint,event_id:bigint,kind:string,token:string>>"
+
+
+def _lease_of(ttl: int):
+    """The state function of ``lease_event_stream``: one lease and one timer per request."""
+    def apply(key, batches, state):
+        token, number, until, held, waiting = state.get if state.exists else (None, None, None, False, [])
+        now = 1000 * state.getCurrentWatermarkMs()
+        waiting = [tuple(r) for r in waiting]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["kind"], pdf["claim_token"], strict=True)
+        waiting.sort(key=lambda r: r[:2])
+        told = []
+
+        def run_out(before):
+            nonlocal held
+            if held and until < before:
+                held = False
+                told.append((key[0], "expired", token, number, until))
+
+        while waiting and waiting[0][0] < now:
+            us, event, kind, mark = waiting.pop(0)
+            run_out(us)
+            if kind == "claim":
+                token, number, until, held = mark, event, us + 1_000_000 * ttl, True
+                told.append((key[0], "claimed", mark, event, us))
+            else:  # by token alone: who was late but not replaced is still the one
+                told.append((key[0], "accepted" if token is not None and mark == token else "stale", mark, event, us))
+        run_out(now)
+        state.update((token, number, until, held, waiting))
+        due = [r[0] for r in waiting[:1]] + [until] * held
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000 + 1))
+        yield pd.DataFrame(told, columns=["request_id", "event_type", "claim_token", "event_id", "us"])
+
+    return apply
+
+
+def lease_event_stream(log: DataFrame, out: str, checkpoint: str, ttl: int = schemas.CLAIM_TTL_SECONDS, delay: str = "10 minutes", every: str | None = None) -> StreamingQuery:
+    """Claims and updates (request_id, kind ``claim`` or ``update``, claim_token, event_id, occurred_at) become lease events in the order of their time.
+
+    A row counts once the watermark (the latest time seen less ``delay``) has passed it, so micro-batches in any order within
+    the delay give the same events; what comes later than that is dropped by the stream and counted in its progress. A claim
+    (``claimed``) replaces the lease there is. A timer per lease, at its end, gives ``expired`` unless a claim came before. An update is ``accepted``
+    while its token is the one last claimed, run out or not, else ``stale``.
+    """
+    ship_package(log.sparkSession)
+    at = F.col("occurred_at").cast("timestamp")
+    timed = log.select("request_id", "kind", "claim_token", "event_id", at.alias("occurred_at"), F.unix_micros(at).alias("us")).withWatermark("occurred_at", delay)
+    told = timed.groupBy("request_id").applyInPandasWithState(_lease_of(ttl), _TOLD, _HELD, "append", "EventTimeTimeout")
+    named = told.withColumn("occurred_at", F.timestamp_micros("us")).drop("us")
+    return run(named, lambda df, epoch: write_epoch(df, f"{out}/lease_events", epoch), checkpoint, "append", every)
+
+
 def _struct(spark: SparkSession, ddl: str):
     return spark.createDataFrame([], ddl).schema

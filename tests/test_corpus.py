@@ -1,6 +1,7 @@
 """Corpora, prompts and productions."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 
 from promptmill.plans import production
 from promptmill.schemas import TABLES
-from promptmill.sources import corpus
+from promptmill.sources import corpus, jsonl
+from promptmill.sources import lines as lines_
 from promptmill.sources.tables import conform
 
 D = corpus.DELIMITER
@@ -124,3 +126,23 @@ def test_a_name_given_twice_fails(spark, tmp_path):
     df = spark.createDataFrame([("p", "a", "x"), ("p", "b", "y")], "production_name string, source_name string, corpus string")
     with pytest.raises(production.RepeatedProduction):
         production.new_productions(df, "tpl", "{{ text }}", "2026-01-01 00:00:00")
+
+
+def test_lines_are_numbered_over_tiny_splits(spark, tmp_path):
+    rng = random.Random(2)
+    want = []
+    for n in range(4):
+        lines = [rng.choice(["", "a", "ü" * rng.randrange(40), "x\r", '{"custom_id":"1"}']) for _ in range(rng.choice([0, 1, 100]) if n else 200)]
+        (tmp_path / f"b{n}.jsonl").write_bytes("\n".join(lines).encode() + b"\n" * (n % 2))
+        want += [(f"b{n}", i, t) for i, t in enumerate(lines, 1) if t]
+    for size in ("301", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = jsonl.read_result_files(spark, str(tmp_path))
+            assert sorted((r.batch_fk, r.line_no, r.line) for r in df.collect()) == sorted(want), size
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    splits = lines_.read_splits(spark, str(tmp_path))
+    plan = splits._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "wholetext" not in plan
+    assert splits.where("path like '%b0.jsonl'").count() in (200, 201)

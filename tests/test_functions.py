@@ -205,3 +205,19 @@ def test_whole_numbers_keep_the_digits_of_their_double(one):
 def test_uuid_takes_no_line_end(one):
     uid = "00000000-0000-4000-8000-000000000001"
     assert one(uid, text.is_uuid) is True and one(uid + "\n", text.is_uuid) is False
+
+
+def test_python_workers_get_the_package(spark, monkeypatch):
+    """Whoever calls a function with Python workers need not ship the package."""
+    from promptmill import session
+    from promptmill.operators import pages
+    from promptmill.sources import corpus
+
+    df = spark.createDataFrame([("a = 1\n", "<p></p>")], "header_toml string, html string")
+    for use in (lambda: hashing.cache_key(F.col("html")), lambda: pages.annotate_refs(df), lambda: corpus.with_item_meta(df)):
+        sent = []
+        monkeypatch.setattr(session, "_shipped", set())
+        monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path))
+        use()
+        assert len(sent) == 1 and sent[0].endswith(".zip")
+        monkeypatch.undo()

@@ -1,6 +1,7 @@
 """Streaming jobs: several micro-batches equal one, restarts add nothing."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,56 @@ def test_poll_needs_the_token_of_the_lease(spark, tmp_path):
     assert [r.request_id for r in spark.read.parquet(f"{out}/request_events").collect()] == ["r1"]
     held = {r.epoch: r.poll_claimed_until for r in spark.read.parquet(f"{out}/poll_leases").collect()}
     assert held[0] is not None and held[1] is None
+
+
+def test_a_batch_with_a_bad_line_leaves_the_outbox(spark, tmp_path):
+    links = spark.createDataFrame([(UID + "1", "b1"), (UID + "2", "b1"), (UID + "3", "b2")], "request_fk string, batch_fk string")
+    lines = answer(spark, "b1", (1, "1", "x"), (2, "2", "   ")).unionByName(answer(spark, "b2", (1, "9", "of nobody")))
+    out = f"{tmp_path}/out"
+    jobs.fetch_stream(feed(spark, tmp_path, "in", lines), lambda _: links, out, f"{tmp_path}/cp", outbox=lambda _: links, as_of="2026-01-01 00:00:00")
+    assert [r.batch_fk for r in spark.read.parquet(f"{out}/outbox_done").collect()] == ["b1"]  # answered and refused by id; b2's request is open
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "b1.jsonl").write_text("bad\n" * 3)
+    jobs.fetch_stream(jsonl.stream_result_files(spark, str(folder)), lambda _: links, f"{out}2", f"{tmp_path}/cp2", outbox=lambda _: links)
+    assert [r.batch_fk for r in spark.read.parquet(f"{out}2/outbox_done").collect()] == ["b1"]  # a file comes whole
+
+
+def lease_rule(rows, now, ttl):
+    """Events of lease rows (request, kind, token, event, second) that the time ``now`` has passed."""
+    out, held = [], {}
+
+    def run_out(key, before):
+        if key in held and held[key][3] and held[key][2] < before:
+            held[key][3] = False
+            out.append((key, "expired", held[key][0], held[key][1], held[key][2]))
+
+    for key, kind, token, event, at in sorted(rows, key=lambda r: (r[4], r[3])):
+        if at >= now:
+            continue
+        run_out(key, at)
+        if kind == "claim":
+            held[key] = [token, event, at + ttl, True]
+            out.append((key, "claimed", token, event, at))
+        else:
+            out.append((key, "accepted" if key in held and held[key][0] == token else "stale", token, event, at))
+    for key in held:
+        run_out(key, now)
+    return sorted(out)
+
+
+def test_lease_timers_over_micro_batches(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(f"r{rng.randrange(6)}", rng.choice(["claim", "update"]), f"t{rng.randrange(2)}", i, rng.randrange(3000)) for i in range(150)]
+    rows.append(("end", "claim", "t", 999, 10_000))
+    late = sorted(rows, key=lambda r: r[4] + rng.randrange(500))  # out of order, within the delay
+    made = lambda part: spark.createDataFrame(part, "request_id string, kind string, claim_token string, event_id bigint, s bigint").select(
+        "request_id", "kind", "claim_token", "event_id", F.timestamp_seconds("s").alias("occurred_at"))
+    parts = [made(late[i: i + 40]) for i in range(0, len(late), 40)]
+    jobs.lease_event_stream(feed(spark, tmp_path, "in", *parts[:2]), f"{tmp_path}/out", f"{tmp_path}/cp", ttl=60, delay="600 seconds")
+    for _ in range(2):  # goes on from its state
+        jobs.lease_event_stream(feed(spark, tmp_path, "in", *parts[2:]), f"{tmp_path}/out", f"{tmp_path}/cp", ttl=60, delay="600 seconds")
+        parts = []
+    got = [(r.request_id, r.event_type, r.claim_token, r.event_id, r.s) for r in spark.read.parquet(f"{tmp_path}/out/lease_events").withColumn("s", F.unix_seconds("occurred_at")).collect()]
+    assert sorted(got) == lease_rule(rows, 10_000 - 600, 60)
+    assert {r[1] for r in got} == {"claimed", "expired", "accepted", "stale"}
