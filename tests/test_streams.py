@@ -230,7 +230,10 @@ def submit_twice(spark, out, fresh, monkeypatch, kill):
 
 
 def test_a_crash_after_any_write_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():  # tiny jobs, many of them
+        spark.conf.set(k, v)
     fresh = requests_at(spark, *[(f"r{i:02d}", "entered", "2026-01-04" if i == 12 else None, "2026-01-01") for i in range(13)]).cache()
     want, writes = submit_twice(spark, f"{tmp_path}/whole", fresh, monkeypatch, None)
     linked = spark.read.parquet(f"{tmp_path}/whole/batch_requests")
@@ -240,7 +243,8 @@ def test_a_crash_after_any_write_loses_and_repeats_nothing(spark, tmp_path, monk
     for kill in range(len(writes)):
         got, _ = submit_twice(spark, f"{tmp_path}/{kill}", fresh, monkeypatch, kill)
         assert got == want, writes[kill]
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def test_a_stream_killed_in_its_retry_goes_on(spark, tmp_path, monkeypatch):
