@@ -10,6 +10,7 @@ phrase must stand there word by word, and enough of the template around it.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -73,7 +74,8 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[
     greatest share of a verified template that is there, at least 0.5 where a phrase is, else 0.
     """
     vocabulary = sorted({w for p in phrases for w in _words(p)} | {w for t in templates for w in _words(t.text)})
-    plain = F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), SEPARATORS)
+    lowered = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    plain = F.split(lowered, SEPARATORS)
     source = docs.select(F.col(id).alias("id"), plain.alias("w"))
     lead = (F.element_at("w", 1) == "").cast("int")
     tail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
@@ -94,15 +96,16 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[
 
     rare_words = sorted({p[0] for p in postings})
     looked = kept.where(F.arrays_overlap(F.col("hits.w"), _strings(rare_words))).select(
-        "row", F.explode(F.filter("hits", lambda h: h["w"].isin(rare_words))).alias("h")).select("row", F.col("h.w").alias("w"), F.col("h.p").alias("p"))
+        "row", F.explode(F.filter(F.transform("hits", lambda h, i: F.struct(h["w"], h["p"], i.alias("i"))), lambda h: h["w"].isin(rare_words))).alias("h")).select(
+        "row", F.col("h.w").alias("w"), F.col("h.p").alias("p"), F.col("h.i").alias("i"))
     # the index has a few rows per template of a fixed library
     aligned = looked.join(F.broadcast(index), "w").groupBy("row", "template", (F.col("p") - F.col("place")).alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted")).where("n = wanted")
-    tried = aligned.groupBy("row").agg(F.collect_set(F.struct("template", "at")).alias("tried"))
+        F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"), F.min("i").alias("i")).where("n = wanted")
+    tried = aligned.groupBy("row").agg(F.collect_set(F.struct("template", "at", "i")).alias("tried"))
 
     judged = kept.join(tried, "row", "left")
     cases = [_verify(t, template, coverage) for t, template in enumerate(templates)]
-    found = F.filter(F.transform(F.coalesce("tried", F.array().cast("array<struct<template:int,at:int>>")), lambda c: F.coalesce(*[case(c) for case in cases])), lambda x: x.isNotNull())
+    found = F.filter(F.transform(F.coalesce("tried", F.array().cast("array<struct<template:int,at:int,i:int>>")), lambda c: F.coalesce(*[case(c) for case in cases])), lambda x: x.isNotNull())
     base = F.flatten(F.array(*[_labelled(_starts(_words(p)), label) for p, label in phrases.items()]))
     out = judged.select("id", "n_words", base.alias("base"), found.alias("found"))
     has = F.size("base") > 0
@@ -119,15 +122,15 @@ def _labelled(starts: Column, label: str) -> Column:
 
 
 def _starts(words: list[str]) -> Column:
-    """Hits at which the words stand one behind the other."""
-    first = F.filter("hits", lambda h: h["w"] == words[0])
-    for k, w in enumerate(words[1:], 1):
-        first = F.filter(first, _followed(k, w))
-    return first
+    """Hits at which the words stand one behind the other; such words are neighbours among the hits, too."""
+    def begins(h: Column, i: Column) -> Column:
+        fits = h["w"] == words[0]
+        for k, w in enumerate(words[1:], 1):
+            other = F.get(F.col("hits"), i + k)
+            fits = fits & (other["w"] == w) & (other["p"] == h["p"] + k)
+        return F.coalesce(fits, F.lit(False))
 
-
-def _followed(k: int, w: str):
-    return lambda h: F.array_contains(F.col("hits"), F.struct(F.lit(w).alias("w"), (h["p"] + k).alias("p")))
+    return F.filter("hits", begins)
 
 
 def _verify(number: int, template: Template, coverage: float):
@@ -140,8 +143,10 @@ def _verify(number: int, template: Template, coverage: float):
     mandatory = sorted({_place(words, _words(p)) + i for p in template.key_phrases for i in range(len(_words(p)))})
 
     def case(c: Column) -> Column:
-        share = F.size(F.array_intersect(at(c, range(len(words))), F.col("hits"))) / len(words)
-        there = F.size(F.array_except(at(c, mandatory), F.col("hits"))) == 0
+        # all hits within the template's length of the aligned one, however long the text is
+        near = F.slice("hits", F.greatest(c["i"] + 1 - len(words), F.lit(1)), F.lit(2 * len(words)))
+        share = F.size(F.array_intersect(at(c, range(len(words))), near)) / len(words)
+        there = F.size(F.array_except(at(c, mandatory), near)) == 0
         return F.when((c["template"] == number) & there & (share >= coverage), F.struct(F.lit(template.label).alias("label"), share.alias("share")))
 
     return case

@@ -264,6 +264,9 @@ def test_licences(spark, docs_of):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (7, 3, 0, 5, "apache,mit")
     assert got[7].labels == "mit" and got[7].score == 1.0 and got[9].labels == "cc-by-nc" and got[9].base_labels == ""
     assert license_scan.scan(docs_of([])).count() == 0
+    # other scripts' letters that lower-case to A-Z are no words of a licence; a long text takes time in proportion
+    odd = {r.doc_id: r for r in license_scan.scan(docs_of([(1, "this wor\u212a is licensed under the gnu general public license version 3"), (2, "MIT License " * 50_000)])).collect()}
+    assert odd[1].score == 11 / 12 and (odd[2].n_words, odd[2].n_base, odd[2].last_word) == (100_000, 50_000, 99_998)
 
 
 # ---- registered queries and the pipeline -------------------------------------------------------
