@@ -26,9 +26,11 @@ from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
 from promptmill.llm.tasks import CACHES, arrow_map, ddl
 
-MAX_STATES = 120_000
+MAX_STATES = 60_000
 MAX_PAIRS = 300_000
 MAX_PIECES = 400_000
+SLICE_CHARS = 500_000
+ROWS = 500  # texts that are Python strings at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,14 +57,14 @@ class Transducer:
                     self.token.append(-1)
                 node = self.child[node][c]
             self.token[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both tokens in one number
         self.split: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte in one number
         self.start = self._state(((0, -1, ()),))
 
     def _state(self, points: tuple) -> int:
@@ -70,7 +72,6 @@ class Transducer:
         if n is None:
             n = self.number[points] = len(self.states)
             self.states.append(points)
-            self.moves.append({})
         return n
 
     def merged(self, text: bytes, until: int = 1) -> list[bytes]:
@@ -97,7 +98,7 @@ class Transducer:
         The merges inside the two tokens are undone, the latest first; the parts that then meet
         must not have a merge of their own that would have come before the undone one.
         """
-        key = last, token
+        key = last << 32 | token
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > self.max_pairs:
@@ -131,7 +132,7 @@ class Transducer:
                 continue
             token = tokens[node]
             if ended is None and token >= 0:
-                known = pairs.get((last, token))
+                known = pairs.get(last << 32 | token)
                 if known or (known is None and self._fits(last, token)):
                     ended = (0, token, (*path, token))
             if child[node]:
@@ -161,9 +162,9 @@ class Transducer:
             self._reset()
         state, out, moves = self.start, [], self.moves
         for byte in piece:
-            step = moves[state].get(byte)
+            step = moves.get(state << 8 | byte)
             if step is None:
-                step = moves[state][byte] = self._move(state, byte)
+                step = moves[state << 8 | byte] = self._move(state, byte)
             state, ready = step
             if ready:
                 out.extend(ready)
@@ -206,6 +207,10 @@ def machine(path: str, content: bytes, room: float = 1.0) -> tuple[Transducer, d
     return _kept[path]
 
 
+def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, len(batch), ROWS))
+
+
 def encoded(texts: list[str], transducer: Transducer, known: dict, room: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts, end to end, and the first of each; every match of the public pattern is encoded by itself."""
     return encode_slice(texts, known, lambda pieces: [array("I", transducer.encode(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces], int(MAX_PIECES * room))
@@ -218,8 +223,8 @@ def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> D
 
     def run(batches):
         transducer, known = machine(path, content.value)
-        for batch in batches:
-            for at, part in text_slices(batch.column("_text").to_pylist()):
+        for batch in few_rows(batches):
+            for at, part in text_slices(batch.column("_text").to_pylist(), SLICE_CHARS):
                 ids, first = encoded(part, transducer, known)
                 lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in keys), lists], [*keys, "ids"])
@@ -256,8 +261,8 @@ def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text",
 
     def run(batches):
         transducer, known = machine(path, content.value, room)
-        for batch in batches:
-            for at, part in text_slices(batch.column("_text").to_pylist()):
+        for batch in few_rows(batches):
+            for at, part in text_slices(batch.column("_text").to_pylist(), SLICE_CHARS):
                 ids, first = encoded(part, transducer, known, room)
                 raw, cut = ids.astype("<u4").tobytes(), first.tolist()
                 listed, back, code = ids.tolist(), [], []
