@@ -276,9 +276,50 @@ def test_decontamination_finds_all_that_meets_its_rule(spark, docs_of):
                     want.add((d, i))
     bench = spark.createDataFrame([(i, " ".join(own), answers[i] or "") for i, own in enumerate(items)], "item_id int, text string, answer string")
     docs = docs_of(rows)
-    got = decontaminate.find(docs, bench, ["doc_id"], answer="answer").select("doc_id", "item_id").collect()
+    got = decontaminate.find(docs, bench, ["doc_id"], answer="answer", exact=True).select("doc_id", "item_id").collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
-    assert {r.doc_id for r in decontaminate.without(docs, bench, answer="answer").select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate.without(docs, bench, answer="answer", exact=True).select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    near = [tuple(r) for r in decontaminate.find(docs, bench, ["doc_id"], answer="answer").select("doc_id", "item_id").collect()]
+    assert len(near) == len(set(near)) and set(near) <= want and len(near) >= 0.9 * len(want)
+
+
+def test_the_latent_space_brings_copies_and_paraphrases_near(spark, docs_of, monkeypatch):
+    """More items than dimensions, several spaces: 70 % of the words, or half of them and the answer, the rarest lost first."""
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in ("", "ra", "lo", "mi", "tes", "qua")]
+
+    def some(n):
+        return [vocabulary[min(int(rng.paretovariate(0.6)) - 1, 10**6) % len(vocabulary)] for _ in range(n)]
+
+    items = [some(rng.randint(15, 50)) for _ in range(150)] + [some(n) for n in range(4, 15)]
+    answers = ["" if i % 2 else " ".join(own[-3:]) for i, own in enumerate(items)]
+    rows = [(i, " ".join(some(rng.randint(1, 300)))) for i in range(100)]
+    for i, own in enumerate(items):
+        for share in (1.0, 0.7, 0.5):
+            copy, lost = list(own), list(range(len(own) - 3))
+            lost.sort(key=lambda j: -vocabulary.index(own[j]))
+            for j in lost[: int(len(own) * (1 - share))]:
+                copy[j] = some(1)[0]
+            around = some(80)
+            at = rng.randrange(80)
+            rows.append((len(rows), " ".join(around[:at] + copy + around[at:])))
+    monkeypatch.setattr(decontaminate, "ITEMS", 128)
+    bench = spark.createDataFrame([(i, " ".join(own), answers[i]) for i, own in enumerate(items)], "item_id int, text string, answer string")
+    docs = docs_of(rows)
+    whole, near = ({tuple(r) for r in decontaminate.find(docs, bench, ["doc_id"], answer="answer", exact=e).select("doc_id", "item_id").collect()} for e in (True, False))
+    assert {(100 + 3 * i, i) for i in range(len(items))} <= whole  # the copies
+    assert near <= whole and len(near) >= 0.9 * len(whole)
+    monkeypatch.setattr(decontaminate, "latent_space", lambda docs, bench: np.zeros((len(bench.entry_block), decontaminate.RANK)))
+    assert not decontaminate.find(docs, bench, ["doc_id"], answer="answer").count()  # nothing comes another way
+
+
+def test_a_space_is_fitted_to_a_bounded_sample_and_searched_for_everywhere(spark, docs_of, monkeypatch):
+    rng = random.Random(22)
+    items = [(i, prose(rng, 40)) for i in range(20)]
+    rows = [(i, prose(rng, 60) + " " + items[i % 20][1] + " " + prose(rng, 60)) for i in range(200)]
+    monkeypatch.setattr(decontaminate, "SAMPLE", 300)  # of 1600 blocks
+    got = {tuple(r) for r in decontaminate.find(docs_of(rows), spark.createDataFrame(items, "item_id int, text string"), ["doc_id"]).select("doc_id", "item_id").collect()}
+    assert {(i, i % 20) for i in range(200)} <= got
 
 
 def test_common_words_is_the_longest_common_subsequence():
