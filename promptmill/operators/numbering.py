@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from promptmill.session import cut_lineage
+from promptmill.session import cut_lineage, hashable
 
 
 HOT_ROWS = 100_000  # a larger group is numbered in several tasks
@@ -25,7 +24,7 @@ def number_rows(
     with a place for every row, and numbered inside their partition plus the number of rows of the same group in earlier
     ones. Both ways give the same numbers. ``size`` names a column for the number of rows of the group.
     """
-    others = [c for c in df.columns if c not in (*partition_by, *order_by) and _hashable(df.schema[c].dataType)]
+    others = [c for c in df.columns if c not in (*partition_by, *order_by) and hashable(df.schema[c].dataType)]
     tie = F.xxhash64(*others) if others else F.lit(0)
     if not partition_by or hot_rows <= 0:
         return _numbered_in_ranges(df, order_by, partition_by, tie, name, size)
@@ -61,14 +60,6 @@ def _numbered_in_ranges(df: DataFrame, order_by: Sequence[str], partition_by: Se
     return join_null_safe(fixed, starts, spans).select(*df.columns, (F.col("_seq") + F.col("_shift")).alias(name), *extra)
 
 
-def _hashable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return _hashable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(_hashable(f.dataType) for f in kind.fields)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` in which NULL equals NULL; ``how`` is inner, left_semi or left_anti."""
     own = right.select(*[F.col(k).alias(f"_{i}_{k}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])

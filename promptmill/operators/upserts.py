@@ -50,5 +50,7 @@ def delete_where(target: DataFrame, keys_to_delete: DataFrame, keys: Sequence[st
     return target.join(keys_to_delete.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def set_if_null(target: DataFrame, changes: DataFrame, key: str, column: str, new: str, guard: Column) -> DataFrame:
-    return update_where(target, changes.select(key, new).dropDuplicates([key]), [key], guard, {column: F.coalesce(F.col(column), F.col(new))})
+def set_if_null(target: DataFrame, changes: DataFrame, key: str, column: str, new: str, guard: Column, order: Sequence[str] = ()) -> DataFrame:
+    """Fill ``column`` where it is null. Of several new values of one key the first in ``order`` counts, then the smallest; nulls never do."""
+    first = changes.where(F.col(new).isNotNull()).groupBy(key).agg(F.min_by(new, F.struct(*order, new)).alias(new))
+    return update_where(target, first, [key], guard, {column: F.coalesce(F.col(column), F.col(new))})

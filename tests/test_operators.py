@@ -135,6 +135,32 @@ def test_prefix_listing(spark):
     assert got == sorted((p, k) for p in ("a/", "a/b/", "", "zz") for k in ("a/b/1", "a/b/2", "a/c", "z") if k.startswith(p))
 
 
+def test_prefix_listing_sweeps_each_object_once(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("ab/\u00e9\U0001f600") for _ in range(rng.randint(0, 7))) for _ in range(600)] + ["a/b"] * 300 + [None]
+    cuts = [k[: rng.randint(0, len(k))] for k in keys[:150] if k] + ["", "a", "a", None, "b" * 60]
+    obj = spark.createDataFrame([(k, i, {"n": i}, "own") for i, k in enumerate(keys)], "key string, id int, tags map<string,int>, prefix string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for wanted in (cuts, ["a/"], [None], ["zz"]):
+            got = objects.list_by_prefix(obj, spark.createDataFrame([(p,) for p in wanted], "prefix string"))
+            assert got.columns == ["prefix", "key", "id", "tags"]
+            assert sorted((r.prefix, r.id) for r in got.collect()) == sorted(
+                (p, i) for p in {*wanted} - {None} for i, k in enumerate(keys) if k is not None and k.startswith(p))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert objects.list_by_prefix(obj.where("false"), spark.createDataFrame([("a",)], "prefix string")).count() == 0
+    assert objects.list_by_prefix(obj, spark.createDataFrame([], "prefix string")).count() == 0
+
+
+def test_set_if_null_takes_the_first_of_several(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "old"), ("c", None)], "k string, v string")
+    new = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("a", None, 0), ("b", "x", 1), ("c", None, 1)], "k string, w string, at int")
+    fill = lambda order: {r.k: r.v for r in upserts.set_if_null(rows, new, "k", "v", "w", F.lit(True), order).collect()}
+    assert fill(["at"]) == {"a": "z", "b": "old", "c": None}
+    assert fill([]) == {"a": "y", "b": "old", "c": None}
+
+
 def test_files(spark, tmp_path):
     for name in ("q1.json", "batch_summary_1.json", "page.html"):
         (tmp_path / name).write_text("{}")
