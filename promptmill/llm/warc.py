@@ -70,7 +70,8 @@ def write(pages: DataFrame, out: str, **columns: str) -> None:
 
     The records per file follow from the average size, and from the greatest one, so that no file can pass ``FILE_LIMIT``.
     """
-    size = F.octet_length(F.col(columns.get("html", "html")).cast("string")).cast("bigint") + F.octet_length(F.col(columns.get("url", "url")).cast("string")) * 3 + 700
+    html, url = (F.coalesce(F.octet_length(F.col(columns.get(c, c)).cast("string")), F.lit(0)).cast("bigint") for c in ("html", "url"))
+    size = html + url * 3 + 700
     average, greatest = pages.agg(F.avg(size), F.max(size)).first()
     several = int(max(1, min(FILE_BYTES // (average or 1), FILE_LIMIT // (greatest or 1))))
     records(pages, **columns).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", several).text(out)

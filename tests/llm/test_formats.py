@@ -54,6 +54,16 @@ def test_url_filter(spark, rows, monkeypatch):
 
 # ---- archives -------------------------------------------------------------------------
 
+def test_files_of_pages_without_urls_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "FILE_LIMIT", 40_000)
+    rows = [(i, None, "y" * (9_000 if i % 5 else 0) or None) for i in range(40)]
+    warc.write(spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(1), f"{tmp_path}/w")
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 40_000
+    assert {r.record_id for r in warc.read(spark, f"{tmp_path}/w").collect()} == {f"<urn:x-page:{i}>" for i in range(40)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é<p>" + "x" * 1200
     rows = [(1, "http://a/\r\n b", long), (2, None, long), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", long),
