@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from promptmill.llm.language_id import text_slices
 from promptmill.llm.pretokens import encode_slice
-from promptmill.llm.tasks import CACHES, arrow_map, ddl
+from promptmill.llm.tasks import CACHES, arrow_map, bound_batches, ddl
 
 MAX_STATES = 120_000
 MAX_PAIRS = 300_000
@@ -219,6 +219,7 @@ def encoded(texts: list[str], transducer: Transducer, known: dict, room: float =
 def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``ids array<int>`` of every row; a null text has no ids."""
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # a vocabulary, some MB
+    bound_batches(docs.sparkSession)
     chosen = docs.select(*keys, F.col(text).cast("string").alias("_text"))
 
     def run(batches):
@@ -257,6 +258,7 @@ def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text",
     that a worker keeps (results do not depend on it): less memory, more work.
     """
     content = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
+    bound_batches(docs.sparkSession)
     chosen = docs.select(*keys, F.col(text).cast("string").alias("_text"))
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from promptmill.session import ship_package
 
@@ -15,6 +15,19 @@ CACHES: list = []
 _owner: list[str] = []
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let Arrow batches of this session hold about ``most`` bytes, for rows of whole texts.
+
+    Batches of Spark's 10,000 rows are tens of MB of text, held by the JVM and the worker of every task at once.
+    A session that has set a bound of its own keeps it. Results never depend on it.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` for functions that use this package's modules."""
     ship_package(df.sparkSession)
