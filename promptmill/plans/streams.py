@@ -93,7 +93,7 @@ def fetch_stream(t: Inputs) -> DataFrame:
 def outbox_dedupe_stream(t: Inputs) -> DataFrame:
     out, checkpoint = _dirs(t, "outbox")
     jobs.outbox_dedupe_stream(t.stream("ready_batches", "events"), out, checkpoint)
-    return t.spark.read.parquet(out).select("batch_fk")
+    return jobs.outbox_table(t.spark, out).read().select("batch_fk")
 
 
 @query("""with ranked as (select request_id, state, row_number() over (partition by request_id order by occurred_at desc, event_id desc) as newest,

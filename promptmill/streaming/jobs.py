@@ -16,6 +16,7 @@ from promptmill.plans.production import submission_lines
 from promptmill.session import ship_package
 from promptmill.sources import jsonl
 from promptmill.sources.tables import conform
+from promptmill.sources.versions import VersionedTable
 from promptmill.streaming.runs import current, mark, marks, query_id, read_epochs, run, write_epoch
 
 LINKS = "request_fk string, batch_fk string, created_at timestamp_ntz"
@@ -318,12 +319,25 @@ def current_rejects(spark: SparkSession, out: str) -> DataFrame:
 READY = "batch_fk string, occurred_at timestamp_ntz"
 
 
+def outbox_table(spark: SparkSession, out: str) -> VersionedTable:
+    """The outbox that ``outbox_dedupe_stream`` keeps below ``out``: ``outbox_table(spark, out).read()``."""
+    return VersionedTable(spark, out, _struct(spark, READY))
+
+
 def outbox_dedupe_stream(ready: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """One outbox row per batch, although a fast and a durable path may both deliver it, however late."""
+    """One outbox row per batch, although a fast and a durable path may both deliver it, however late.
+
+    The outbox is a versioned table: a micro-batch is one commit, a repeated one changes nothing, and small folders are
+    brought together as it grows, so a step reads few files however many came before.
+    """
     def step(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        table, stream = outbox_table(spark, out), query_id(spark, checkpoint)
         first = df.groupBy("batch_fk").agg(F.min(F.col("occurred_at").cast("timestamp_ntz")).alias("occurred_at"))
-        before = read_epochs(df.sparkSession, out, _struct(df.sparkSession, READY), before=epoch).select("batch_fk")
-        write_epoch(first.join(before.join(first.select("batch_fk"), "batch_fk", "left_semi"), "batch_fk", "left_anti"), out, epoch)
+        before = table.read().select("batch_fk")
+        table.append(first.join(before.join(first.select("batch_fk"), "batch_fk", "left_semi"), "batch_fk", "left_anti"), stream, epoch)
+        if table.compact() is not None:
+            table.vacuum()
 
     return run(ready, step, checkpoint, every=every)
 

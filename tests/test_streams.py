@@ -95,7 +95,7 @@ def test_outbox_once(spark, tables, tmp_path):
     t, stream = tables
     for _ in range(2):
         jobs.outbox_dedupe_stream(stream("ready_batches").union(stream("ready_batches")), f"{tmp_path}/o", f"{tmp_path}/cp")
-    assert rows(spark.read.parquet(f"{tmp_path}/o").select("batch_fk")) == rows(t.ready_batches.select("batch_fk").distinct())
+    assert rows(jobs.outbox_table(spark, f"{tmp_path}/o").read().select("batch_fk")) == rows(t.ready_batches.select("batch_fk").distinct())
 
 
 def test_missing_table_reads_empty(spark, tmp_path):
@@ -327,7 +327,7 @@ def test_outbox_takes_late_rows_and_repeats_none(spark, tmp_path):
     stream = feed(spark, tmp_path, "in", made(("x", "2026-01-01")), made(("y", "2027-01-01")), made(("late", "2020-01-01"), ("x", "2027-06-01")))
     for _ in range(2):
         jobs.outbox_dedupe_stream(stream, f"{tmp_path}/o", f"{tmp_path}/cp")
-    assert sorted(r.batch_fk for r in spark.read.parquet(f"{tmp_path}/o").collect()) == ["late", "x", "y"]
+    assert sorted(r.batch_fk for r in jobs.outbox_table(spark, f"{tmp_path}/o").read().collect()) == ["late", "x", "y"]
 
 
 def test_poll_needs_the_token_of_the_lease(spark, tmp_path):
