@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from promptmill.functions.text import as_time
 from promptmill.operators import claims, results
+from promptmill.plans import lifecycle  # noqa: F401  (its SQL is used below)
 from promptmill.plans.inputs import AS_OF, Inputs
 from promptmill.plans.registry import ORACLES, query
 from promptmill.session import shared_dir
 from promptmill.sources.versions import EMPTY, VersionedTable
 
-BUCKETS = 16
-
 
 def _table(t: Inputs, rows: DataFrame, label: str, keys: list[str]) -> VersionedTable:
-    table = VersionedTable(t.spark, shared_dir(t.spark, label), rows.schema, keys, BUCKETS)
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # with fewer, Spark would rather shuffle the target, too
+    table = VersionedTable(t.spark, shared_dir(t.spark, label), rows.schema, keys, buckets)
     table.replace(rows, EMPTY)
     return table
 
