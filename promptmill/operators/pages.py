@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from promptmill.functions import refs
 from promptmill.functions.text import once
-from promptmill.session import ship_package
+from promptmill.session import bound_batches, ship_package
 
 # Elements without content, and elements holding raw text.
 VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -112,6 +112,7 @@ def classed_html(html: str) -> str:
 
 def _map_pages(df: DataFrame, column: str, *steps) -> DataFrame:
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)  # whole pages: a batch by its bytes, not by its rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

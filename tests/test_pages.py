@@ -3,6 +3,7 @@
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +93,15 @@ def test_page_pass(spark):
     assert got == {1: f'<head>{refs.HEAD_ASSETS}</head><p class="my-3 text-justify">{SPAN}</p>', 2: None}
 
 
+def test_pages_reach_python_in_batches_of_bounded_bytes(spark):
+    session = spark.newSession()
+    df = session.range(40, numPartitions=1).select(F.repeat(F.lit("<p>TAX-01</p>"), 40_000).alias("html"))
+    annotated = pages.annotated_pages(df)
+    rows = df.mapInArrow(lambda batches: (pa.record_batch({"n": [len(b)]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in rows) == 40 and max(r.n for r in rows) < 20
+    assert annotated.where(F.col("html").endswith(f"{SPAN}</p>")).count() == 40
+
+
 def test_character_and_math_audits(spark):
     df = spark.createDataFrame([(1, "H₂O ₂ ✓ $^a$ $x$ $\\d{2}$"), (2, "none")], "k int, text string")
     assert {(r.k, r.code_point, r.n) for r in pages.uncovered_characters(df, "k").collect()} == {(1, "U+2082", 2), (1, "U+2713", 1)}
