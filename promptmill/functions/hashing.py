@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptmill.schemas import CACHE_KEY_PREFIX
-from promptmill.session import ship_package
+from promptmill.session import bound_batches, ship_package
 
 # Fixed values of the FNV-1a 64-bit hash.
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
 _MASK = (1 << 64) - 1
+BATCH_BYTES = "16m"  # of an Arrow batch: wide enough to hash many texts at once
 _NARROW = 24  # below this many live rows a plain integer loop beats numpy calls
 
 
@@ -56,7 +57,9 @@ def _fnv1a64_hex(texts: pd.Series) -> pd.Series:
 
 def fnv1a64_hex(text: Column | str) -> Column:
     """16 hex digits of the hash of the UTF-8 bytes; NULL stays NULL."""
-    ship_package(SparkSession.builder.getOrCreate())
+    spark = SparkSession.builder.getOrCreate()
+    ship_package(spark)
+    bound_batches(spark, BATCH_BYTES)  # whole texts, or those of a batch of requests: a batch of rows by its bytes
     return _fnv1a64_hex(text)
 
 

@@ -13,7 +13,7 @@ from promptmill import schemas
 from promptmill.functions import details, hashing, requests, template
 from promptmill.functions.text import as_time, stable_uuid
 from promptmill.operators import numbering, upserts
-from promptmill.session import cut_lineage
+from promptmill.session import bound_batches, cut_lineage
 from promptmill.sources import corpus, objects
 
 
@@ -110,6 +110,7 @@ def submission_lines(
     A batch's lines, texts and cache key are produced from one grouped row of at most ``size``
     texts, so the texts are shuffled once after the numbering and no join follows.
     """
+    bound_batches(rows.sparkSession, hashing.BATCH_BYTES)  # a micro-batch has a session of its own
     grouped = numbering.fixed_groups(rows, size, order_by)
     members = F.array_sort(F.collect_list(F.struct("pos", "request_id", "request_text")))
     batches = grouped.groupBy("batch_no").agg(members.alias("_m"))

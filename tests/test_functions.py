@@ -2,10 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from promptmill.functions import details, hashing, refs, requests, template, text, variants
+from promptmill.plans import production
 
 
 def fnv(data: bytes) -> str:
@@ -70,6 +72,17 @@ def test_fnv(spark, one):
     assert one("a", lambda c: hashing.cache_key(c, F.lit("mine"))) == "mine"
 
 
+def test_requests_are_hashed_in_batches_of_bounded_bytes(spark):
+    session = spark.newSession()
+    rows = session.range(60, numPartitions=1).select(F.col("id").cast("string").alias("request_id"), F.repeat(F.lit("a"), 1_000_000).alias("request_text"), "id")
+    lines = production.submission_lines(rows, ["id"], "s", "m")
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [len(b)]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) == 60 and max(r.n for r in sizes) < 30
+    want = "doc-fnv1a64-" + fnv(("\n" + "\n".join(["a" * 1_000_000] * 2)).encode())
+    short = production.submission_lines(rows.where("id < 2"), ["id"], "s", "m")
+    assert [r.cache_key for r in short.collect()] == [want] * 2 and lines.count() == 60
+
+
 RESULT_LINES = [
     ('{"response":{"body":{"output_text":"t","output":[{"type":"message","content":[{"text":"u"}]}]}}}', "t\n\nu"),
     ('{"response":{"body":{"output_text":["a",3,null," b "]}}}', "a\n\nb"),
