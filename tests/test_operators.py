@@ -214,3 +214,14 @@ def test_small_groups_are_numbered_in_one_exchange(skewed):
     numbered = numbering.number_rows(skewed[1], ["o", "id"], ["g"])
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Join" not in plan
+
+
+def test_uniqueness_is_counted_in_tasks_of_bounded_keys(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("a"), F.floor(F.col("id") / 2).alias("b"))
+    tables = {"t": rows, "none": rows.limit(0)}
+    got = audit.uniqueness_audit(tables, {"t": [("a",), ("b",), ("a", "b")], "none": [("a",)]}, task_rows=100).collect()
+    assert {(r.table_name, r.key_columns): (r.n_rows, r.n_keys, r.n_repeated) for r in got} == {
+        ("t", "a"): (3000, 1002, 2), ("t", "b"): (3000, 1500, 1500), ("t", "a,b"): (3000, 3000, 0), ("none", "a"): (0, 0, 0)}
+    dealt = audit._per_key(rows.select("b"), 100).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("keys")).collect()
+    assert len(dealt) >= 20 and max(r["keys"] for r in dealt) <= 150
