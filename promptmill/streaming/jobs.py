@@ -17,7 +17,7 @@ from promptmill.session import ship_package
 from promptmill.sources import jsonl
 from promptmill.sources.tables import conform
 from promptmill.sources.versions import VersionedTable
-from promptmill.streaming.runs import current, mark, marks, query_id, read_epochs, run, write_epoch
+from promptmill.streaming.runs import current, mark, marks, query_id, read_epochs, run, together, write_epoch
 
 LINKS = "request_fk string, batch_fk string, created_at timestamp_ntz"
 SENT = "batch_uid string, provider_batch_id string, error_code string, error_message string"
@@ -239,16 +239,19 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
             df = jsonl.number_result_lines(df.drop("error")).withColumn("error", F.lit(None).cast("string"))
         links = current(spark, batch_requests).select("batch_fk", "request_fk")
         failed = df.where(F.col("error").isNotNull()).groupBy("batch_fk").agg(F.max("error").alias("error"))
-        failed = write_epoch(failed, f"{out}/failures", epoch)
+        put = lambda rows, name: lambda: write_epoch(rows, f"{out}/{name}", epoch)
         extracted = jsonl.with_main_text(df.where(F.col("error").isNull()).drop("error")).withColumn("answer_class", results.answer_class())
-        fixed = write_epoch(extracted.select("batch_fk", "line_no", "line", "custom_id", "content", "answer_class"), f"{out}/lines", epoch)
+        failed, fixed = together(spark, put(failed, "failures"), put(extracted.select("batch_fk", "line_no", "line", "custom_id", "content", "answer_class"), "lines"))
         good = fixed.where(F.col("answer_class") == "good").select(
             "batch_fk", F.lower("custom_id").alias("request_fk"), F.lit("null").alias("metadata"), "content", "line_no")
-        answers = write_epoch(results.allowed_answers(good, links).select("batch_fk", "request_fk", "metadata", "content", "line_no"), f"{out}/answers", epoch)
+        answers = results.allowed_answers(good, links).select("batch_fk", "request_fk", "metadata", "content", "line_no")
         foreign = good.join(links, ["batch_fk", "request_fk"], "left_anti").select("batch_fk", "line_no", F.lit("foreign_request").alias("reason"), "request_fk")
         bad = fixed.where(F.col("answer_class") != "good").select(
             "batch_fk", "line_no", F.col("answer_class").alias("reason"), F.lower("custom_id").alias("request_fk"))
-        write_epoch(bad.unionByName(foreign), f"{out}/rejects", epoch)
+        size = (F.octet_length(F.encode("line", "UTF-8")) + 1).cast("bigint")
+        answers, batches, _, _ = together(
+            spark, put(answers, "answers"), put(fixed.select("batch_fk").distinct(), "touched"), put(bad.unionByName(foreign), "rejects"),
+            put(fixed.groupBy("batch_fk", "line_no").agg(F.max(size).alias("bytes")), "fetched"))
 
         done = answers.select("request_fk", "batch_fk").distinct()
         if requests is not None:
@@ -256,14 +259,19 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
         fresh = done.groupBy("request_fk").agg(F.min("batch_fk").alias("batch_fk"))
         before = read_epochs(spark, f"{out}/request_events", _struct(spark, COMPLETED), before=epoch).select(F.col("request_id").alias("request_fk"))
         fresh = fresh.join(before.join(fresh.select("request_fk"), "request_fk", "left_semi").distinct(), "request_fk", "left_anti")
-        write_epoch(fresh.select(
+        completed = fresh.select(
             F.xxhash64("request_fk", F.lit("completed")).alias("event_id"), F.col("request_fk").alias("request_id"), F.lit("completed").alias("state"),
-            details.answer_materialized(F.col("batch_fk"), F.lit("null")).alias("details"), now.alias("occurred_at")), f"{out}/request_events", epoch)
+            details.answer_materialized(F.col("batch_fk"), F.lit("null")).alias("details"), now.alias("occurred_at"))
 
-        batches = write_epoch(fixed.select("batch_fk").distinct(), f"{out}/touched", epoch)
         so_far = join_hot(read_epochs(spark, f"{out}/answers", _struct(spark, ANSWERS), before=epoch + 1), batches, ["batch_fk"], "left_semi")
         members = join_hot(links, batches, ["batch_fk"], "left_semi")
-        counts = write_epoch(batches.join(results.answers_materialized(so_far, members), "batch_fk", "left").fillna(0), f"{out}/counts", epoch)
+        fetched_so_far = join_hot(read_epochs(spark, f"{out}/fetched", _struct(spark, FETCHED), before=epoch + 1), batches, ["batch_fk"], "left_semi")
+        raw = fetched_so_far.groupBy("batch_fk", "line_no").agg(F.max("bytes").alias("bytes")).groupBy("batch_fk").agg(F.sum("bytes").alias("bytes")).select(
+            "batch_fk", stable_uuid(F.lit("raw"), "batch_fk").alias("locator"), F.lit("raw_result").alias("kind"), "bytes",
+            F.lit("application/json").alias("content_type"))
+        counts, raw, _ = together(
+            spark, put(batches.join(results.answers_materialized(so_far, members), "batch_fk", "left").fillna(0), "counts"), put(raw, "s3_objects"),
+            put(completed, "request_events"))
         materialized = counts.select(
             F.xxhash64("batch_fk", F.lit("answers_materialized")).alias("event_id"), "batch_fk", F.lit("answers_materialized").alias("event_type"),
             details.answers_materialized(F.col("ok_count"), F.col("missing_count"), F.col("batch_request_count")).alias("details"), now.alias("occurred_at"))
@@ -276,21 +284,15 @@ def fetch_stream(lines: DataFrame, batch_requests, out: str, checkpoint: str, ev
             whole = counts.select("batch_fk").join(open_batches, "batch_fk", "left_anti")
         if outbox is not None:
             whole = whole.join(current(spark, outbox).select("batch_fk").distinct(), "batch_fk", "left_semi")
-        write_epoch(whole, f"{out}/outbox_done", epoch)
-        size = (F.octet_length(F.encode("line", "UTF-8")) + 1).cast("bigint")
-        write_epoch(fixed.groupBy("batch_fk", "line_no").agg(F.max(size).alias("bytes")), f"{out}/fetched", epoch)
-        fetched_so_far = join_hot(read_epochs(spark, f"{out}/fetched", _struct(spark, FETCHED), before=epoch + 1), batches, ["batch_fk"], "left_semi")
-        raw = write_epoch(fetched_so_far.groupBy("batch_fk", "line_no").agg(F.max("bytes").alias("bytes")).groupBy("batch_fk").agg(F.sum("bytes").alias("bytes")).select(
-            "batch_fk", stable_uuid(F.lit("raw"), "batch_fk").alias("locator"), F.lit("raw_result").alias("kind"), "bytes",
-            F.lit("application/json").alias("content_type")), f"{out}/s3_objects", epoch)
         fetched = raw.select(
             F.xxhash64("batch_fk", F.lit("raw_fetched")).alias("event_id"), "batch_fk", F.lit("raw_fetched").alias("event_type"),
             details.raw_fetched(F.col("batch_fk"), F.col("locator"), F.col("bytes")).alias("details"), now.alias("occurred_at"))
         lost = failed.select(
             F.xxhash64("batch_fk", F.lit("fetch_failed"), F.lit(epoch)).alias("event_id"), "batch_fk", F.lit("fetch_failed").alias("event_type"),
             details.fetch_failed(F.lit("FETCH"), F.col("error")).alias("details"), now.alias("occurred_at"))
-        write_epoch(fetched.unionByName(materialized).unionByName(lost), f"{out}/batch_events", epoch)
-        write_epoch(failed.select("batch_fk", (now + F.make_dt_interval(secs=F.lit(backoff))).alias("fetch_claimed_until")), f"{out}/fetch_leases", epoch)
+        together(
+            spark, put(whole, "outbox_done"), put(fetched.unionByName(materialized).unionByName(lost), "batch_events"),
+            put(failed.select("batch_fk", (now + F.make_dt_interval(secs=F.lit(backoff))).alias("fetch_claimed_until")), "fetch_leases"))
 
     return run(lines, step, checkpoint, every=every)
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -396,3 +397,31 @@ def test_lease_timers_over_micro_batches(spark, tmp_path):
     got = [(r.request_id, r.event_type, r.claim_token, r.event_id, r.s) for r in spark.read.parquet(f"{tmp_path}/out/lease_events").withColumn("s", F.unix_seconds("occurred_at")).collect()]
     assert sorted(got) == lease_rule(rows, 10_000 - 600, 60)
     assert {r[1] for r in got} == {"claimed", "expired", "accepted", "stale"}
+
+
+def test_fetch_writes_independent_tables_side_by_side(spark, tmp_path, monkeypatch):
+    at_once, most, held = set(), [0], threading.Lock()
+
+    def write(df, path, epoch):
+        with held:
+            at_once.add(path)
+            most[0] = max(most[0], len(at_once))
+        try:
+            return runs.write_epoch(df, path, epoch)
+        finally:
+            with held:
+                at_once.discard(path)
+
+    monkeypatch.setattr(jobs, "write_epoch", write)
+    links = spark.createDataFrame([("b1", UID + "1")], "batch_fk string, request_fk string")
+    out = f"{tmp_path}/out"
+    jobs.fetch_stream(feed(spark, tmp_path, "in", answer(spark, "b1", (1, "1", "x"))), links, out, f"{tmp_path}/cp", as_of="2026-01-01 00:00:00")
+    assert most[0] > 1 and jobs.current_results(spark, out).count() == 1 and spark.read.parquet(f"{out}/outbox_done").count() == 1
+
+    def fails():
+        raise ValueError("no")
+
+    spark.sparkContext.setLocalProperty("k", "v")
+    assert runs.together(spark, lambda: spark.sparkContext.getLocalProperty("k"), lambda: 2) == ["v", 2]
+    with pytest.raises(ValueError):
+        runs.together(spark, fails, lambda: 2)
