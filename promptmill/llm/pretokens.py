@@ -114,13 +114,19 @@ def encode_slice(texts: list[str], known: dict[str, bytes], encode: Callable[[li
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     sample, which = unique_pieces(chars, start)
     joined, end = "".join(texts), np.append(start[1:], len(chars))
+    order = np.argsort(start[sample])  # in the order of the text, so that what is cut out and looked up lies together
+    place = np.empty(len(sample), np.int64)
+    place[order] = np.arange(len(sample))
+    sample, which = sample[order], place[which]
     pieces = [joined[a:b] for a, b in zip(start[sample].tolist(), end[sample].tolist(), strict=True)]
     if len(known) > most:
         known.clear()
-    new = [p for p in pieces if p not in known]
-    if new:
-        known.update(zip(new, encode(new), strict=True))
-    coded = [known[p] for p in pieces]
+    coded = list(map(known.get, pieces))
+    fresh = [i for i, c in enumerate(coded) if c is None]
+    if fresh:
+        new = [pieces[i] for i in fresh]
+        for i, p, c in zip(fresh, new, encode(new), strict=True):
+            known[p] = coded[i] = c
     size = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
     flat = np.frombuffer(b"".join(coded), "<u4")
     at = np.concatenate(([0], np.cumsum(size)))

@@ -321,3 +321,16 @@ def test_pipeline(spark, docs_of, tmp_path):
     assert set(kept["benchmark_passages"]) == set(kept["near_copies"]) - {106}
     assert {i: r.n_tokens for i, r in kept["token_ids"].items()} == {i: len(ENCODING.encode_ordinary(r.text)) for i, r in kept["benchmark_passages"].items()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, kept["token_ids"].values()))
+
+
+def test_new_pieces_are_encoded_once_and_in_the_order_of_the_text():
+    asked, known = [], {" old": b"\7\0\0\0"}
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [len(p).to_bytes(4, "little") * 2 for p in pieces]
+
+    words = [" " + "".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) for i in range(26)]
+    ids, first = pretokens.encode_slice(["".join(words) + " old", "", words[3] + " old"], known, encode, 1000)
+    assert asked == list(dict.fromkeys(words))
+    assert first.tolist() == [0, 53, 53, 56] and ids.tolist() == [5] * 52 + [7] + [5, 5, 7]
