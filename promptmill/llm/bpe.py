@@ -2,11 +2,15 @@
 
 The encoding of a prefix is fixed but for its end: a token can still be replaced as long as the
 bytes since some earlier point may begin a longer token. A state of the transducer holds, for
-every such point, the place in the trie of token bytes and the tokens since the last point that
-all of them have in common. Reading a byte moves every point in the trie, finds the one token
-that now ends the prefix (the only one whose merges and those of its predecessor do not cross), and emits the tokens on which all points agree; what is held back is bounded by
-the longest token. States and their transitions are built when first met and kept up to
-``MAX_STATES``; then the table starts anew, as lazily built automata do.
+every such point, the place in the trie of token bytes and the token that ends at the point.
+Reading a byte moves every point in the trie and finds the one token that now ends the prefix
+(the only one whose merges and those of its predecessor do not cross). The tokens on which all
+points agree are emitted at the end of a piece, or after each ``WINDOW`` of a long one; what is
+held back is bounded by that and the longest token. States and their transitions are built when
+first met and kept up to ``MAX_STATES``; then the table starts anew, as lazily built automata do.
+
+Pieces are read side by side, a byte of each at a time, so that numpy follows all known
+transitions and builds all new ones of that byte at once.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ MAX_PAIRS = 300_000
 MAX_PIECES = 400_000
 SLICE_CHARS = 500_000
 ROWS = 500  # texts that are Python strings at a time
+BLOCK_BYTES = 1 << 18  # pieces that are read side by side
+FEW = 24  # fewer pieces are read one after the other
+WINDOW = 4096  # bytes of a piece that may be held back, besides the longest token
+LOW = (1 << 32) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,38 +48,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes pieces of bytes with ranked merges. Every single byte must be a token."""
+    """Encodes pieces of bytes with ranked merges. Every single byte must be a token.
+
+    Points are numbers: the node in the upper 32 bits, the last token plus one in the lower ones.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, max_pairs: int = MAX_PAIRS):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # the trie of token bytes: children by byte, and the token that ends at a node
-        self.child: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        # the trie of token bytes: children by node and byte in one number, the token that ends at a node, and the depth
+        self.child: dict[int, int] = {}
+        token, depth = [-1], [0]
         for b, i in ranks.items():
             node = 0
             for c in b:
-                if c not in self.child[node]:
-                    self.child[node][c] = len(self.child)
-                    self.child.append({})
-                    self.token.append(-1)
-                node = self.child[node][c]
-            self.token[node] = i
+                step = node << 8 | c
+                node = self.child.get(step)
+                if node is None:
+                    node = self.child[step] = len(token)
+                    token.append(-1)
+                    depth.append(depth[step >> 8] + 1)
+            token[node] = i
+        self.token, self.depth = array("q", token), array("q", depth)
+        edge = np.fromiter(self.child, np.int64, len(self.child))
+        order = np.argsort(edge)
+        self.edge, self.target = edge[order], np.fromiter(self.child.values(), np.int64, len(edge))[order]
+        self.inner = np.zeros(len(token), bool)
+        self.inner[edge >> 8] = True
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)  # bytes of a token
+        self.size[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
         self.pairs: dict[int, bool] = {}  # by both tokens in one number
         self.split: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte in one number
-        self.start = self._state(((0, -1, ()),))
+        self.states: dict[bytes, int] = {}  # numbers by points
+        self.points, self.begin, self.ended = array("q"), array("q", [0]), array("q")
+        self.moves: dict[int, int] = {}  # by state and byte in one number
+        self.start = self._state(array("q", [0]).tobytes())
 
-    def _state(self, points: tuple) -> int:
-        n = self.number.get(points)
+    def _state(self, points: bytes) -> int:
+        n = self.states.get(points)
         if n is None:
-            n = self.number[points] = len(self.states)
-            self.states.append(points)
+            n = self.states[points] = len(self.states)
+            self.points.frombytes(points)
+            self.begin.append(len(self.points))
+            self.ended.append(self.points[-1] - 1)  # the last point is the end of what was read
         return n
 
     def merged(self, text: bytes, until: int = 1) -> list[bytes]:
@@ -123,54 +145,157 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        child, tokens, pairs = self.child, self.token, self.pairs
-        points, ended, hold = [], None, False
-        for node, last, path in self.states[state]:
-            node = child[node].get(byte)
+    def _points(self, state: int) -> array:
+        return self.points[self.begin[state]: self.begin[state + 1]]
+
+    def _known(self, last: int, token: int) -> bool:
+        known = self.pairs.get(last << 32 | token)
+        return self._fits(last, token) if known is None else known
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        points, ended = array("q"), -1
+        for point in self._points(state):
+            node, last = self.child.get((point >> 32) << 8 | byte), (point & LOW) - 1
             if node is None:
                 continue
-            token = tokens[node]
-            if ended is None and token >= 0:
-                known = pairs.get(last << 32 | token)
-                if known or (known is None and self._fits(last, token)):
-                    ended = (0, token, (*path, token))
-            if child[node]:
-                points.append((node, last, path))
-                hold = hold or not path
-        points.append(ended)
-        if hold:  # some point still stands where nothing is pending
-            return self._state(tuple(points)), ()
-        end = points[-1][2]
-        agreed = 0
-        if len(points) == 1:
-            agreed = len(end)
-        else:
-            shortest = min(len(p[2]) for p in points)
-            while agreed < shortest and all(p[2][agreed] == end[agreed] for p in points):
-                agreed += 1
-        if not agreed:
-            return self._state(tuple(points)), ()
-        return self._state(tuple((n, t, p[agreed:]) for n, t, p in points)), end[:agreed]
+            if ended < 0 <= self.token[node] and self._known(last, self.token[node]):
+                ended = self.token[node]
+            if self.inner[node]:
+                points.append(node << 32 | last + 1)
+        if ended < 0:
+            raise ValueError("a byte is no token")
+        points.append(ended + 1)
+        n = self.moves[state << 8 | byte] = self._state(points.tobytes())
+        return n
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is a token itself is that token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+    def _move_all(self, steps: np.ndarray) -> list[int]:
+        """``_move`` for many states and bytes (in one number, all different) at once."""
+        low, high = (np.frombuffer(self.begin, np.int64)[(steps >> 8) + k] for k in (0, 1))
+        count = high - low
+        owner = np.repeat(np.arange(len(steps)), count)
+        point = np.frombuffer(self.points, np.int64)[np.arange(len(owner)) + (low - np.cumsum(count) + count)[owner]]
+        edge = (point >> 32) << 8 | (steps & 255)[owner]
+        at = np.minimum(np.searchsorted(self.edge, edge), len(self.edge) - 1)
+        alive = self.edge[at] == edge
+        owner, last, node = owner[alive], (point[alive] & LOW) - 1, self.target[at[alive]]
+        token = np.frombuffer(self.token, np.int64)[node]
+        # the longest token first; the next ones are tried for those that are left
+        ended = np.full(len(steps), -1)
+        left = np.flatnonzero(token >= 0)
+        while len(left):
+            turn = np.ones(len(left), bool)
+            turn[1:] = owner[left[1:]] != owner[left[:-1]]
+            tried = left[turn]
+            pair, which = np.unique(last[tried] << 32 | token[tried], return_inverse=True)
+            fits = np.array([self._known(k >> 32, k & LOW) for k in pair.tolist()], bool)[which]
+            ended[owner[tried[fits]]] = token[tried[fits]]
+            left = left[~turn]
+            left = left[ended[owner[left]] < 0]
+        if (ended < 0).any():
+            raise ValueError("a byte is no token")
+        stay = self.inner[node]
+        count = np.bincount(owner[stay], minlength=len(steps)) + 1
+        stop = np.cumsum(count)
+        points = np.empty(stop[-1], np.int64)
+        ends = np.zeros(len(points), bool)
+        ends[stop - 1] = True
+        points[ends], points[~ends] = ended + 1, node[stay] << 32 | last[stay] + 1
+        raw, state = points.tobytes(), self._state
+        after = [state(raw[a:b]) for a, b in zip((8 * (stop - count)).tolist(), (8 * stop).tolist(), strict=True)]
+        self.moves.update(zip(steps.tolist(), after, strict=True))
+        return after
+
+    def _read(self, states: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """The states after one more byte of many pieces."""
+        steps, which = np.unique(states << 8 | read, return_inverse=True)
+        after = list(map(self.moves.get, steps.tolist()))
+        new = [i for i, n in enumerate(after) if n is None]
+        if new:
+            for i, n in zip(new, self._move_all(steps[new]), strict=True):
+                after[i] = n
+        return np.array(after, np.int64)[which]
+
+    def _rest(self, piece: bytes, at: int, points: bytes, ended: np.ndarray) -> bytes:
+        """Ids of a long piece, of which ``at`` bytes are read up to these points: ``ended`` has the tokens that ended at each.
+
+        After every window, the tokens on which all points agree are emitted.
+        """
+        out: list[bytes] = []
+        first, size = 0, self.size  # ``ended`` begins with the token that ends at byte ``first``
+        while at < len(piece):
+            if len(self.states) > self.max_states:
+                self._reset()
+            state, moves, seen = self._state(points), self.moves, []
+            for byte in piece[at: at + WINDOW]:
+                step = moves.get(state << 8 | byte)
+                state = self._move(state, byte) if step is None else step
+                seen.append(state)
+            at += len(seen)
+            points = self._points(state).tobytes()
+            ended = np.concatenate((ended, np.array([self.ended[n] for n in seen], np.int32)))
+            places = {at - self.depth[p >> 32] for p in self._points(state)} if at < len(piece) else {at}
+            while len(places) > 1:  # back from the last one until all are the same
+                last = max(places)
+                places.remove(last)
+                places.add(last - int(size[ended[last - first - 1]]))
+            agreed = places.pop()
+            back, tokens = agreed, []
+            while back > first:
+                tokens.append(int(ended[back - first - 1]))
+                back -= int(size[tokens[-1]])
+            out.append(array("I", reversed(tokens)).tobytes())
+            ended, first = ended[agreed - first:], agreed
+        return b"".join(out)
+
+    def _run(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of some pieces, the longest first."""
         if len(self.states) > self.max_states:
             self._reset()
-        state, out, moves = self.start, [], self.moves
-        for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                step = moves[state << 8 | byte] = self._move(state, byte)
-            state, ready = step
-            if ready:
-                out.extend(ready)
-        out.extend(self.states[state][-1][2])  # the last point is the end of the piece
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ended = np.empty(len(data), np.int32)
+        states, at = np.full(len(pieces), self.start), 0
+        more = np.searchsorted(-size, -np.arange(WINDOW + 1))  # pieces of more than so many bytes
+        while at < WINDOW and more[at] >= FEW:
+            place = first[: more[at]] + at
+            states = self._read(states[: more[at]], data[place])
+            ended[place] = np.frombuffer(self.ended, np.int64)[states]
+            at += 1
+        long = int(np.searchsorted(-size, -at))
+        points = [self._points(n).tobytes() for n in states[:long].tolist()]
+        out = [self._rest(pieces[i], at, points[i], ended[a: a + at]) for i, a in enumerate(first[:long].tolist())]
+        # back from the end of every other piece
+        emit, back, low = np.zeros(len(data), bool), (first + size)[long:], first[long:]
+        while len(back):
+            emit[back - 1] = True
+            back = back - self.size[ended[back - 1]]
+            back, low = back[back > low], low[back > low]
+        count = np.concatenate(([0], np.cumsum(emit)))
+        raw, cut = ended[emit].astype(np.uint32).tobytes(), (4 * count[np.append(first, len(data))[long:]]).tolist()
+        return out + [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces as 32-bit values; a piece that is a token itself is that token."""
+        whole = list(map(self.ranks.get, pieces))
+        out = [b"" if i is None else array("I", [i]).tobytes() for i in whole]
+        left = [k for k, i in enumerate(whole) if i is None and pieces[k]]
+        left.sort(key=lambda k: len(pieces[k]), reverse=True)
+        low = 0
+        while low < len(left):
+            high, held = low, 0
+            while high < len(left) and (held < BLOCK_BYTES or high == low):
+                held += len(pieces[left[high]])
+                high += 1
+            for k, ids in zip(left[low:high], self._run([pieces[k] for k in left[low:high]]), strict=True):
+                out[k] = ids
+            low = high
         return out
 
+    def encode(self, piece: bytes) -> list[int]:
+        return array("I", self.encode_all([piece])[0]).tolist()
+
 
 class StreamDecoder:
     """Ids to text piece by piece: bytes of an unfinished character wait for the next ids.
@@ -213,7 +338,7 @@ def few_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encoded(texts: list[str], transducer: Transducer, known: dict, room: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many texts, end to end, and the first of each; every match of the public pattern is encoded by itself."""
-    return encode_slice(texts, known, lambda pieces: [array("I", transducer.encode(p.encode("utf-8", "surrogatepass"))).tobytes() for p in pieces], int(MAX_PIECES * room))
+    return encode_slice(texts, known, lambda pieces: transducer.encode_all([p.encode("utf-8", "surrogatepass") for p in pieces]), int(MAX_PIECES * room))
 
 
 def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:

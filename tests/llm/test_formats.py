@@ -179,6 +179,27 @@ def test_transducer_of_a_small_vocabulary_with_unreachable_tokens():
         assert machine.encode(p.encode()) == encoding.encode_ordinary(p)
 
 
+def test_pieces_never_met_are_read_side_by_side(monkeypatch):
+    alone, move = [], bpe.Transducer._move
+    monkeypatch.setattr(bpe.Transducer, "_move", lambda self, *step: alone.append(step) or move(self, *step))
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdeghinorstué") for _ in range(12)) for _ in range(3000))
+    ids, first = bpe.encoded([text, "", text[:50]], bpe.Transducer(RANKS), {})
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [ENCODING.encode_ordinary(t) for t in (text, "", text[:50])]
+    assert len(alone) < 300  # transitions built one at a time; some 20,000 are new
+
+
+@pytest.mark.parametrize(("window", "few", "states", "block"), [(4096, 1, 120_000, 1 << 18), (16, 5, 200, 3000), (1, 1, 100, 1000), (7, 10**9, 100, 1 << 18)])
+def test_long_pieces_are_held_back_by_the_window_only(monkeypatch, window, few, states, block):
+    for name, value in (("WINDOW", window), ("FEW", few), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("etaoin shrdlué") for _ in range(rng.randint(1, 300))).encode() for _ in range(80)] + [b"a" * 300, b" " * 700, b"ab" * 4000, b"", b"\xff", b" the"]
+    rng.shuffle(pieces)
+    got = bpe.Transducer(RANKS, states, 500).encode_all(pieces)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ENCODING._encode_single_piece(p) if p else [] for p in pieces]
+
+
 def test_round_trip(docs_of):
     rows = [*enumerate(ODD), (50, None), (51, "word\u2028é" * 9000), (51, "other"), (None, "x")]
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs_of(rows), P.path("byte_bpe_50k.tiktoken"), ["doc_id"], chunk=3).collect())
